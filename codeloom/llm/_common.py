@@ -60,32 +60,32 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 class RepeatFilter:
     """A blocked Bloom filter of the values that may occur in two rows or more of a column.
 
-    The first pass counts how many rows hit each of a value's two bits and keeps the bits hit twice
-    or more; the second, ``mark``, looks rows up.  The filter has ``bits_per_row`` bits for each row
-    and at most ``max_bits``: what is broadcast never exceeds max_bits / 8 bytes (16 MiB), and beyond
+    The first pass counts how many rows hit each of a value's bits and keeps the bits hit twice or
+    more; the second, ``mark``, looks rows up.  The filter has ``bits_per_row`` bits for each row and
+    at most ``max_bits``: what is broadcast never exceeds max_bits / 8 bytes (16 MiB), and beyond
     that size the only effect is more false positives.  A repeated value is never missed.
     """
 
-    def __init__(self, df: DataFrame, hash_col: str, bits_per_row: int = 16, max_bits: int = 1 << 27):
+    def __init__(self, df: DataFrame, hash_col: str, hashes: int = 2, bits_per_row: int = 16, max_bits: int = 1 << 27):
         self.blocks = max(1, min(max_bits, bits_per_row * df.count()) // BLOCK_BITS)
-        block, one, two = self._place(hash_col)
-        hits = df.select(block.alias("__block"), F.explode(F.array(one, two)).alias("__bit"))
-        twice = hits.groupBy("__block", "__bit").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-        self.bitmaps = twice.groupBy("__block").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
-
-    def _place(self, hash_col: str) -> tuple[Column, Column, Column]:
+        self.hashes = hashes
+        block, bits = self._place(hash_col)
+        slots = df.select(F.explode(F.array(*[block * BLOCK_BITS + b for b in bits])).alias("__slot"))
+        twice = slots.groupBy("__slot").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+        self.bitmaps = twice.groupBy(F.expr(f"__slot div {BLOCK_BITS}").alias("__block")).agg(F.bitmap_construct_agg(F.col("__slot") % BLOCK_BITS).alias("__bits"))
+
+    def _place(self, hash_col: str) -> tuple[Column, list[Column]]:
+        """A value's block, and its bits in the block."""
         block = F.pmod(F.xxhash64(hash_col, F.lit(11)), F.lit(self.blocks))
-        one, two = (F.pmod(F.xxhash64(hash_col, F.lit(s)), F.lit(BLOCK_BITS)) for s in (22, 33))
-        return block, one, two
+        return block, [F.pmod(F.xxhash64(hash_col, F.lit(seed)), F.lit(BLOCK_BITS)) for seed in range(22, 22 + self.hashes)]
 
     def mark(self, df: DataFrame, hash_col: str, flag: str) -> DataFrame:
         """df with boolean ``flag``: false only where no other row has the value."""
-        block, one, two = self._place(hash_col)
-        held = df.withColumns({"__block": block, "__one": one, "__two": two}).join(F.broadcast(self.bitmaps), "__block", "left")
-
-        def bit(at: str) -> Column:
-            byte = F.expr(f"conv(hex(substring(__bits, cast({at} div 8 as int) + 1, 1)), 16, 10)").cast("int")
-            return byte.bitwiseAND(F.expr(f"shiftleft(1, cast({at} % 8 as int))")) != 0
-
-        hit = F.col("__bits").isNotNull() & bit("__one") & bit("__two")
-        return held.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__block", "__one", "__two", "__bits")
+        block, bits = self._place(hash_col)
+        at = {f"__bit{i}": b for i, b in enumerate(bits)}
+        held = df.withColumns({"__block": block} | at).join(F.broadcast(self.bitmaps), "__block", "left")
+        hit = F.col("__bits").isNotNull()
+        for name in at:
+            byte = F.expr(f"conv(hex(substring(__bits, cast({name} div 8 as int) + 1, 1)), 16, 10)").cast("int")
+            hit = hit & (byte.bitwiseAND(F.expr(f"shiftleft(1, cast({name} % 8 as int))")) != 0)
+        return held.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__block", "__bits", *at)

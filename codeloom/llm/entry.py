@@ -6,10 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file; it has to be on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _repeats(found: DataFrame) -> DataFrame:
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), spans.alias("spans"))
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.suffix_array import suffix_array_dedup
+
+    return _repeats(suffix_array_dedup(documents(spark, sf_dir)))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.substring_dedup import substring_dedup
+
+    return _repeats(substring_dedup(documents(spark, sf_dir)))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm.source_mixing import mix_sources
 
@@ -17,6 +41,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("copy").cast("long").alias("copy"), "shuffle_key", F.length("text").cast("long").alias("text_length"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), tokenizer_path()).drop("rk")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm.exact_dedup import find_copies
 
@@ -34,7 +64,10 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SOURCE_WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_source_mixing": op3_source_mixing,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
