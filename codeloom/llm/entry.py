@@ -47,6 +47,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path()).drop("rk")
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(documents(spark, sf_dir)).drop("rk")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm.exact_dedup import find_copies
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
