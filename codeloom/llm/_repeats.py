@@ -22,6 +22,8 @@ from codeloom.llm._common import RepeatFilter, materialize, row_key
 
 #: Word hashes that a Python worker remembers.
 MEMO = 400_000
+#: Row keys of copies are broadcast up to this number (16 MB), and joined by a shuffle beyond.
+BROADCAST_ROWS = 1 << 20
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 #: Judges one group: each segment's words, place of the selected position and number of windows, in
@@ -79,11 +81,13 @@ def _cut(window: int, id_type: pa.DataType) -> Callable:
     types = [pa.int64(), pa.binary(), id_type, pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        first: dict[tuple[int, bytes], tuple] = {}  # equal segments become one row here, before the shuffle
         size = 0
 
-        def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        def full() -> Iterator[pa.RecordBatch]:
+            rows = [(*key, value[1], *value[2:]) for key, value in first.items()]
+            for at in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000], strict=True), types, strict=True)], names)
 
         for batch in batches:
             for rk, doc_id, text, found in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -92,20 +96,24 @@ def _cut(window: int, id_type: pa.DataType) -> Callable:
                 for x in found.as_py():
                     start, count, anchor = x["start"], x["windows"], x["anchor"]
                     if x["hot"]:
-                        for i in range(count):
-                            part = b" ".join(words[start + i : start + i + window])
-                            route = xxhash.xxh64_intdigest(part, 7)
-                            rows.append((route - (1 << 64 if route >> 63 else 0), part, doc_id, rk, start + i, 1, anchor - i))
-                            size += len(part)
+                        parts = [(start + i, 1, anchor - i, b" ".join(words[start + i : start + i + window])) for i in range(count)]
                     else:
-                        part = b" ".join(words[start : start + count + window - 1])
-                        rows.append((x["gram"], part, doc_id, rk, start, count, anchor))
-                        size += len(part)
-                    if size > 4_000_000:
-                        yield full()
-                        rows, size = [], 0
-        if rows:
-            yield full()
+                        parts = [(start, count, anchor, b" ".join(words[start : start + count + window - 1]))]
+                    for at, n, off, part in parts:
+                        route = x["gram"]
+                        if x["hot"]:
+                            route = xxhash.xxh64_intdigest(part, 7)
+                            route -= 1 << 64 if route >> 63 else 0
+                        value = ((doc_id is not None, doc_id), doc_id, rk, at, n, off)
+                        held = first.get((route, part))
+                        if held is None:
+                            size += len(part) + 300
+                        if held is None or (value[0], rk, at) < (held[0], held[2], held[3]):
+                            first[route, part] = value
+                if size > 60_000_000:
+                    yield from full()
+                    first, size = {}, 0
+        yield from full()
 
     return run
 
@@ -144,10 +152,10 @@ def _apply(window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, spans, kept = [], [], [], []
-            for text, found, judged in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
+            for text, found, judged, copy in zip(*(batch.column(i) for i in (2, 3, 4, 5)), strict=True):
                 words = (text.as_py() or b"").split()
                 n = len(words)
-                cut = np.zeros(n, bool)
+                cut = np.full(n, copy.is_valid and n >= window)
                 if found.is_valid:
                     repeated = np.zeros(n, np.uint8)
                     for x in found.as_py():
@@ -179,23 +187,28 @@ def remove_repeats(docs: DataFrame, window: int, k: int, match: Matcher, id_col:
     A word goes if it is covered by a window whose words also start earlier: in a row with a smaller
     id, or earlier in the same row.  Windows are judged on the input.
 
-    Positions go to a written table.  A Bloom filter of bounded size drops most that occur once, an
-    aggregation the rest; texts are shuffled once, by row.  A position that occurs more than ``hot``
-    times is routed window by window instead, so that no task gets an unbounded group: equal windows
-    are one row from the first aggregation on.
+    Of rows with equal texts the first alone is looked at; the others have nothing that is not
+    repeated.  Positions go to a written table.  A Bloom filter of bounded size drops most that occur
+    once, an aggregation the rest; texts are shuffled once, by row.  A position that occurs more than
+    ``hot`` times is routed window by window instead, so that no task gets an unbounded group: equal
+    windows are one row for each task before they are shuffled.
     """
     source = docs.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    field = docs.schema[id_col].dataType
-    id_type = field.simpleString()
-    places = materialize(source.mapInArrow(_find(window, k), "gram long, rk long, start int, windows int, anchor int"), "repeat-positions")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    texts = materialize(source.select("rk", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2")), "repeat-texts")
+    groups = texts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rk")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = materialize(texts.join(groups, ["h1", "h2"]).filter("rk <> first.rk").select("rk").distinct(), "repeat-copies")
+    few = copies.count() <= BROADCAST_ROWS
+    found = source.mapInArrow(_find(window, k), "gram long, rk long, start int, windows int, anchor int")
+    places = materialize(found.join(F.broadcast(copies) if few else copies, "rk", "left_anti").select("gram", "rk", "start", "windows", "anchor"), "repeat-positions")
     maybe = RepeatFilter(places, "gram", hashes=1).mark(places, "gram", "__maybe").filter("__maybe").drop("__maybe")
     counts = maybe.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     by_row = maybe.join(counts, "gram").groupBy("rk").agg(F.collect_list(F.struct("gram", "start", "windows", "anchor", (F.col("n") > hot).alias("hot"))).alias("found"))
-    arrow_id = pa.int64() if id_type in ("bigint", "long") else pa.int32() if id_type == "int" else pa.string()
+    arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
     cut = source.join(by_row, "rk").mapInArrow(_cut(window, arrow_id), f"route long, words binary, doc_id {id_type}, rk long, start int, windows int, anchor int")
-    firsts = cut.groupBy("route", "words").agg(F.min(F.struct("doc_id", "rk", "start", "windows", "anchor")).alias("f"))
-    sorted_rows = firsts.select("route", "words", "f.rk", "f.start", "f.windows", "f.anchor", "f.doc_id").repartition("route").sortWithinPartitions("route", "doc_id", "rk", "start")
+    firsts = cut.repartition("route").groupBy("route", "words").agg(F.min(F.struct("doc_id", "rk", "start", "windows", "anchor")).alias("f"))
+    sorted_rows = firsts.select("route", "words", "f.rk", "f.start", "f.windows", "f.anchor", "f.doc_id").sortWithinPartitions("route", "doc_id", "rk", "start")
     judged = sorted_rows.mapInArrow(_judge(window, match), "rk long, start int, flags binary").groupBy("rk").agg(F.collect_list(F.struct("start", "flags")).alias("judged"))
-    whole = source.join(by_row, "rk", "left").join(judged, "rk", "left")
+    whole = source.join(by_row, "rk", "left").join(judged, "rk", "left").join(copies.withColumn("copy", F.lit(True)), "rk", "left")
     out = whole.mapInArrow(_apply(window), f"rk long, doc_id {id_type}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
     return out.select("rk", "doc_id", "n_words", "n_removed", "spans", F.col("kept").cast("string").alias("kept_text"))
