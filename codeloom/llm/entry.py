@@ -66,6 +66,29 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.pii_crf import KINDS, find_pii
+
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
+    return find_pii(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.quality import classify
+
+    return classify(documents(spark, sf_dir)).drop("rk")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.language_id import predict, train
+
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    found = predict(docs, train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 #: Target weights of the mixing query and stage: a source that is not named weighs 1.
 SOURCE_WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
 
@@ -75,8 +98,11 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_pii": op6_pii,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
