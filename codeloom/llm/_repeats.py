@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from codeloom.llm._common import RepeatFilter, materialize, row_key
 
 #: Word hashes that a Python worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 #: Row keys of copies are broadcast up to this number (16 MB), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1 << 20
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -110,7 +110,7 @@ def _cut(window: int, id_type: pa.DataType) -> Callable:
                             size += len(part) + 300
                         if held is None or (value[0], rk, at) < (held[0], held[2], held[3]):
                             first[route, part] = value
-                if size > 60_000_000:
+                if size > 30_000_000:
                     yield from full()
                     first, size = {}, 0
         yield from full()
@@ -202,7 +202,8 @@ def remove_repeats(docs: DataFrame, window: int, k: int, match: Matcher, id_col:
     found = source.mapInArrow(_find(window, k), "gram long, rk long, start int, windows int, anchor int")
     places = materialize(found.join(F.broadcast(copies) if few else copies, "rk", "left_anti").select("gram", "rk", "start", "windows", "anchor"), "repeat-positions")
     maybe = RepeatFilter(places, "gram", hashes=1).mark(places, "gram", "__maybe").filter("__maybe").drop("__maybe")
-    counts = maybe.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, so that the join has plain shuffles on both sides, of which Spark can split a hot key
+    counts = materialize(maybe.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-counts")
     by_row = maybe.join(counts, "gram").groupBy("rk").agg(F.collect_list(F.struct("gram", "start", "windows", "anchor", (F.col("n") > hot).alias("hot"))).alias("found"))
     arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
     cut = source.join(by_row, "rk").mapInArrow(_cut(window, arrow_id), f"route long, words binary, doc_id {id_type}, rk long, start int, windows int, anchor int")

@@ -15,6 +15,8 @@ BAD, ABSTAIN, GOOD = 0, 1, 2
 #: Votes of a labeller that sees a share of something: bad from the upper bound, good to the lower.
 BOUNDS = {"signs": (0.01, 0.06), "doubled": (0.004, 0.02), "capitals": (0.12, 0.4), "shouts": (0.002, 0.03), "bars": (0.002, 0.05), "repeats": (0.03, 0.15), "few_words": (0.5, 0.8), "no_letters": (0.2, 0.3), "joined": (0.02, 0.1)}
 LABELLERS = tuple(BOUNDS)
+#: What each kind of bad document starts from.
+BAD_KINDS = (("signs", "doubled", "joined"), ("capitals", "shouts"), ("bars",), ("repeats", "few_words"), ("no_letters",))
 #: Texts with fewer words get no votes of labellers that need several.
 FEW = 8
 LOWER, UPPER, SIGNS = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"*$&#%@~^=<>{}[]\\_+|"
@@ -69,36 +71,42 @@ def digits(patterns: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """How often each labeller votes what on bad and on good documents, and how many are good."""
+    """How often each labeller votes what on good documents and on each kind of bad ones, and how many
+    there are of each.  Labellers are independent within a kind, not among bad documents at large:
+    one that looks for bars says nothing about capitals."""
 
-    def __init__(self, rate: np.ndarray, good: float):
-        self.rate, self.good = rate, good
+    def __init__(self, rate: np.ndarray, share: np.ndarray):
+        self.rate, self.share = rate, share
+
+    def _by_class(self, patterns: np.ndarray) -> np.ndarray:
+        cast, log = digits(patterns), np.log(self.rate)
+        each = np.stack([log[c, np.arange(len(LABELLERS))[None, :], cast].sum(1) for c in range(len(self.share))], axis=1) + np.log(self.share)
+        p = np.exp(each - each.max(1, keepdims=True))
+        p[~(cast == BAD).any(1), 1:] *= 1e-6  # no kind of bad goes without a vote for bad
+        return p / p.sum(1, keepdims=True)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """The probability of good by pattern of votes."""
-        cast = digits(patterns)
-        log = np.log(self.rate)
-        each = np.stack([log[c, np.arange(len(LABELLERS))[None, :], cast].sum(1) for c in (0, 1)])
-        each += np.log([[1 - self.good], [self.good]])
-        return 1 / (1 + np.exp(np.clip(each[0] - each[1], -500, 500)))
+        return self._by_class(patterns)[:, 0] if len(patterns) else np.zeros(0)
 
     @classmethod
     def fit(cls, patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> LabelModel:
-        """Expectation maximisation over patterns of votes and how many documents have each.  It
-        starts from labellers that are seldom wrong about bad and often silent about it."""
-        start = np.array([[0.25, 0.15, 0.6], [0.01, 0.19, 0.8]])
-        model = cls(np.repeat(start[:, None], len(LABELLERS), 1), 0.85)
+        """Expectation maximisation over patterns of votes and how many documents have each.  Class 0
+        is good; the others start from labellers that look for one kind of bad document."""
+        start = np.empty((1 + len(BAD_KINDS), len(LABELLERS), 3))
+        start[0] = (0.01, 0.19, 0.8)
+        start[1:] = (0.15, 0.15, 0.7)
+        for c, names in enumerate(BAD_KINDS, 1):
+            start[c, [LABELLERS.index(n) for n in names]] = (0.8, 0.15, 0.05)
+        model = cls(start, np.array([0.85] + [0.15 / len(BAD_KINDS)] * len(BAD_KINDS)))
         if not len(patterns):
             return model
         cast = digits(patterns)
         for _ in range(rounds):
-            good = model.posterior(patterns)
-            rate = np.empty_like(model.rate)
-            for c, p in enumerate((1 - good, good)):
-                for v in range(3):
-                    rate[c, :, v] = ((cast == v) * (p * counts)[:, None]).sum(0) + 1 * start[c, v]
-                rate[c] /= rate[c].sum(1, keepdims=True)
-            model = cls(rate, float(np.clip((good * counts).sum() / counts.sum(), 0.02, 0.98)))
+            p = model._by_class(patterns) * counts[:, None]
+            rate = np.stack([[[p[cast[:, i] == v, c].sum() for v in range(3)] for i in range(len(LABELLERS))] for c in range(len(start))]) + start
+            share = p.sum(0) + 0.5
+            model = cls(rate / rate.sum(2, keepdims=True), share / share.sum())
         return model
 
 
@@ -197,7 +205,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 4000, size: i
     return Scorer.fit(x, model.posterior(np.array([r.pattern for r in sample], np.int64))), model
 
 
-def classify(docs: DataFrame, fitted: tuple[Scorer, LabelModel] | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000) -> DataFrame:
+def classify(docs: DataFrame, fitted: tuple[Scorer, LabelModel] | None = None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000) -> DataFrame:
     """One row per document: doc_id, rk, quality (0 to 1), keep, weak_label, votes.
 
     Overlapping heuristic labellers vote bad, good or nothing on each whole text; expectation
@@ -223,7 +231,7 @@ def _keep(shared, threshold: float, at: int) -> Callable:
     return run
 
 
-def keep_good(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", train_rows: int = 4000) -> DataFrame:
+def keep_good(docs: DataFrame, threshold: float = 0.3, text_col: str = "text", train_rows: int = 4000) -> DataFrame:
     """The rows of docs that classify keeps, columns unchanged and in place: nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col, train_rows))
     return docs.mapInArrow(_keep(shared, threshold, docs.columns.index(text_col)), docs.schema)
