@@ -185,3 +185,59 @@ def time_ago(then: Column, now: Column) -> Column:
     text = lambda n, unit: F.concat(n.cast("string"), F.lit(unit + " ago"))
     hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
     return F.when(minutes < 1, "just now").when(minutes < 60, text(minutes, "m")).when(hours < 24, text(hours, "h")).when(days < 7, text(days, "d")).otherwise(text(F.floor(days / 7), "w"))
+
+
+#: Icons by what a label says, in order, the first match wins.
+ICONS = (
+    ("gateway|api.gate", "mdi:gate"), ("lambda|function|serverless", "mdi:lightning-bolt"), ("s3|bucket|storage|blob", "mdi:folder-multiple"),
+    ("dynamo|dynamodb|nosql", "mdi:database"), ("rds|postgres|mysql|sql|aurora", "mdi:database"), ("mongo", "mdi:database"),
+    ("redis|cache|elasticache", "mdi:cached"), ("queue|sqs|rabbit|kafka", "mdi:tray-full"), ("sns|notification|alert", "mdi:bell"),
+    ("cognito|auth|identity|login|sso", "mdi:shield-lock"), ("cloudfront|cdn", "mdi:earth"), ("cloudwatch|monitor|metric|observe", "mdi:monitor-eye"),
+    ("ec2|compute|instance|vm", "mdi:server"), ("ecs|container|docker|fargate", "mdi:docker"), ("kubernetes|k8s|eks|aks|gke", "mdi:kubernetes"),
+    ("route.?53|dns", "mdi:earth"), ("load.?balancer|elb|alb|nlb", "mdi:scale-balance"), ("kinesis|stream|firehose", "mdi:waves"),
+    ("event.?bridge|event", "mdi:lightning-bolt"), ("step.?function|workflow|state.?machine", "mdi:sitemap"),
+    ("cloud.?formation|terraform|iac|infra", "mdi:cog"), ("codepipeline|cicd|ci.?cd|pipeline|deploy", "mdi:pipe"), ("codebuild|build|jenkins", "mdi:wrench"),
+    ("elastic.?search|opensearch|search", "mdi:magnify"), ("redshift|warehouse|data.?lake", "mdi:database-export"), ("glue|etl|transform", "mdi:swap-horizontal"),
+    ("sage.?maker|ml|machine.?learn|model|ai", "mdi:robot"), ("rag|retriev|vector", "mdi:magnify-scan"), ("bedrock|llm|gpt|generat", "mdi:robot"),
+    ("rekognition|vision|image", "mdi:eye"), ("transcribe|speech|voice", "mdi:microphone"), ("translate|language", "mdi:translate"),
+    ("comprehend|nlp|text.?anal", "mdi:text-recognition"), ("vpc|network|subnet|firewall", "mdi:lan"), ("waf|web.?app.?fire", "mdi:shield"),
+    ("secret|vault|ssm|parameter", "mdi:lock"), ("kms|encrypt|key", "mdi:key"), ("cloud.?trail|audit|log", "mdi:file-document-outline"),
+    ("x.?ray|trac", "mdi:magnify-scan"), ("iot|sensor|device|thing", "mdi:chip"), ("mqtt|broker|pub.?sub", "mdi:access-point"),
+    ("user|client|customer", "mdi:account-group"), ("mobile|ios|android|phone", "mdi:cellphone"), ("web|browser|frontend|app", "mdi:web"),
+    ("email|ses|mail", "mdi:email"), ("notification|push", "mdi:bell-ring"), ("chart|dashboard|analytic|report", "mdi:chart-line"),
+    ("config|setting", "mdi:cog"), ("bucket|file|object", "mdi:folder"), ("api|rest|endpoint|graphql", "mdi:api"), ("server|host|backend", "mdi:server"),
+    ("cloud", "mdi:cloud"), ("database|db|data", "mdi:database"), ("security|protect", "mdi:shield-lock"),
+)
+DEFAULT_ICON = "mdi:hexagon-outline"
+#: Text files that are searched by their first 4000 characters.
+TEXT_EXTENSIONS = ".md .txt .json .jsonc .yaml .yml .toml .lock .env".split()
+
+
+def icon(label: Column) -> Column:
+    out, low = F.lit(DEFAULT_ICON), F.lower(label)
+    for pattern, name in reversed(ICONS):
+        out = F.when(low.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def navigator_header(content: Column) -> Column:
+    """Comment lines among the first five up to the first line of code, joined, 200 characters."""
+    start = F.named_struct(F.lit("text"), F.array().cast("array<string>"), F.lit("on"), F.lit(True))
+
+    def step(seen: Column, line: Column) -> Column:
+        bare = trimmed(line)
+        comment = bare.startswith("//") | bare.startswith("#") | bare.startswith("--")
+        more = F.when(seen["on"] & comment, F.concat(seen["text"], F.array(F.regexp_replace(bare, r"^//\s*|^#\s*|^--\s*", "")))).otherwise(seen["text"])
+        return F.named_struct(F.lit("text"), more, F.lit("on"), seen["on"] & (comment | (bare == "")))
+
+    return F.substring(F.array_join(F.aggregate(F.slice(lines_of(content), 1, 5), start, step)["text"], " "), 1, 200)
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+
+
+def search_text(path: Column, content: Column) -> Column:
+    """What the file search reads: code whole, other text files' first 4000 characters, else null."""
+    ext = extension(path)
+    return F.when(ext.isin(*LANGUAGES), content).when(ext.isin(*TEXT_EXTENSIONS), F.substring(content, 1, 4000))

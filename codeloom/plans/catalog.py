@@ -712,6 +712,22 @@ def _(t: Tables) -> DataFrame:
     return g.select("host", pattern.alias("pattern"))
 
 
+@query("icon_label", f"SELECT c_custkey, CASE {' '.join(f"WHEN regexp_matches(lower(c_mktsegment), '{p}') THEN '{i}'" for p, i in T.ICONS)} ELSE '{T.DEFAULT_ICON}' END AS icon FROM customer")
+def _(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", T.icon(F.col("c_mktsegment")).alias("icon"))
+
+
+@query(
+    "navigator_header",
+    f"""WITH {CODE_LINES}, first AS (SELECT file, min(line) AS code FROM code_lines WHERE NOT starts_with(trim(text), '//') AND trim(text) <> '' GROUP BY file)
+    SELECT file, coalesce(substr(string_agg(regexp_replace(text, '^//\\s*', ''), ' ' ORDER BY line) FILTER (WHERE line <= 5 AND line < code AND starts_with(text, '//')), 1, 200), '') AS header
+    FROM code_lines JOIN first USING (file) GROUP BY file""",
+)
+def _(t: Tables) -> DataFrame:
+    files = t.code_lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return files.select("file", T.navigator_header(F.col("text")).alias("header"))
+
+
 @query("spectral_clusters")
 def _(t: Tables) -> DataFrame:
     return clustering.spectral_clusters(_vectors(t), ["label"])
