@@ -52,6 +52,12 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def named(column: str, name: str) -> Column:
+    """The column under a name.  Without a needless alias, since plans that differ in one alone do
+    not share their shuffles."""
+    return F.col(column) if column == name else F.col(column).alias(name)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names: an operator's own output columns replace them."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import row_key
+from codeloom.llm._common import named, row_key
 
 #: Samples computed side by side in one row.  More would make generated methods too large for the
 #: JVM's compiler.
@@ -131,7 +131,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = 32, id_col: str = "doc
     Rows with equal ids follow each other in the order of a hash; a null id comes first.  Ids are
     integers.  An empty table gives an empty result.  Other columns are not read.
     """
-    source = docs.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(row_key(id_col, text_col).alias("rk"), named(id_col, "doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars, tail = F.length("text").cast("long"), F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - tail), F.substring(F.col("__next_text"), F.lit(1), tail))
     pairs = with_next(source).select(
