@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import RepeatFilter, materialize, row_key
+from codeloom.llm._common import RepeatFilter, materialize, named, row_key
 
 #: Word hashes that a Python worker remembers.
 MEMO = 200_000
@@ -193,7 +193,7 @@ def remove_repeats(docs: DataFrame, window: int, k: int, match: Matcher, id_col:
     ``hot`` times is routed window by window instead, so that no task gets an unbounded group: equal
     windows are one row for each task before they are shuffled.
     """
-    source = docs.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    source = docs.select(row_key(id_col, text_col).alias("rk"), named(id_col, "doc_id"), F.col(text_col).cast("binary").alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = materialize(source.select("rk", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2")), "repeat-texts")
     groups = texts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rk")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
