@@ -1,23 +1,10 @@
-import random
+"""Texts and tables that the tests of this folder share."""
 
-import pytest
+import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-@pytest.fixture
-def table(spark):
-    """Makes a documents table from (doc_id, text) pairs or longer rows, in a few partitions."""
-
-    def make(rows, extra=""):
-        full = [tuple(r) + (None, None, None)[len(r) - 2 :] if len(r) < 5 else tuple(r) for r in rows]
-        return spark.createDataFrame(full, SCHEMA + extra).repartition(3)
-
-    return make
+ODD_TEXTS = [None, "", " ", "\n\t\x0b", "a", "a b", "A B", "é" * 50, "one two three", "x " * 3000, "\x1c\x85\xa0 z"]
 
 
 def words(rng: random.Random, n: int, vocabulary: int = 4000) -> str:
     return " ".join(f"w{rng.randrange(vocabulary):x}" for _ in range(n))
-
-
-ODD_TEXTS = [None, "", " ", "\n\t\x0b", "a", "a b", "A B", "é" * 50, "one two three", "x " * 3000, "\x1c\x85\xa0 z"]

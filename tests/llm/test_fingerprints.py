@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 from codeloom.llm.fingerprints import fingerprint_documents, merged_terms, signatures
-from conftest import ODD_TEXTS, words
+from llm_cases import ODD_TEXTS, words
 
 
 def likeness(a, b):

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 from codeloom.llm.language_id import ByteNetwork, predict, train
-from conftest import ODD_TEXTS
+from llm_cases import ODD_TEXTS
 from pyspark.sql import functions as F
 
 SOUNDS = {"aa": ["tion", "the", "ing", "wh"], "bb": ["sch", "ung", "ein", "ü"], "cc": ["eau", "oi", "é", "ç"]}

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from codeloom.llm.packing import Encoder, pack_documents, pack_histogram
-from conftest import ODD_TEXTS, words
+from llm_cases import ODD_TEXTS, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 

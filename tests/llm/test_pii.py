@@ -2,7 +2,7 @@ import random
 import re
 
 from codeloom.llm.pii_crf import KINDS, base_spans, find_pii, find_spans, luhn, train
-from conftest import ODD_TEXTS
+from llm_cases import ODD_TEXTS
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")

@@ -5,7 +5,7 @@ import public_tokenizers
 from codeloom.llm import entry
 from codeloom.llm.packing import Encoder
 from codeloom.llm.simhash_golay import fingerprint
-from conftest import ODD_TEXTS
+from llm_cases import ODD_TEXTS
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 from codeloom.llm.quality import ABSTAIN, LABELLERS, LabelModel, classify, digits, keep_good, votes
-from conftest import ODD_TEXTS
+from llm_cases import ODD_TEXTS
 
 
 def corpus(n=400, seed=1):
