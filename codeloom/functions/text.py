@@ -241,3 +241,10 @@ def search_text(path: Column, content: Column) -> Column:
     """What the file search reads: code whole, other text files' first 4000 characters, else null."""
     ext = extension(path)
     return F.when(ext.isin(*LANGUAGES), content).when(ext.isin(*TEXT_EXTENSIONS), F.substring(content, 1, 4000))
+
+
+def content_hash(text: Column) -> Column:
+    """A signed 32-bit rolling hash: each code unit added to 31 times what was before."""
+    units = F.filter(F.split(text, ""), lambda c: c != "")
+    whole = F.aggregate(units, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + F.ascii(c), F.lit(1 << 32)))
+    return F.when(whole >= 1 << 31, whole - (1 << 32)).otherwise(whole)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
-from codeloom.operators import clustering, code, graph, search
+from codeloom.operators import clustering, code, diagrams, graph, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -728,6 +728,47 @@ def _(t: Tables) -> DataFrame:
     return files.select("file", T.navigator_header(F.col("text")).alias("header"))
 
 
+@query(
+    "content_hash",
+    """WITH h AS (SELECT p_partkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_name, ''), lambda c: ord(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM part)
+    SELECT p_partkey, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS hash FROM h""",
+)
+def _(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", T.content_hash(F.col("p_name")).alias("hash"))
+
+
+@query(
+    "message_rows",
+    """WITH m AS (SELECT conv_id, turn, role AS sender, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS receiver, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS slot FROM conversations),
+    a AS (SELECT role, row_number() OVER (ORDER BY role) - 1 AS at FROM (SELECT DISTINCT role FROM conversations WHERE role <> 'system'))
+    SELECT conv_id, turn, s.at AS from_column, r.at AS to_column, slot * 60 AS y FROM m JOIN a s ON sender = s.role JOIN a r ON receiver = r.role""",
+)
+def _(t: Tables) -> DataFrame:
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    m = t.conversations.select("conv_id", "turn", F.col("role").alias("sender"), F.lead("role").over(order).alias("receiver"), (F.row_number().over(order) - 1).cast("long").alias("slot"))
+    roles = F.array_sort(F.collect_set(F.when(F.col("role") != "system", F.col("role"))))
+    actors = t.conversations.agg(roles.alias("all")).select(F.posexplode("all").alias("at", "role")).select(F.col("at").cast("long"), "role")  # a few roles
+    sender, receiver = (F.broadcast(actors.select(F.col("role").alias(n), F.col("at").alias(c))) for n, c in (("sender", "from_column"), ("receiver", "to_column")))
+    return m.join(sender, "sender").join(receiver, "receiver").select("conv_id", "turn", "from_column", "to_column", (F.col("slot") * 60).alias("y"))
+
+
+@query(
+    "apply_changes",
+    """SELECT doc_id AS key, md5(text) AS hash FROM documents WHERE source NOT IN ('src3', 'src4') AND lang <> 'fr'
+    UNION ALL SELECT doc_id, md5(text || '!') FROM documents WHERE source <> 'src4' AND (lang = 'fr' OR source = 'src3')""",
+)
+def _(t: Tables) -> DataFrame:
+    d = t.documents
+    cache = d.filter("source <> 'src3'").select(F.col("doc_id").alias("key"), F.md5("text").alias("hash"))
+    fresh = d.filter("source <> 'src4' and (lang = 'fr' or source = 'src3')").select(F.col("doc_id").alias("key"), F.md5(F.concat("text", F.lit("!"))).alias("hash"))
+    return search.apply_changes(cache, fresh, d.filter("source = 'src4'").select(F.col("doc_id").alias("key")))
+
+
+@query("latest_status", "SELECT user_id AS node, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS ts FROM events GROUP BY user_id")
+def _(t: Tables) -> DataFrame:
+    return diagrams.latest_status(t.events.select(F.col("user_id").alias("node"), F.col("event_type").alias("status"), "ts", F.col("event_id").alias("seq")))
+
+
 @query("spectral_clusters")
 def _(t: Tables) -> DataFrame:
     return clustering.spectral_clusters(_vectors(t), ["label"])
