@@ -196,13 +196,13 @@ def remove_repeats(docs: DataFrame, window: int, k: int, match: Matcher, id_col:
     source = docs.select(row_key(id_col, text_col).alias("rk"), named(id_col, "doc_id"), F.col(text_col).cast("binary").alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = materialize(source.select("rk", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2")), "repeat-texts")
-    groups = texts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rk")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = materialize(texts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rk")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-groups")
+    # groups and counts are written, so that joins have plain shuffles on both sides, of which Spark can split a hot key
     copies = materialize(texts.join(groups, ["h1", "h2"]).filter("rk <> first.rk").select("rk").distinct(), "repeat-copies")
     few = copies.count() <= BROADCAST_ROWS
     found = source.mapInArrow(_find(window, k), "gram long, rk long, start int, windows int, anchor int")
     places = materialize(found.join(F.broadcast(copies) if few else copies, "rk", "left_anti").select("gram", "rk", "start", "windows", "anchor"), "repeat-positions")
     maybe = RepeatFilter(places, "gram", hashes=1).mark(places, "gram", "__maybe").filter("__maybe").drop("__maybe")
-    # written, so that the join has plain shuffles on both sides, of which Spark can split a hot key
     counts = materialize(maybe.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-counts")
     by_row = maybe.join(counts, "gram").groupBy("rk").agg(F.collect_list(F.struct("gram", "start", "windows", "anchor", (F.col("n") > hot).alias("hot"))).alias("found"))
     arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()

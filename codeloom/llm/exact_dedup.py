@@ -29,7 +29,8 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashes = materialize(docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_sha256")), "exact-hashes")
     marked = RepeatFilter(hashes, "text_sha256").mark(hashes, "text_sha256", "__maybe")
     rows = marked.filter("__maybe").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("__rows"))
-    groups = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("__rows").alias("group_size"))
+    # written, so that the join has plain shuffles on both sides, of which Spark can split a hot group
+    groups = materialize(rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("__rows").alias("group_size")), "exact-groups")
     shuffled = (
         rows.join(groups, "text_sha256")
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__rows").cast("int"))))
