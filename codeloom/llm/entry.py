@@ -105,7 +105,21 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
+_REPEATS_SQL = """
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents),
+        wins AS (SELECT doc_id, s, array_to_string(w[s + 1 : s + {window}], ' ') AS key FROM (SELECT doc_id, w, unnest(range(len(w) - {window} + 1)) AS s FROM d WHERE len(w) >= {window})),
+        later AS (SELECT doc_id, s FROM wins QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, s) > 1),
+        cut AS (SELECT DISTINCT doc_id, s + o.o AS p FROM later, (SELECT unnest(range({window})) AS o) o),
+        islands AS (SELECT doc_id, min(p) AS a, max(p) + 1 AS b FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM cut) GROUP BY doc_id, g),
+        spans AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM islands GROUP BY doc_id),
+        kept AS (SELECT x.doc_id, count(c.p) AS n_removed, string_agg(x.word, ' ' ORDER BY x.i) FILTER (WHERE c.p IS NULL) AS kept
+            FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d) x LEFT JOIN cut c ON c.doc_id = x.doc_id AND c.p = x.i GROUP BY x.doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256, coalesce(s.spans, '') AS spans
+        FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN spans s ON s.doc_id = d.doc_id"""
+
 ORACLE_SQL = {
+    "op1_suffix_array_dedup": _REPEATS_SQL.format(window=50),
+    "op2_substring_dedup": _REPEATS_SQL.format(window=20),
     "op3_source_mixing": """
         WITH RECURSIVE sizes AS (
             SELECT source, sum(coalesce(length(text), 0) + 1)::DOUBLE AS size,
