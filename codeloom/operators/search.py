@@ -42,9 +42,11 @@ def call_sites(lines: DataFrame, names: DataFrame, limit: int = 10, query: str =
     called = lines.select("file", "line", "text", F.explode(F.array_distinct(T.calls_of(F.col("text")))).alias("name"))
     sites = called.join(names, "name").filter(~F.col("text").rlike(r"(?:function|class|enum|interface|struct|type|trait|fn|def|func)\s"))
     key = T.coverage(T.identifier_terms(F.lit(query)), T.identifier_terms(F.concat_ws(" ", "file", "text")))
+    # the rank alone is filtered, so that each task keeps no more of a name than can be wanted
     order = Window.partitionBy("name").orderBy(F.desc("key"), "file", "line")
-    ranked = sites.withColumn("key", key).withColumns({"rank": F.row_number().over(order), "total": F.count(F.lit(1)).over(Window.partitionBy("name"))})
-    return ranked.filter(F.col("rank") <= min(limit, max(30, 4 * limit))).select("name", "rank", "file", "line", T.percent(F.col("key")).alias("keyword_score"), "total")
+    ranked = sites.withColumn("key", key).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= min(limit, max(30, 4 * limit)))
+    totals = sites.groupBy("name").agg(F.count(F.lit(1)).alias("total"))
+    return ranked.join(totals, "name").select("name", "rank", "file", "line", T.percent(F.col("key")).alias("keyword_score"), "total")
 
 
 def cached_vectors(docs: DataFrame, cache: DataFrame) -> DataFrame:
