@@ -63,6 +63,19 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
 
 
+def sample_by_hash(rows: DataFrame, total: int, most: int) -> DataFrame:
+    """At most ``most`` rows with different hashes in column h, of a table of ``total`` rows.
+
+    Rows are thinned by their hash first, to about one and a half times as many, so that what tasks
+    send on does not grow with their number.  Rows of one hash are one, so that a text with many
+    copies counts once; which copy's other columns it gets is the least of them.
+    """
+    if total > 1.5 * most:
+        rows = rows.filter(F.col("h") < int(1.5 * most / total * 2**64) - 2**63)
+    others = [c for c in rows.columns if c != "h"]
+    return rows.groupBy("h").agg(F.min(F.struct(*others)).alias("__row")).orderBy("h").limit(most).select("h", "__row.*")
+
+
 class RepeatFilter:
     """A blocked Bloom filter of the values that may occur in two rows or more of a column.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import row_key
+from codeloom.llm._common import row_key, sample_by_hash
 
 UNKNOWN = "und"
 HAS_LETTER = re.compile(r"[^\W\d_]")
@@ -123,15 +123,16 @@ class ByteNetwork:
 
 
 def train(docs: DataFrame, usable: Column, label_col: str = "lang", text_col: str = "text", most_docs: int = 6000, per_doc: int = 2, epochs: int = 4, window: int = 256) -> ByteNetwork | None:
-    """Fits on windows at random places of at most ``most_docs`` usable rows with a label and text.
+    """Fits on windows at random places of at most ``most_docs`` usable texts with a label.
 
-    The rows are those with the least hash of their text, which is no favour to any place or source.
+    The texts are chosen by their hash, which is no favour to any place, source or number of copies.
     The driver gets most_docs * per_doc windows, however large the table.  None if no row is usable.
     """
-    rows = docs.filter(usable & F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).alias("y"), F.col(text_col).alias("t"))
-    order = F.xxhash64("t")
+    labelled = docs.filter(usable & F.col(label_col).isNotNull())
+    total = labelled.count()
+    rows = labelled.filter(F.length(text_col) > 0).select(F.col(label_col).alias("y"), F.col(text_col).alias("t"))
     places = [F.substring(F.col("t"), (F.pmod(F.xxhash64("t", F.lit(i)), F.greatest(F.length("t") - window, F.lit(1))) + 1).cast("int"), F.lit(window)) for i in range(per_doc)]
-    sample = rows.select(order.alias("o"), "y", F.array(*places).alias("parts")).orderBy("o", "y").limit(most_docs).collect()
+    sample = sample_by_hash(rows.select(F.xxhash64("t").alias("h"), "y", F.array(*places).alias("parts")), total, most_docs).collect()
     if not sample:
         return None
     labels = sorted({r.y for r in sample})
