@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import materialize, row_key
+from codeloom.llm._common import row_key, sample_by_hash
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 #: Votes of a labeller that sees a share of something: bad from the upper bound, good to the lower.
@@ -160,7 +160,7 @@ def _quality(text: bytes | None, scorer: Scorer) -> float:
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([votes(t.as_py()) for t in batch.column(0)], pa.int32()), batch.column(1)], ["pattern", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array([votes(t.as_py()) for t in batch.column(0)], pa.int32())], ["pattern"])
 
 
 def _sampled(size: int) -> Callable:
@@ -190,17 +190,16 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 4000, size: i
     """The scorer and the label model of a table.
 
     Votes are counted over all rows: the driver gets at most 3 to the number of labellers patterns.
-    The scorer is fitted on at most ``train_rows`` rows, those with the least hash of text, with
-    their posterior labels.
+    The scorer is fitted on at most ``train_rows`` different texts, chosen by their hash, with their
+    posterior labels.
     """
     source = docs.select(F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("h"))
-    cast = materialize(source.mapInArrow(_vote, "pattern int, h long"), "votes")
-    seen = cast.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
+    seen = source.select("text").mapInArrow(_vote, "pattern int").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     model = LabelModel.fit(np.array([r.pattern for r in seen], np.int64), np.array([r.n for r in seen], float))
-    bound = cast.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-    if bound is None:
+    chosen = sample_by_hash(source, sum(r.n for r in seen), train_rows).select("text").repartition(4)
+    sample = chosen.mapInArrow(_sampled(size), "pattern int, x binary").collect()
+    if not sample:
         return Scorer(np.zeros(size), 0.0), model
-    sample = source.filter(F.col("h") <= bound).orderBy("h").limit(train_rows).select("text").mapInArrow(_sampled(size), "pattern int, x binary").collect()
     x = np.stack([np.frombuffer(r.x, np.float32) for r in sample]).astype(float)
     return Scorer.fit(x, model.posterior(np.array([r.pattern for r in sample], np.int64))), model
 
