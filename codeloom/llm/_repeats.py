@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from codeloom.llm._common import RepeatFilter, materialize, named, row_key
 
 #: Word hashes that a Python worker remembers.
-MEMO = 200_000
+MEMO = 150_000
+#: Bytes of text in one batch of results.
+PART = 4_000_000
 #: Row keys of copies are broadcast up to this number (16 MB), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1 << 20
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -110,7 +112,7 @@ def _cut(window: int, id_type: pa.DataType) -> Callable:
                             size += len(part) + 300
                         if held is None or (value[0], rk, at) < (held[0], held[2], held[3]):
                             first[route, part] = value
-                if size > 30_000_000:
+                if size > 20_000_000:
                     yield from full()
                     first, size = {}, 0
         yield from full()
@@ -148,35 +150,48 @@ def _judge(window: int, match: Matcher) -> Callable:
     return run
 
 
+def _removed(n: int, window: int, found: list[dict], judged: list[dict], copy: bool) -> np.ndarray:
+    """Which of n words go: those of windows in candidate segments, unless a verdict clears them."""
+    if copy:
+        return np.full(n, n >= window)
+    repeated = np.zeros(n, np.uint8)
+    for x in found:
+        repeated[x["start"] : x["start"] + x["windows"]] = 1
+    for x in judged:
+        flags = np.frombuffer(x["flags"], np.uint8)
+        repeated[x["start"] : x["start"] + len(flags)] = flags
+    edges = np.zeros(n + 1, np.int64)
+    starts = np.flatnonzero(repeated)
+    edges[starts] += 1
+    edges[starts + window] -= 1
+    return np.cumsum(edges)[:n] > 0
+
+
 def _apply(window: int) -> Callable:
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    types = (pa.int64(), pa.int64(), span, pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, spans, kept = [], [], [], []
+            rows: list[tuple] = []
+            first, size = 0, 0
+
+            def part(rows: list[tuple], first: int, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                ids = [batch.column(i).slice(first, len(rows)) for i in (0, 1)]
+                return pa.RecordBatch.from_arrays([*ids, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["rk", "doc_id", "n_words", "n_removed", "spans", "kept"])
+
             for text, found, judged, copy in zip(*(batch.column(i) for i in (2, 3, 4, 5)), strict=True):
                 words = (text.as_py() or b"").split()
-                n = len(words)
-                cut = np.full(n, copy.is_valid and n >= window)
-                if found.is_valid:
-                    repeated = np.zeros(n, np.uint8)
-                    for x in found.as_py():
-                        repeated[x["start"] : x["start"] + x["windows"]] = 1
-                    for x in judged.as_py() or []:
-                        flags = np.frombuffer(x["flags"], np.uint8)
-                        repeated[x["start"] : x["start"] + len(flags)] = flags
-                    edges = np.zeros(n + 1, np.int64)
-                    starts = np.flatnonzero(repeated)
-                    edges[starts] += 1
-                    edges[starts + window] -= 1
-                    cut = np.cumsum(edges)[:n] > 0
-                bounds = np.flatnonzero(np.diff(np.concatenate(([0], cut.view(np.int8), [0])))).reshape(-1, 2)
-                n_words.append(n)
-                n_removed.append(int(cut.sum()))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in bounds])
-                kept.append(b" ".join(w for w, c in zip(words, cut.tolist(), strict=True) if not c) if len(bounds) else b" ".join(words))
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["rk", "doc_id", "n_words", "n_removed", "spans", "kept"]
-            )
+                cut = _removed(len(words), window, found.as_py() or [], judged.as_py() or [], copy.is_valid)
+                bounds = np.flatnonzero(np.diff(np.concatenate(([0], cut.view(np.int8), [0])))).reshape(-1, 2).tolist()
+                kept = b" ".join(w for w, c in zip(words, cut.tolist(), strict=True) if not c) if bounds else b" ".join(words)
+                rows.append((len(words), int(cut.sum()), [{"start": a, "end": b} for a, b in bounds], kept))
+                size += len(kept)
+                if size > PART:
+                    yield part(rows, first)
+                    first, rows, size = first + len(rows), [], 0
+            if rows:
+                yield part(rows, first)
 
     return run
 
