@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import row_key
+from codeloom.llm._common import row_key, sample_by_hash
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, as the contract states them.
@@ -224,13 +224,11 @@ def _examples(most_nodes: int) -> Callable:
 
 
 def train(docs: DataFrame, text_col: str = "text", most_docs: int = 4000, most_nodes: int = 50) -> Field | None:
-    """Fits the unary weights on at most ``most_docs`` texts with a digit or @, those with the least
-    hash of text, and ``most_nodes`` tokens of each.  No given label is used.  None if there are none."""
-    rows = docs.filter(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    bound = rows.select("h").orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]
-    if bound is None:
-        return None
-    seen = rows.filter(F.col("h") <= bound).select("text").mapInArrow(_examples(most_nodes), "y int, x binary").groupBy("y", "x").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "x").collect()
+    """Fits the unary weights on at most ``most_docs`` texts with a digit or @, chosen by
+    their hash, and ``most_nodes`` tokens of each.  No given label is used.  None if there are none."""
+    rows = docs.filter(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    chosen = sample_by_hash(rows, rows.count(), most_docs).select("text")
+    seen = chosen.mapInArrow(_examples(most_nodes), "y int, x binary").groupBy("y", "x").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "x").collect()
     if not seen:
         return None
     x = np.stack([np.frombuffer(r.x, float) for r in seen])
