@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm._common import materialize, row_key
 
-#: Word pieces whose ids a Python worker remembers.
-MEMO = 800_000
+#: Word pieces whose ids a Python worker remembers, about 200 bytes each.
+REMEMBERED = 800_000
 #: The tokenizer's own split of a lower-case text, spelled out for characters up to U+00FF.
 LETTER, DIGIT, SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
@@ -32,11 +32,12 @@ class Encoder:
     the tokenizer whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.remembered = remembered
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -50,7 +51,7 @@ class Encoder:
         try:
             return b"".join(map(memo.__getitem__, pieces))
         except KeyError:
-            if len(memo) > MEMO:
+            if len(memo) > self.remembered:
                 memo.clear()
             new = list({p for p in pieces if p not in memo})
             for piece, found in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
@@ -61,20 +62,20 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, remembered: int) -> Encoder:
     """One for each Python worker, which serves many tasks."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, remembered)
     return _ENCODERS[path]
 
 
-def _tokenize(path: str, capacity: int, end_id: int, id_type: pa.DataType):
+def _tokenize(path: str, capacity: int, end_id: int, remembered: int, id_type: pa.DataType):
     names = ["rk", "doc_id", "piece", "start", "length", "ids_crc32", "task", "place"]
     types = [pa.int64(), id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(path, remembered), np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows = []
@@ -236,7 +237,7 @@ def _place(slots):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: rk, doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids are the tokenizer's without special tokens, then ``end_id``; only longer ones are
@@ -245,7 +246,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     their length, which is made of ranks within tasks and the counts of tasks before, so no task
     ranks all pieces of a common length.  The table of slots has a few rows for each different length.
 
-    ``tokenizer`` is the path of a word_bpe file, on every executor.  Null counts as empty: one piece
+    ``tokenizer`` is the path of a word_bpe file, on every executor; ``remembered`` bounds the word
+    pieces a Python worker keeps ids of, which trades memory for time and changes no result.  Null counts as empty: one piece
     with ``end_id`` alone.  Rows with equal or null ids are packed one by one; rk tells texts apart.
     An empty table gives an empty result.  Other columns are not read.
     """
@@ -254,7 +256,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     id_type = docs.schema[id_col].dataType.simpleString()
     arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
     schema = f"rk long, doc_id {id_type}, piece int, start long, length long, ids_crc32 long, task int, place long"
-    pieces = materialize(source.mapInArrow(_tokenize(tokenizer, capacity, end_id, arrow_id), schema), "pieces")
+    pieces = materialize(source.mapInArrow(_tokenize(tokenizer, capacity, end_id, remembered, arrow_id), schema), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
