@@ -17,8 +17,9 @@ BOUNDS = {"signs": (0.01, 0.06), "doubled": (0.004, 0.02), "capitals": (0.12, 0.
 LABELLERS = tuple(BOUNDS)
 #: What each kind of bad document starts from.
 BAD_KINDS = (("signs", "doubled", "joined"), ("capitals", "shouts"), ("bars",), ("repeats", "few_words"), ("no_letters",))
-#: Texts with fewer words get no votes of labellers that need several.
+#: In texts with fewer words only these labellers vote, and only bad: a few clean words prove nothing.
 FEW = 8
+ANY_LENGTH = ("signs", "doubled", "capitals", "bars", "no_letters", "joined")
 LOWER, UPPER, SIGNS = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"*$&#%@~^=<>{}[]\\_+|"
 #: Classes of bytes: letters by case, digits, spaces, line ends, beyond ASCII; every other sign its own.
 _CLASSES = bytearray(range(256))
@@ -58,11 +59,14 @@ def shares(text: bytes, words: list[bytes]) -> np.ndarray:
 def votes(text: bytes | None) -> int:
     """The labellers' votes as digits to base 3."""
     words = (text or b"").split()
-    if len(words) < FEW:
+    if not words:
         return sum(ABSTAIN * 3**i for i in range(len(LABELLERS)))
-    seen, out = shares(text, words), 0
-    for i, (low, high) in enumerate(BOUNDS.values()):
-        out += (BAD if seen[i] >= high else GOOD if seen[i] <= low else ABSTAIN) * 3**i
+    seen, out, few = shares(text, words), 0, len(words) < FEW
+    for i, (name, (low, high)) in enumerate(BOUNDS.items()):
+        if few:
+            out += (BAD if name in ANY_LENGTH and seen[i] >= high else ABSTAIN) * 3**i
+        else:
+            out += (BAD if seen[i] >= high else GOOD if seen[i] <= low else ABSTAIN) * 3**i
     return out
 
 
@@ -70,6 +74,12 @@ def digits(patterns: np.ndarray) -> np.ndarray:
     return patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
+def unsaid(cast: np.ndarray) -> np.ndarray:
+    """Votes that were not asked for: a text without any vote for good has few words, and there
+    abstaining is no evidence."""
+    return (cast == ABSTAIN) & ~(cast == GOOD).any(1)[:, None]
+
+
 class LabelModel:
     """How often each labeller votes what on good documents and on each kind of bad ones, and how many
     there are of each.  Labellers are independent within a kind, not among bad documents at large:
@@ -80,7 +90,8 @@ class LabelModel:
 
     def _by_class(self, patterns: np.ndarray) -> np.ndarray:
         cast, log = digits(patterns), np.log(self.rate)
-        each = np.stack([log[c, np.arange(len(LABELLERS))[None, :], cast].sum(1) for c in range(len(self.share))], axis=1) + np.log(self.share)
+        told = ~unsaid(cast)
+        each = np.stack([(log[c, np.arange(len(LABELLERS))[None, :], cast] * told).sum(1) for c in range(len(self.share))], axis=1) + np.log(self.share)
         p = np.exp(each - each.max(1, keepdims=True))
         p[~(cast == BAD).any(1), 1:] *= 1e-6  # no kind of bad goes without a vote for bad
         return p / p.sum(1, keepdims=True)
@@ -102,6 +113,7 @@ class LabelModel:
         if not len(patterns):
             return model
         cast = digits(patterns)
+        cast = np.where(unsaid(cast), -1, cast)
         for _ in range(rounds):
             p = model._by_class(patterns) * counts[:, None]
             rate = np.stack([[[p[cast[:, i] == v, c].sum() for v in range(3)] for i in range(len(LABELLERS))] for c in range(len(start))]) + start
@@ -113,6 +125,8 @@ class LabelModel:
 def features(text: bytes | None, size: int) -> np.ndarray:
     """Hashed counts of three-byte class patterns and of word repeats, as shares."""
     text = text or b""
+    if 0 < len(text) < 3:
+        text = b" " + text + b" "
     out = np.zeros(size, np.float32)
     if len(text) >= 3:
         c = np.frombuffer(text.translate(CLASSES), np.uint8).astype(np.int64)
@@ -152,8 +166,8 @@ class Scorer:
 
 
 def _quality(text: bytes | None, scorer: Scorer) -> float:
-    """A text's score; one with too few words for the labellers is not judged and counts as good."""
-    if len((text or b"").split(None, FEW)) < FEW:
+    """A text's score; one without words counts as good."""
+    if not (text or b"").strip():
         return 1.0
     return float(scorer.score(features(text, len(scorer.weights))))
 
@@ -211,7 +225,8 @@ def classify(docs: DataFrame, fitted: tuple[Scorer, LabelModel] | None = None, t
     maximisation estimates how reliable each is from the votes of all documents; the posterior labels
     train a linear scorer on hashed features, whose score decides.  No given label is used.
 
-    A text of fewer than 8 words, null and empty ones too, is not judged: it has score 1 and stays.
+    Every text with a word is scored, however short; on fewer than 8 words only labellers that need no
+    more vote, and only bad.  A text without words, null and empty ones too, has score 1 and stays.
     Ids may repeat or be null.  An empty table gives an empty result.  Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fitted or fit(docs, text_col, train_rows))

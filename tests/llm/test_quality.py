@@ -48,6 +48,18 @@ def test_few_words_are_not_judged():
     assert set(digits(np.array([votes(b"a b c")]))[0].tolist()) == {ABSTAIN}
 
 
+def test_short_texts_are_judged(table):
+    rows = [r[:2] for r in corpus()]
+    bad = ["That*** atly.###", "Onesnt | theaeati | onanshat |", "$*&#" * 3000, "ON THE WHAN!!"]
+    good = ["That on the whan.", "Anti onwh the.", "Thewh er on"]
+    short = [(1000 + k, t) for k, t in enumerate(bad + good)]
+    got = {r.doc_id: r for r in classify(table(rows + short)).collect()}
+    assert [got[i].keep for i, _ in short] == [False] * len(bad) + [True] * len(good)
+    assert all(got[i].weak_label > 0.9 for i, _ in short[len(bad) :])
+    kept = {r.doc_id for r in keep_good(table(rows + short)).collect()}
+    assert kept == {i for i, r in got.items() if r.keep}
+
+
 def test_odd_texts_and_empty(table):
     odd = table([(i, t) for i, t in enumerate(ODD_TEXTS)] + [(None, "a"), (1, "a"), (1, "a")])
     assert classify(odd).count() == len(ODD_TEXTS) + 3
