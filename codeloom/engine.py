@@ -89,7 +89,14 @@ class Engine:
 
     @cached_property
     def _vectors(self) -> DataFrame:
-        keyed = self.files.select(F.col("relative_path").alias("key"), F.substring("content", 1, 4000).alias("text"))
+        """Of each file's path and header with, for code, all symbols and signatures, else the first 4000 characters."""
+        first = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", name))), lambda x: x[name]), " ")
+        found = self.symbols.groupBy("file").agg(first("name").alias("names"), first("signature").alias("signatures"))
+        held = self.files.join(found, F.col("relative_path") == F.col("file"), "left")
+        is_code = T.extension(F.col("relative_path")).isin(*T.LANGUAGES)
+        read = F.when(is_code, F.col("content")).otherwise(F.substring("content", 1, 4000))
+        text = F.concat_ws(" ", "relative_path", T.code_header(read), "names", F.when(is_code, F.col("signatures")).otherwise(read))
+        keyed = held.select(F.col("relative_path").alias("key"), text.alias("text"))
         return providers.embed_rows(keyed, provider=self.provider).cache()
 
     def semantic_code_search(self, query: str, k: int = 5, **bounds: float) -> DataFrame:

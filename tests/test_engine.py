@@ -147,3 +147,18 @@ def test_diagram_rules(spark):
     raw = spark.createDataFrame([(' ```json\n{"a": [1, [2]]}\n``` ',)], "t string")
     r = raw.select(diagrams.without_fence(raw.t).alias("x"), diagrams.json_array_in(raw.t).alias("y")).first()
     assert r.x == '{"a": [1, [2]]}' and r.y == "[1, [2]]"
+
+
+def test_vectors_see_all_of_a_long_code_file(spark, tmp_path):
+    (tmp_path / "long.py").write_text("# header\n" + "x = 1\n" * 1000 + "def zebra_crossing(stripes):\n    return stripes\n")
+    (tmp_path / "notes.md").write_text("word " * 1000 + "zebra_crossing")
+
+    def provider(texts):
+        (tmp_path / "seen.txt").open("a").write("".join(t.replace("\n", " ") + "\n" for t in texts))
+        return [[1.0, 0.0] for _ in texts]
+
+    engine = Engine(spark, str(tmp_path), provider)
+    engine._vectors.count()
+    lines = {x.split()[0]: x for x in (tmp_path / "seen.txt").read_text().splitlines()}
+    assert "zebra_crossing(stripes)" in lines["long.py"] and lines["long.py"].count("x = 1") < 3
+    assert "zebra_crossing" not in lines["notes.md"]
