@@ -10,6 +10,7 @@ windows of each group of segments.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from codeloom.llm._common import RepeatFilter, materialize, named, row_key
+from codeloom.llm._common import RepeatFilter, materialize, named, quoted, row_key
 
 #: Word hashes that a Python worker remembers.
 MEMO = 150_000
@@ -28,6 +30,9 @@ PART = 4_000_000
 BROADCAST_ROWS = 1 << 20
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
+#: Words of an automaton's shard, by estimate and at most but for one group.
+SHARD_WORDS = 50_000
+
 #: Judges one group: each segment's words, place of the selected position and number of windows, in
 #: order of (doc_id, start), to one array for each segment that tells which windows occur in an
 #: earlier segment.
@@ -121,7 +126,7 @@ def _cut(window: int, id_type: pa.DataType) -> Callable:
 
 
 def _judge(window: int, match: Matcher) -> Callable:
-    """Rows come sorted by route, then id and start; a route's rows are one group."""
+    """Rows come sorted by group, then id and start."""
 
     def verdicts(group: list[tuple]) -> list[tuple]:
         if len(group) == 1:  # a segment's own windows differ, as they are at different distances from its position
@@ -196,32 +201,40 @@ def _apply(window: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int, k: int, match: Matcher, id_col: str = "doc_id", text_col: str = "text", hot: int = 2048) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int, k: int, match: Matcher, id_col: str = "doc_id", text_col: str = "text", hot: int = 2048, shard_words: int | None = None, max_bits: int = 1 << 29) -> DataFrame:
     """One row per document: rk, doc_id, n_words, n_removed, spans (removed word ranges), kept_text.
 
     A word goes if it is covered by a window whose words also start earlier: in a row with a smaller
     id, or earlier in the same row.  Windows are judged on the input.
 
     Of rows with equal texts the first alone is looked at; the others have nothing that is not
-    repeated.  Positions go to a written table.  A Bloom filter of bounded size drops most that occur
-    once, an aggregation the rest; texts are shuffled once, by row.  A position that occurs more than
-    ``hot`` times is routed window by window instead, so that no task gets an unbounded group: equal
-    windows are one row for each task before they are shuffled.
+    repeated.  Positions go to a written table and are counted there; a Bloom filter of those that
+    occur again, sized by their number, clears most of the rest, and beyond ``max_bits`` of it a join
+    does.  Texts are shuffled once, by row.  A position that occurs more than ``hot`` times is routed
+    window by window instead, so that no task gets an unbounded group: equal segments and windows are
+    one row for each task before they are shuffled.
+
+    A group is what shares a position's k words, or, with ``shard_words``, a shard: such groups dealt
+    by hash to as many shards as hold so many words each.
     """
-    source = docs.select(row_key(id_col, text_col).alias("rk"), named(id_col, "doc_id"), F.col(text_col).cast("binary").alias("text"))
+    source = docs.select(row_key(quoted(id_col), quoted(text_col)).alias("rk"), named(id_col, "doc_id"), F.col(quoted(text_col)).cast("binary").alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = materialize(source.select("rk", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2")), "repeat-texts")
+    texts = materialize(source.select("rk", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2")), "repeat-texts")
     groups = materialize(texts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rk")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-groups")
     # groups and counts are written, so that joins have plain shuffles on both sides, of which Spark can split a hot key
     copies = materialize(texts.join(groups, ["h1", "h2"]).filter("rk <> first.rk").select("rk").distinct(), "repeat-copies")
     few = copies.count() <= BROADCAST_ROWS
     found = source.mapInArrow(_find(window, k), "gram long, rk long, start int, windows int, anchor int")
     places = materialize(found.join(F.broadcast(copies) if few else copies, "rk", "left_anti").select("gram", "rk", "start", "windows", "anchor"), "repeat-positions")
-    maybe = RepeatFilter(places, "gram", hashes=1).mark(places, "gram", "__maybe").filter("__maybe").drop("__maybe")
-    counts = materialize(maybe.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-counts")
-    by_row = maybe.join(counts, "gram").groupBy("rk").agg(F.collect_list(F.struct("gram", "start", "windows", "anchor", (F.col("n") > hot).alias("hot"))).alias("found"))
-    arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
+    repeated = RepeatFilter(places, "gram", hashes=1, bits_each=8, max_bits=max_bits, hashed=True)
+    by_row = repeated.only(places, "gram", "n").groupBy("rk").agg(F.collect_list(F.struct("gram", "start", "windows", "anchor", (F.col("n") > hot).alias("hot"))).alias("found"))
+    arrow_id = to_arrow_type(docs.schema[id_col].dataType)
     cut = source.join(by_row, "rk").mapInArrow(_cut(window, arrow_id), f"route long, words binary, doc_id {id_type}, rk long, start int, windows int, anchor int")
+    if shard_words:
+        segments_of = repeated.counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        # a segment has half as many windows as the minimum is taken of, on average, and so many words more
+        shards = max(1, math.ceil(segments_of * (window + (window - k) / 2) / shard_words))
+        cut = cut.withColumn("route", F.pmod(F.xxhash64(F.lit(5), "route"), F.lit(shards)))
     firsts = cut.repartition("route").groupBy("route", "words").agg(F.min(F.struct("doc_id", "rk", "start", "windows", "anchor")).alias("f"))
     sorted_rows = firsts.select("route", "words", "f.rk", "f.start", "f.windows", "f.anchor", "f.doc_id").sortWithinPartitions("route", "doc_id", "rk", "start")
     judged = sorted_rows.mapInArrow(_judge(window, match), "rk long, start int, flags binary").groupBy("rk").agg(F.collect_list(F.struct("start", "flags")).alias("judged"))

@@ -71,7 +71,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
-    return find_pii(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    more = [F.size("spans").cast("long").alias("n_spans"), F.size("secrets").cast("long").alias("n_secret"), (F.size("spans") + F.size("secrets")).cast("long").alias("n_private"), text("secrets").alias("secret_spans")]
+    return find_pii(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"), *more)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import RepeatFilter, materialize
+from codeloom.llm._common import RepeatFilter, materialize, quoted, tie_break, whole_row
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,12 +44,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without the rows that find_copies does not keep, columns unchanged.
 
     Rows that the filter clears keep their place; only possibly repeated ones are shuffled, and of
-    those the text moves once.
+    those the text moves once.  Of rows that repeat the kept id, in texts equal but for case too, the
+    one with the largest hash of all columns stays.  Null text counts as empty, a null id is less than
+    any other, an empty table stays empty, and no column name clashes with those used here.
     """
-    hashes = materialize(docs.select(F.col(id_col).alias("__id"), text_hash(text_col).alias("__group")), "exact-hashes")
-    bloom = RepeatFilter(hashes, "__group")
-    groups = bloom.mark(hashes, "__group", "__maybe").filter("__maybe").groupBy("__group").agg(F.max("__id").alias("__keep"))
-    rows = bloom.mark(docs.withColumn("__sha", text_hash(text_col)), "__sha", "__maybe")
-    alone = rows.filter("not __maybe").select(*docs.columns)
-    kept = rows.filter("__maybe").join(groups, (F.col("__sha") == F.col("__group")) & F.col(id_col).eqNullSafe(F.col("__keep")))
-    return alone.unionByName(kept.dropDuplicates(["__sha"]).select(*docs.columns))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), text_hash(quoted(text_col)).alias("group"), tie_break(docs).alias("tie"), whole_row(docs).alias("row"))
+    narrow = materialize(rows.select("id", "group", "tie"), "exact-hashes")
+    bloom = RepeatFilter(narrow, "group")
+    stay = bloom.mark(narrow, "group", "maybe").filter("maybe").groupBy(F.col("group").alias("of")).agg(F.max(F.struct("id", "tie")).alias("best"))
+    marked = bloom.mark(rows, "group", "maybe")
+    kept = marked.filter("maybe").join(stay, (F.col("group") == F.col("of")) & F.col("id").eqNullSafe(F.col("best.id")) & (F.col("tie") == F.col("best.tie")))
+    return marked.filter("not maybe").select("row.*").unionByName(kept.dropDuplicates(["group"]).select("row.*"))

@@ -14,25 +14,52 @@ LANES = 8
 SHIFT, STEPS = 128.0, float(1 << 23)
 
 
-def with_next(docs: DataFrame, per_block: int = 500) -> DataFrame:
-    """From (rk, doc_id, text), adds __next_rk and __next_text of the row next in order of id.
+def _bounds(docs: DataFrame, per_block: int, most_blocks: int) -> list[tuple]:
+    """(doc_id, rk) pairs that cut docs into blocks of about ``per_block`` rows, at most ``most_blocks``:
+    quantiles of a sample by a hash of rk, of 16 rows a block."""
+    rows = docs.count()
+    blocks = min(most_blocks, rows // per_block)
+    if blocks < 2:
+        return []
+    share = min(1.0, 16 * blocks / rows)
+    sample = sorted(tuple(r) for r in docs.filter(F.xxhash64(F.lit(3), "rk") <= min(2**63 - 1, int((share - 0.5) * 2**64))).filter("doc_id is not null").select("doc_id", "rk").distinct().collect())
+    return sorted({sample[i * len(sample) // blocks] for i in range(1, blocks)}) if sample else []
 
-    After the last comes the first.  Rows are ordered within blocks of ids, each a window of its own;
-    only a block's last row looks up the first of the next block that has rows.  One task sees a row
-    for each block, without text.
+
+def _constant(numbers: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>") if numbers else F.lit([]).cast("array<bigint>")
+
+
+def with_next(docs: DataFrame, per_block: int = 500, most_blocks: int = 1 << 14) -> DataFrame:
+    """From (rk, doc_id, text), adds __next_rk and __next_text of the row next in order of (id, rk).
+
+    After the last comes the first.  Rows are ordered within blocks, each a window of its own; blocks
+    are cut at quantiles, so they are even however ids lie, and many rows of one id are cut too.  Rows
+    with a null id come first and are cut by their hash alone, which is even.  Only a block's last row
+    looks up the first of the next block that has rows, over a table of a row for each block.
     """
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = (int(high) - int(low)) // max(1, rows // per_block) + 1 if low is not None else 1
-    block = F.coalesce(F.expr(f"(doc_id - {int(low or 0)}) div {width}"), F.lit(-1))
+    rows, nulls = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    cuts = _bounds(docs, per_block, most_blocks)
+    parts = max(1, min(most_blocks, nulls // per_block))
+    if cuts:
+        # the number of cuts at or before a row, by halving: log2 steps of built-in functions over two constant arrays
+        lists = [_constant([c[i] for c in cuts]) for i in (0, 1)]
+        before = lambda i: (F.get(lists[0], i) < F.col("doc_id")) | ((F.get(lists[0], i) == F.col("doc_id")) & (F.get(lists[1], i) <= F.col("rk")))
+        steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+        place = F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= len(cuts)) & before(n + step - 1), n + step).otherwise(n)).cast("long")
+    else:
+        place = F.lit(0).cast("long")
+    # a null id's block is below 0; the hash in its upper 32 bits grows with rk
+    null_place = F.expr(f"((shiftright(rk, 32) + 2147483648) * {parts}) div 4294967296 - {parts}")
+    block = F.when(F.col("doc_id").isNull(), null_place).otherwise(place)
     order = Window.partitionBy("__block").orderBy(F.col("doc_id").asc_nulls_first(), "rk")
     held = docs.withColumn("__block", block).withColumns(
         {"__at": F.row_number().over(order), "__next_rk": F.lead("rk").over(order), "__next_text": F.lead("text").over(order)}
     )
     firsts = held.filter("__at = 1").select(F.col("__block").alias("__of"), F.col("rk").alias("__next_rk"), F.col("text").alias("__next_text"))
-    blocks = docs.select(block.alias("__block")).distinct()
-    along = Window.orderBy("__block")
-    first_block = blocks.agg(F.min("__block")).first()[0]
-    following = blocks.withColumn("__of", F.coalesce(F.lead("__block").over(along), F.lit(first_block)))
+    there = sorted(r[0] for r in docs.select(block.alias("b")).distinct().collect())  # most_blocks twice at most
+    along = F.arrays_zip(_constant(there).alias("__block"), _constant(there[1:] + there[:1]).alias("__of"))
+    following = docs.sparkSession.range(1).select(F.inline(along)).toDF("__block", "__of")
     ends = held.filter("__next_rk is null").drop("__next_rk", "__next_text").join(following, "__block").join(firsts, "__of").drop("__of")
     return held.filter("__next_rk is not null").unionByName(ends).drop("__at", "__block")
 
@@ -40,13 +67,13 @@ def with_next(docs: DataFrame, per_block: int = 500) -> DataFrame:
 def merged_terms(text: str, other: str) -> tuple[dict[str, Column], ...]:
     """Columns, a projection each, that make __terms: (h, n0, n1) for each word of two texts.
 
-    h has 57 bits of the word's hash, and 6 of its length.  Words are sorted by it, those of the other
+    h has 47 bits of the word's hash, and 16 of its length (65,535 at most).  Words are sorted by it, those of the other
     text behind; the ends of runs give the counts.
     """
 
     def hashed(name: str, side: int) -> Column:
         words = F.filter(F.split(F.col(name), "[\\t-\\r ]+"), lambda w: w != "")
-        return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-128)).bitwiseOR(F.least(F.length(w), F.lit(63)).cast("long") * 2 + side))
+        return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-1 << 17)).bitwiseOR(F.least(F.length(w), F.lit(65535)).cast("long") * 2 + side))
 
     same = lambda a, b: F.shiftright(a, 1) == F.shiftright(b, 1)
     ends = F.filter(
@@ -86,7 +113,7 @@ def signatures(pairs: DataFrame, key: str, text: str, other: str, samples: int =
         terms = terms.withColumns(step)
     # explode() would bring a filter that the optimizer pushes down, with all these columns spelled out in it
     rows = terms.select(key, F.explode_outer("__terms").alias("__t")).select(key, "__t.*")
-    length = F.col("h").bitwiseAND(F.lit(63)).cast("double")
+    length = F.col("h").bitwiseAND(F.lit(65535)).cast("double")
     weighed = rows.select(key, "h", F.ln(F.col("n0") * length * length).alias("ln0"), F.ln(F.col("n1") * length * length).alias("ln1"))
     lanes = weighed.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // LANES))))
     each = range(LANES)
@@ -124,8 +151,9 @@ def fingerprint_documents(docs: DataFrame, samples: int = 32, id_col: str = "doc
 
     The edited text has the last floor(n_chars / 4) code points replaced by as many of the next
     document's first (ascending id, after the last the first), or all it has.  Words are split at
-    ASCII white space.  The texts are shuffled once, by blocks of ids; a word's samples are reduced
-    where the text is, so what is shuffled next is the size of the fingerprints.
+    ASCII white space; beyond 65,535 characters a word weighs no more.  The texts are shuffled once, by
+    blocks of ids; a word's samples are reduced where the text is, so what is shuffled next is the size
+    of the fingerprints.
 
     Null counts as empty; a text without words has a fingerprint of zeros, alike only to another.
     Rows with equal ids follow each other in the order of a hash; a null id comes first.  Ids are

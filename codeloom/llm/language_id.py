@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from codeloom.llm._common import row_key, sample_by_hash
 
 UNKNOWN = "und"
-HAS_LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile(r"[A-Za-z]")
 #: Bytes as the network sees them: A-Z lower-cased, other signs below 0x80 as a space, the rest as they are.
 SEEN = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character's Unicode category is L: signs such as a superscript 2 are no letters."""
+    return bool(ASCII_LETTER.search(text)) or (not text.isascii() and any(c.isalpha() for c in text))
+
+
 @dataclass
 class ByteNetwork:
     """Embeds bytes, filters of several widths, the maximum over a window, and a softmax."""
@@ -129,10 +134,9 @@ def train(docs: DataFrame, usable: Column, label_col: str = "lang", text_col: st
     The driver gets most_docs * per_doc windows, however large the table.  None if no row is usable.
     """
     labelled = docs.filter(usable & F.col(label_col).isNotNull())
-    total = labelled.count()
     rows = labelled.filter(F.length(text_col) > 0).select(F.col(label_col).alias("y"), F.col(text_col).alias("t"))
     places = [F.substring(F.col("t"), (F.pmod(F.xxhash64("t", F.lit(i)), F.greatest(F.length("t") - window, F.lit(1))) + 1).cast("int"), F.lit(window)) for i in range(per_doc)]
-    sample = sample_by_hash(rows.select(F.xxhash64("t").alias("h"), "y", F.array(*places).alias("parts")), total, most_docs).collect()
+    sample = sample_by_hash(rows.select(F.xxhash64("t").alias("h"), "y", F.array(*places).alias("parts")), most_docs).collect()
     if not sample:
         return None
     labels = sorted({r.y for r in sample})
@@ -142,16 +146,17 @@ def train(docs: DataFrame, usable: Column, label_col: str = "lang", text_col: st
     return network.fit(x, y, epochs)
 
 
+#: The filters' tables of the network seen last, by the broadcast's number.
 _TABLES: dict[int, list] = {}
 
 
-def _predict(shared) -> object:
+def _predict(shared, number: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network: ByteNetwork = shared.value
-        if id(network) not in _TABLES:
+        if number not in _TABLES:
             _TABLES.clear()
-            _TABLES[id(network)] = network.tables()
-        tables = _TABLES[id(network)]
+            _TABLES[number] = network.tables()
+        tables = _TABLES[number]
 
         def scored(texts: list[str]) -> list[tuple[str, float]]:
             windows = [network.windows(t.encode()) for t in texts]
@@ -166,7 +171,7 @@ def _predict(shared) -> object:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-            known = [i for i, t in enumerate(texts) if t and HAS_LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if t and has_letter(t)]
             at = 0
             while at < len(known):
                 part, size = [], 0
@@ -193,4 +198,4 @@ def predict(docs: DataFrame, network: ByteNetwork | None, id_col: str = "doc_id"
     if network is None:
         return source.select("doc_id", "rk", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    return source.mapInArrow(_predict(shared), f"doc_id {docs.schema[id_col].dataType.simpleString()}, rk long, lang_pred string, score double")
+    return source.mapInArrow(_predict(shared, shared._jbroadcast.id()), f"doc_id {docs.schema[id_col].dataType.simpleString()}, rk long, lang_pred string, score double")

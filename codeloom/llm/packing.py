@@ -7,12 +7,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codeloom.llm._common import materialize, row_key
 
@@ -92,59 +94,75 @@ def _tokenize(path: str, capacity: int, end_id: int, remembered: int, id_type: p
     return run
 
 
-def solve_fractional(need: np.ndarray, capacity: int, accuracy: float = 0.1, most: int = 4000) -> dict[tuple[int, ...], float]:
-    """How often to use each configuration (sizes that fit into capacity) to cover need[size].
-
-    Multiplicative weights: a size's price falls exponentially with the share of it that is covered;
-    each step prices configurations by a knapsack dynamic program, and uses the dearest as often as
-    covers ``accuracy`` of one of its sizes.  Uses are scaled so that the least covered size is
-    covered about once.
+def dearest(weights: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The knapsack of the highest price: how much it is worth, and how often it holds each size."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for room in range(int(weights[0]), capacity + 1):
+        n = int(np.searchsorted(weights, room, "right"))
+        worth = prices[:n] + best[room - weights[:n]]
+        top = int(worth.argmax())
+        best[room], last[room] = (worth[top], top) if worth[top] > best[room - 1] else (best[room - 1], -1)
+    held, room = np.zeros(len(weights), np.int64), capacity
+    while room > 0:
+        if last[room] >= 0:
+            held[last[room]] += 1
+            room -= int(weights[last[room]])
+        else:
+            room -= 1
+    return float(best[capacity]), held
+
+
+def solve_fractional(weights: np.ndarray, need: np.ndarray, capacity: int, gap: float = 0.05, rate: float = 0.1, lazy: int = 50) -> tuple[dict[tuple[int, ...], float], float]:
+    """How often to use each configuration (how many of each size, within capacity) to cover need, and
+    a lower bound on all uses.
+
+    Multiplicative weights: a size's price falls exponentially with how often it is covered, and each
+    step uses the dearest configuration as often as covers ``rate`` of one of its sizes.  A knapsack
+    dynamic program prices configurations; as prices move slowly, it is asked every ``lazy`` steps and
+    known configurations serve in between.  Its prices are a dual solution: need at these prices, by
+    the worth of the dearest configuration, bounds every solution from below.  Steps end when the
+    uses, scaled to cover all, are within ``gap`` of the best bound; where a hundred times as many
+    steps as there are sizes bring them no nearer, ``rate`` is halved.
     """
-    sizes = np.flatnonzero(need)
-    uses: dict[tuple[int, ...], float] = {}
-    if not len(sizes):
-        return uses
-    covered = np.zeros(len(need))
-    for _ in range(most):
-        share = covered[sizes] / need[sizes]
+    if not len(weights):
+        return {}, 0.0
+    known = np.empty((0, len(need)))
+    uses = np.zeros(0)
+    covered, bound, best, stale, steps = np.zeros(len(need)), 0.0, np.inf, 0, 0
+    while True:
+        share = covered / need
         low = share.min()
-        if low >= 3:
-            break
-        price = np.zeros(len(need))
-        price[sizes] = np.exp(-(share - low) / accuracy) / need[sizes]
-        best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, int)
-        for room in range(1, capacity + 1):
-            fit = sizes[: np.searchsorted(sizes, room, "right")]
-            best[room], last[room] = best[room - 1], 0
-            if len(fit):
-                worth = price[fit] + best[room - fit]
-                top = int(worth.argmax())
-                if worth[top] > best[room]:
-                    best[room], last[room] = worth[top], fit[top]
-        chosen, room = [], capacity
-        while room > 0:
-            if last[room]:
-                chosen.append(int(last[room]))
-                room -= last[room]
-            else:
-                room -= 1
-        counts = Counter(chosen)
-        step = accuracy * min(need[s] / m for s, m in counts.items())
-        config = tuple(sorted(chosen, reverse=True))
-        uses[config] = uses.get(config, 0.0) + step
-        for s, m in counts.items():
-            covered[s] += m * step
-    scale = max(1e-9, float(np.median(covered[sizes] / need[sizes])))
-    return {c: x / scale for c, x in uses.items()}
-
-
-def pack_histogram(counts: dict[int, int], capacity: int, grain: int = 32) -> list[tuple[int, list[int]]]:
+        price = np.exp(low - share) / need
+        if steps % lazy == 0:
+            worth, held = dearest(weights, price, capacity)
+            bound = max(bound, float(price @ need) / worth)
+            if not (known == held).all(1).any():
+                known, uses = np.vstack((known, held)), np.append(uses, 0.0)
+            if low > 0:
+                found = float(uses.sum() / low)
+                if found <= bound * (1 + gap):
+                    break
+                best, stale = (found, 0) if found < best * (1 - gap / 50) else (best, stale + lazy)
+                if stale > 100 * len(need):
+                    rate, stale = rate / 2, 0
+        steps += 1
+        at = int((known @ price).argmax())
+        some = known[at] > 0
+        step = rate * float((need[some] / known[at][some]).min())
+        uses[at] += step
+        covered += known[at] * step
+    return {tuple(np.repeat(np.arange(len(c)), c.astype(int))[::-1].tolist()): x / low for c, x in zip(known, uses, strict=True) if x}, bound
+
+
+def pack_histogram(counts: dict[int, int], capacity: int, grain: int = 64, unit: int = 8) -> list[tuple[int, list[int]]]:
     """(times, lengths) rows that use up every length's count, each row's lengths fitting capacity.
 
-    The program is solved over lengths rounded up to ``grain``.  Rounding takes each configuration
-    its whole number of times, longest lengths of each size first, and its last lengths by best fit;
-    what is left over is packed longest first with the best fit of one or two lengths.  Work depends
-    on the number of different lengths and not on that of pieces.
+    The program is solved over cells of ``grain`` lengths, or over the lengths where they are few; a
+    cell weighs its mean length, in whole ``unit``s.  Rounding uses every configuration its whole
+    number of times and with all its cells: a cell's place takes the length at hand that keeps the sum
+    nearest to that of the means, the last two places those that fill the room best, until no lengths
+    are left that fill the sequence as the program counts on.  What room is left, and the pieces left
+    over, are filled longest first with the best fit of one or two lengths.  Work depends on the number of different lengths and not on that of pieces.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
@@ -189,22 +207,41 @@ def pack_histogram(counts: dict[int, int], capacity: int, grain: int = 32) -> li
             room -= sum(more)
         return lengths
 
-    sizes = np.zeros(capacity // grain + 2, np.int64)
-    for length in np.flatnonzero(left):
-        sizes[-(-int(length) // grain)] += left[length]
-    for config, wanted in sorted(solve_fractional(sizes, capacity // grain).items(), key=lambda x: x[0], reverse=True):
-        quota = int(wanted)
-        while quota > 0:
-            lengths: list[int] = []
-            for size in config[: max(1, len(config) - 2)]:
-                span = np.flatnonzero(left[(size - 1) * grain + 1 : size * grain + 1]) + (size - 1) * grain + 1
-                span = [int(x) for x in span[::-1] if left[x] > lengths.count(int(x))]
-                if not span:
-                    break
-                lengths.append(span[0])
-            if not lengths or not (times := use(fill(lengths), quota)):
-                break
-            quota -= times
+    def at_hand(cell: int, room: int, held: list[int]) -> list[int]:
+        return [x for x in members[cell] if x <= room and left[x] > held.count(x)]
+
+    def placed(config: list[int]) -> list[int]:
+        """Lengths at hand for all of a configuration's cells, with a sum of their means at least; none
+        if there are no such."""
+        lengths: list[int] = []
+        aim, more = 0.0, (capacity - sum(middle[cell] for cell in config)) / len(config)
+        for cell in config[:-2]:
+            aim += middle[cell] + more
+            have = at_hand(cell, capacity - sum(lengths), lengths)
+            if not have:
+                return []
+            wanted = aim - sum(lengths)
+            lengths.append(min(have, key=lambda x: abs(x - wanted)))
+        room = capacity - sum(lengths)
+        ends = [at_hand(cell, room, lengths) for cell in config[-2:]]
+        both = [(x + y, x, y) for x in ends[0] for y in ends[-1] if x + y <= room and (x != y or left[x] > lengths.count(x) + 1)] if len(ends) > 1 else []
+        lengths += max(both)[1:] if both else [max(ends[0])] if len(ends) == 1 and ends[0] else []
+        return lengths if len(lengths) == len(config) and sum(lengths) > sum(middle[cell] for cell in config) - 1 else []
+
+    lengths_used = [int(x) for x in np.flatnonzero(left)]
+    if len(lengths_used) <= capacity // grain:
+        members = [[x] for x in lengths_used]
+    else:
+        members = [list(g) for _, g in groupby(lengths_used, lambda x: (x - 1) // grain)]
+    need = np.array([left[m].sum() for m in members], float)
+    middle = [float((left[m] * np.array(m)).sum() / n) for m, n in zip(members, need, strict=True)]
+    weights = np.array([-(-x // unit) for x in middle], np.int64)
+    uses, bound = solve_fractional(weights, need, capacity // unit)
+    scale = bound / max(1e-9, sum(uses.values()))  # what covers a length twice is no use
+    for config, wanted in sorted(uses.items(), reverse=True):
+        quota = int(wanted * scale)
+        while quota > 0 and (lengths := placed(list(config))):
+            quota -= use(fill(lengths), quota)
     while len(rest := np.flatnonzero(left)):
         use(fill([int(rest[-1])]), int(left[rest[-1]]))
     return plan
@@ -254,7 +291,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     spark = docs.sparkSession
     source = docs.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
+    arrow_id = to_arrow_type(docs.schema[id_col].dataType)
     schema = f"rk long, doc_id {id_type}, piece int, start long, length long, ids_crc32 long, task int, place long"
     pieces = materialize(source.mapInArrow(_tokenize(tokenizer, capacity, end_id, remembered, arrow_id), schema), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))

@@ -210,7 +210,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 4000, size: i
     source = docs.select(F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("h"))
     seen = source.select("text").mapInArrow(_vote, "pattern int").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     model = LabelModel.fit(np.array([r.pattern for r in seen], np.int64), np.array([r.n for r in seen], float))
-    chosen = sample_by_hash(source, sum(r.n for r in seen), train_rows).select("text").repartition(4)
+    chosen = sample_by_hash(source, train_rows).select("text").repartition(4)
     sample = chosen.mapInArrow(_sampled(size), "pattern int, x binary").collect()
     if not sample:
         return Scorer(np.zeros(size), 0.0), model
@@ -246,6 +246,11 @@ def _keep(shared, threshold: float, at: int) -> Callable:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.3, text_col: str = "text", train_rows: int = 4000) -> DataFrame:
-    """The rows of docs that classify keeps, columns unchanged and in place: nothing is shuffled."""
+    """The rows of docs that classify keeps, columns unchanged and in place: nothing is shuffled.
+
+    A null or blank text stays.  Repeated rows are judged alike, an empty table stays empty, and no
+    column is added or renamed on the way, so none can clash.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col, train_rows))
-    return docs.mapInArrow(_keep(shared, threshold, docs.columns.index(text_col)), docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever signs are in the names
+    return plain.mapInArrow(_keep(shared, threshold, docs.columns.index(text_col)), plain.schema).toDF(*docs.columns)

@@ -18,6 +18,8 @@ GENERATOR = 0b110001110101
 #: A fingerprint's three segments, as shift and width; each is the low bits of a 23-bit word.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 RADIUS = 3
+#: Fingerprints of one bucket that a task compares; larger buckets are dealt out in pairs of blocks.
+BUCKET = 8192
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -107,18 +109,18 @@ def candidate_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), prints[np.concatenate(of)]
 
 
-def fingerprint(text: bytes | None) -> int:
-    """SimHash of a text: A-Z lower-cased, 3-word shingles with repeats, XXH64 with seed 42."""
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """SimHash of a text: A-Z lower-cased, shingles of so many words with repeats, XXH64 with seed 42."""
     words = (text or b"").lower().split()
     if not words:
         return 0
-    if len(words) < 3:
+    if len(words) < shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts[:-2].tolist(), ends[2:].tolist(), strict=True)], np.uint64)
+    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
@@ -126,10 +128,15 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([fingerprint(x.as_py()) for x in batch.column(2)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], ["rk", "doc_id", "fp"])
+def _fingerprints(shingle: int):
+    """(.., text) to (.., fp), whatever columns stand before the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(x.as_py(), shingle) for x in batch.column("text")], np.uint64).view(np.int64)
+            yield batch.drop_columns("text").append_column("fp", pa.array(prints, pa.int64()))
+
+    return run
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,44 +164,93 @@ def local_links(prints: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key: buckets are runs of one key, the last run being carried on."""
-
-    def held(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        sizes = np.diff(np.concatenate((starts, [len(keys)])))
-        pairs = starts[sizes == 2]
-        close = pairs[np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= RADIUS]
-        out = set(zip(prints[close].tolist(), prints[close + 1].tolist(), strict=True))
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            out.update(local_links(np.unique(prints[s : s + n])))
-        rows = np.array(sorted(out), np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
-
-    keys, prints = [], []
+def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(keys, fingerprints, whole) from rows sorted by key: buckets of up to ``most`` whole, a larger
+    one in parts as they come, so that none is held."""
+    keys: list[np.ndarray] = []
+    prints: list[np.ndarray] = []
+    large = None  # the key of the large bucket that goes on
     for batch in batches:
         k, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(k):
-            continue
         p = p.view(np.uint64)
-        if keys and keys[-1][-1] == k[-1]:  # one bucket goes on
-            keys.append(k)
-            prints.append(p)
+        if large is not None:
+            end = int(np.searchsorted(k, large, "right"))
+            if end:
+                yield k[:end], p[:end], False
+            k, p = k[end:], p[end:]
+            large = large if not len(k) else None
+        if not len(k):
             continue
-        cut = int(np.searchsorted(k, k[-1]))
-        yield held(np.concatenate([*keys, k[:cut]]), np.concatenate([*prints, p[:cut]]))
-        keys, prints = [k[cut:]], [p[cut:]]
+        keys.append(k)
+        prints.append(p)
+        last = k[-1]
+        cut = int(np.searchsorted(k, last))
+        if cut or (len(keys) > 1 and keys[-2][-1] != last):
+            yield np.concatenate([*keys[:-1], k[:cut]]), np.concatenate([*prints[:-1], p[:cut]]), True
+            keys, prints = [k[cut:]], [p[cut:]]
+        if sum(map(len, keys)) > most:
+            yield np.concatenate(keys), np.concatenate(prints), False
+            keys, prints, large = [], [], last
     if keys:
-        yield held(np.concatenate(keys), np.concatenate(prints))
+        yield np.concatenate(keys), np.concatenate(prints), True
+
+
+def _links(most: int):
+    """Links (a, b) of buckets; rows of a bucket beyond ``most`` come back as they are, with key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, prints, whole in _buckets(batches, most):
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.concatenate((starts, [len(keys)])))
+            big = np.repeat((sizes > most) | ~np.bool_(whole), sizes)
+            if big.any():
+                none = pa.nulls(int(big.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(prints[big].view(np.int64)), none, pa.array(keys[big])], ["a", "b", "key"])
+            if not whole:
+                continue
+            pairs = starts[sizes == 2]
+            close = pairs[np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= RADIUS]
+            out = set(zip(prints[close].tolist(), prints[close + 1].tolist(), strict=True))
+            middle = (sizes > 2) & (sizes <= most)
+            for s, n in zip(starts[middle].tolist(), sizes[middle].tolist(), strict=True):
+                out.update(local_links(np.unique(prints[s : s + n])))
+            rows = np.array(sorted(out), np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.nulls(len(rows), pa.int64())], ["a", "b", "key"])
+
+    return run
+
+
+def _block_links(rows: pa.Table) -> pa.Table:
+    found = np.array(local_links(np.unique(rows.column("fp").to_numpy().view(np.uint64))), np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+
+def golay_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """From distinct fingerprints (fp), links (a, b) that join what is reachable at 3 or fewer bits.
+
+    Each fingerprint is dealt to about 64 buckets by key; a bucket yields at most one link for each
+    member.  A bucket of more than ``bucket`` fingerprints is no single task's work: its members are
+    dealt to blocks by hash, and each pair of blocks is compared on its own, so a task holds about
+    twice ``bucket`` of them and no pair is missed.
+    """
+    wide = prints.select("fp").repartition("fp")  # a row becomes 61 or so
+    keyed = wide.mapInArrow(_keys, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    found = materialize(keyed.mapInArrow(_links(bucket), "a long, b long, key long"), "golay-links")
+    large = found.filter("key is not null").select("key", F.col("a").alias("fp"))
+    sizes = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit(3), "fp"), F.col("blocks")).cast("int")
+    dealt = large.join(sizes, "key").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp")
+    across = pairs.groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long")
+    return found.filter("key is null").select("a", "b").unionByName(across).distinct()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: rk (row key), doc_id, fp (64 bits as a long), component_id.
 
     Fingerprints link at 3 or fewer differing bits; component_id is the least id reachable.  Equal
-    fingerprints are one node, so a group of copies is one row from the first aggregation on.  Each
-    distinct fingerprint is dealt to about 64 buckets by key; a bucket yields at most one link for
-    each member.  Components come from rounds of stars over the links, written after each.
+    fingerprints are one node, so a group of copies is one row from the first aggregation on.
+    Components come from rounds of stars over the links of golay_links, written after each.
 
     Null and empty texts have fingerprint 0 and link like any other; a text of one or two words is
     one shingle.  Ids may repeat or be null: null is no candidate for component_id unless a component
@@ -202,27 +258,33 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    prints = materialize(source.mapInArrow(_fingerprints, f"rk long, doc_id {id_type}, fp long"), "simhash")
+    prints = materialize(source.mapInArrow(_fingerprints(3), f"rk long, doc_id {id_type}, fp long"), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    buckets = nodes.select("fp").mapInArrow(_keys, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    links = materialize(buckets.mapInArrow(_links, "a long, b long").distinct(), "simhash-links")
-    roots = connected_components(links)
+    roots = connected_components(golay_links(nodes))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     labels = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(labels, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("rk", "doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one with the least id; columns unchanged.
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near copies, the one with the least id; columns unchanged.
 
-    Rows with a null id stay only where a component has no other, one of each component; of rows
-    that repeat the kept id in one component, one stays.
+    Texts are near copies when their ``words``-word shingles have a Jaccard similarity of
+    ``similarity`` or more.  Candidates are fingerprints of those shingles at 3 or fewer bits, by
+    Golay keys; most near copies differ in more bits than that, so a prefix join over shingles adds
+    the candidates that fingerprints can't give.  Each candidate is verified on the shingles, so that
+    no pair is missed and none is wrong: see near_words.drop_similar, which also says how nulls,
+    repeated rows and clashing names are treated.
     """
-    found = materialize(near_components(docs, id_col, text_col), "simhash-components")
-    ours = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = ours.groupBy("component_id").agg(F.min("rk").alias("__rk")).select("__rk")
-    kept = docs.withColumn("__key", row_key(id_col, text_col)).join(stay, F.col("__key") == F.col("__rk"), "left_semi")
-    if not ours.groupBy("rk").count().filter("count > 1").isEmpty():  # only then do whole rows repeat
-        kept = kept.dropDuplicates(["__key"])
-    return kept.drop("__key")
+    from codeloom.llm.near_words import drop_similar
+
+    def candidates(texts: DataFrame) -> DataFrame:
+        """Links of nodes, from (node, text) rows of different texts."""
+        of = materialize(texts.mapInArrow(_fingerprints(words), "node long, fp long"), "near-prints")
+        first = of.groupBy("fp").agg(F.min("node").alias("first"))
+        same = of.join(first, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        links = golay_links(first).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+        return same.unionByName(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
+
+    return drop_similar(docs, words, similarity, id_col, text_col, candidates)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import materialize, without
+from codeloom.llm._common import materialize, quoted, whole_row
 
 #: A Poisson mean above this is drawn as the sum of several smaller ones, so that exp(-mean) and the
 #: table of its distribution stay in range.
@@ -23,7 +23,7 @@ def source_rates(docs: DataFrame, weights: dict, default_weight: float = 1.0, to
     A source's size is the characters of its texts plus one for each row.  The rate is
     weight / all weights * total / size, and total is the size of all sources unless given.
     """
-    size = docs.groupBy(F.col(source_col).alias("__source")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0)) + F.lit(1)).cast("double").alias("__size"))
+    size = docs.groupBy(F.col(quoted(source_col)).alias("__source")).agg(F.sum(F.coalesce(F.length(quoted(text_col)), F.lit(0)) + F.lit(1)).cast("double").alias("__size"))
     weight = F.lit(float(default_weight))
     for name, w in weights.items():
         weight = F.when(F.col("__source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
@@ -57,12 +57,13 @@ def mix_sources(
     ``shuffle_key`` replace input columns of those names.
     """
     rates = source_rates(docs, weights, default_weight, total, source_col, text_col)
-    held = docs.join(rates, F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    numbers = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda part: _uniform(seed, F.concat_ws(":", key, part.cast("string"))))
+    key = F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("null"))
+    rows = docs.select(key.alias("key"), F.col(quoted(source_col)).alias("of"), whole_row(docs).alias("row"))
+    held = rows.join(rates, F.col("of").eqNullSafe(F.col("__source")), "left")
+    numbers = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda part: _uniform(seed, F.concat_ws(":", F.col("key"), part.cast("string"))))
     times = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c < u)))
-    copies = held.withColumn("__times", times).withColumn("__copy", F.explode(F.when(F.col("__times") > 0, F.sequence(F.lit(0), F.col("__times") - 1))))
-    hashed = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), key, F.col("__copy").cast("string")))
-    out = without(copies.withColumn("__key", hashed), copy_col, key_col).withColumnRenamed("__copy", copy_col).withColumnRenamed("__key", key_col)
-    columns = [c for c in docs.columns if c not in (copy_col, key_col)]
-    return out.select(*[F.col(f"`{c}`") for c in columns], copy_col, key_col).repartition(key_col).sortWithinPartitions(key_col)
+    copies = held.withColumn("times", times).withColumn("nth", F.explode(F.when(F.col("times") > 0, F.sequence(F.lit(0), F.col("times") - 1))))
+    hashed = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("key"), F.col("nth").cast("string")))
+    own = (copy_col, key_col)
+    columns = [F.col(f"row.{quoted(c)}") for c in docs.columns if c not in own]
+    return copies.select(*columns, F.col("nth").alias(copy_col), hashed.alias(key_col)).repartition(F.col(quoted(key_col))).sortWithinPartitions(F.col(quoted(key_col)))

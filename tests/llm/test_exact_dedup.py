@@ -22,10 +22,11 @@ def test_against_brute_force(table):
 
 
 def test_dropping_keeps_the_same_rows_and_all_columns(table):
-    rows = [(i, ODD[i % 10], "en", "s", 1, "own", 5) for i in range(50)]
-    docs = table(rows, ", keep_id string, __n int")
+    rows = [(i, ODD[i % 10], "en", "s", 1, "own", 5, "x", "y", "z") for i in range(50)]
+    docs = table(rows, ", keep_id string, __n int, __maybe string, `a.b` string, __block string")
     kept = drop_copies(docs)
     assert kept.columns == docs.columns
+    assert {(r.keep_id, r["__maybe"], r["a.b"], r["__block"]) for r in kept.collect()} == {("own", "x", "y", "z")}
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in find_copies(docs).filter("kept").collect()}
 
 

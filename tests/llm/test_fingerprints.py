@@ -1,15 +1,19 @@
+import bisect
 import hashlib
+import itertools
 import random
 from collections import Counter
 
-from codeloom.llm.fingerprints import fingerprint_documents, merged_terms, signatures
+import pytest
+from codeloom.llm.fingerprints import _bounds, fingerprint_documents, merged_terms, signatures, with_next
 from llm_cases import ODD_TEXTS, words
+from pyspark.sql import functions as F
 
 
 def likeness(a, b):
     """Generalised Jaccard similarity of words weighted by count and squared length."""
     x, y = (Counter(w for w in t.replace("\n", " ").split(" ") if w) for t in (a, b))
-    weight = lambda w: min(len(w), 63) ** 2
+    weight = lambda w: len(w) ** 2
     top = sum(min(x[w], y[w]) * weight(w) for w in x | y)
     return top / max(1e-9, sum(max(x[w], y[w]) * weight(w) for w in x | y))
 
@@ -33,6 +37,27 @@ def test_contract_columns_against_brute_force(table):
         assert by_text.setdefault(text, got[i].fingerprint) == got[i].fingerprint
 
 
+@pytest.mark.parametrize("ids", ["outlier", "prefixes", "one id", "nulls", "some nulls"])
+def test_next_rows_however_ids_lie(spark, ids):
+    make = {
+        "outlier": lambda i: i if i else 10**18,
+        "prefixes": lambda i: (i % 3) * 10**15 + i,
+        "one id": lambda i: 7 if i % 2 else i,
+        "nulls": lambda i: None,
+        "some nulls": lambda i: None if i % 3 else i,
+    }[ids]
+    rows = [(make(i), f"text {i}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
+    got = {r.rk: (r["__next_rk"], r["__next_text"]) for r in with_next(docs, per_block=20).collect()}
+    order = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.rk))
+    assert got == {a.rk: (b.rk, b.text) for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    cuts = _bounds(docs, 20, 64)
+    if ids != "nulls":
+        keys = [(r.doc_id, r.rk) for r in order if r.doc_id is not None]
+        sizes = [b - a for a, b in itertools.pairwise([0, *(bisect.bisect_left(keys, c) for c in cuts), len(keys)])]
+        assert max(sizes) < 100
+
+
 def test_agreement_equals_generalised_jaccard(spark):
     rng = random.Random(2)
     rows = []

@@ -4,6 +4,7 @@ import corpus_pipeline
 import numpy as np
 from codeloom.llm import near_words
 from codeloom.llm.near_words import drop_similar, similar_groups
+from codeloom.llm.simhash_golay import drop_near_copies
 from llm_cases import ODD_TEXTS, words
 
 
@@ -66,10 +67,29 @@ def test_lengths_and_similarities_are_parameters(table):
         assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows, n, similarity)
 
 
+def test_blocks_change_nothing(table):
+    rows = corpus()
+    assert sorted(r.doc_id for r in drop_similar(table(rows), together=3).collect()) == brute_kept(rows)
+
+
+def test_the_operator_and_its_candidates(table):
+    rows = corpus()
+    assert sorted(r.doc_id for r in drop_near_copies(table(rows)).collect()) == brute_kept(rows)
+
+
+def test_clashing_names(table):
+    rows = [(i, f"a b c d e {i // 2}", "en", "s", 1, "own", 5, "dot") for i in range(20)]
+    docs = table(rows, ", node string, __maybe int, `a.b` string")
+    for kept in (drop_near_copies(docs), drop_similar(docs)):
+        assert kept.columns == docs.columns
+        assert {(r.node, r["a.b"]) for r in kept.collect()} == {("own", "dot")}
+
+
 def test_nulls_repeats_and_empty(table):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, "other words here now"), (2, None), (3, "")]
     assert sorted(str(r.doc_id) for r in drop_similar(table(rows)).collect()) == ["1", "2", "None"]
     assert drop_similar(table([])).count() == 0
+    assert drop_near_copies(table([])).count() == 0
 
 
 def test_groups_are_reached_over_pairs():

@@ -4,7 +4,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from codeloom.llm.packing import Encoder, pack_documents, pack_histogram
+from codeloom.llm import packing
+from codeloom.llm.packing import Encoder, pack_documents, pack_histogram, solve_fractional
 from llm_cases import ODD_TEXTS, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +38,28 @@ def test_every_length_is_packed_once_and_few_bins_are_used(seed):
     assert pack_histogram({}, 512) == []
 
 
+@pytest.mark.parametrize("counts", [{775: 91, 1731: 446, 569: 416, 663: 428, 1203: 463, 920: 82}, {779: 1935, 1557: 1370, 1920: 1186, 1431: 1376, 965: 987}])
+def test_the_program_beats_greedy_packing(counts, monkeypatch):
+    with_program = sum(t for t, _ in pack_histogram(counts, 4096))
+    monkeypatch.setattr(packing, "solve_fractional", lambda *_: ({}, 0.0))
+    assert with_program < sum(t for t, _ in pack_histogram(counts, 4096)) * 0.992
+
+
+def test_uses_cover_all_within_the_bound():
+    rng = random.Random(4)
+    weights = np.array(sorted(rng.sample(range(20, 200), 12)))
+    need = np.array([rng.randrange(10, 500) for _ in weights], float)
+    uses, bound = solve_fractional(weights, need, 512)
+    covered = np.zeros(len(need))
+    for config, x in uses.items():
+        assert sum(weights[i] for i in config) <= 512
+        for i in config:
+            covered[i] += x
+    assert (covered >= need * (1 - 1e-9)).all()
+    assert bound <= sum(uses.values()) <= 1.05 * bound + 1e-6
+    assert 1.05 * bound >= (weights * need).sum() / 512
+
+
 def check(rows, got, capacity):
     encoder = Encoder(PATH)
     pieces = {}

@@ -1,11 +1,13 @@
+import pathlib
 import random
 
 import corpus_pipeline
 import public_tokenizers
 from codeloom.llm import entry
+from codeloom.llm._common import scratch_path
 from codeloom.llm.packing import Encoder
-from codeloom.llm.simhash_golay import fingerprint
 from llm_cases import ODD_TEXTS
+from test_near_words import brute_kept
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -48,14 +50,8 @@ def test_stages_against_brute_force(spark, table):
         key = (texts[i] or "").translate(UPPER)
         last[key] = max(i, last.get(key, i))
     assert ids["exact_dedup"] == sorted(last.values())
-    prints = {i: fingerprint((texts[i] or "").encode()) for i in ids["exact_dedup"]}
-    group = {i: i for i in prints}
-    for _ in range(10):
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 3:
-                    group[a] = group[b] = min(group[a], group[b])
-    assert ids["near_dedup"] == sorted(set(group.values()))
+    assert ids["near_dedup"] == brute_kept([(i, texts[i]) for i in ids["exact_dedup"]])
+    assert len(set(ids["near_dedup"]) & set(range(300, 305))) == 1 or 50 in ids["near_dedup"]
     assert set(ids["source_mixing"]) <= set(ids["near_dedup"])
     encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"))
     tokens = sum(len(encoder.ids(texts[i] or "")) // 4 + 1 for i in ids["source_mixing"])
@@ -64,6 +60,26 @@ def test_stages_against_brute_force(spark, table):
     assert set(ids["packing"]) == set(ids["source_mixing"])
 
 
+def test_clashing_names_go_through(spark, table):
+    extra = ", __key string, __sha string, row string, __copy int, `a.b` string, tie int"
+    rows = [(i, f"one two three four five six number {i // 2}", "en", f"src{i % 3}", 0, "k", "s", "r", 1, "d", 2) for i in range(40)]
+    docs = table(rows, extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        assert docs.columns == table(rows, extra).columns, name
+        assert {(r["__key"], r["__sha"], r.row, r["__copy"], r["a.b"], r.tie) for r in docs.collect()} == {("k", "s", "r", 1, "d", 2)}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+
+
+def test_scratch_tables_are_removed(spark, tmp_path, table):
+    shared = pathlib.Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    before = set(shared.iterdir()) if shared.exists() else set()
+    table(corpus()).write.parquet(str(tmp_path / "documents.parquet"))
+    corpus_pipeline.run(spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    left = sorted(p.name.rpartition("-")[0] for p in set(shared.iterdir()) - before)
+    assert left == ["pieces", "pipeline-source_mixing"]  # what the returned table is read from
+
+
 def test_an_empty_table_goes_through(spark, table):
     assert run(spark, table([]))["packing"].count() == 0
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 from codeloom.llm._repeats import remove_repeats
-from codeloom.llm.substring_dedup import SuffixAutomaton, match_automaton, substring_dedup
+from codeloom.llm.substring_dedup import SuffixAutomaton, match_automaton, remove_reference, substring_dedup
 from codeloom.llm.suffix_array import match_suffixes, suffix_array_dedup
 
 WAYS = {"array": (suffix_array_dedup, match_suffixes, 50), "automaton": (substring_dedup, match_automaton, 20)}
@@ -51,6 +51,45 @@ def test_matches_brute_force(table, way, hot):
     assert sum(x[1] for x in got.values()) > 3000
 
 
+@pytest.mark.parametrize("hot", [2048, 5])
+@pytest.mark.parametrize("words", [50, 4000])
+def test_shards_match_brute_force(table, hot, words):
+    rows = corpus(words)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(table(rows), shard_words=words, hot=hot).collect()}
+    assert got == brute(rows, 20)
+
+
+def test_a_full_filter_changes_nothing(table):
+    rows = corpus(77)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(table(rows), 20, 6, match_automaton, max_bits=1).collect()}
+    assert got == brute(rows, 20)
+
+
+@pytest.mark.parametrize("words", [30, 200_000])
+def test_reference_spans_are_removed(spark, table, words):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(300):x}"
+    reference = [[word() for _ in range(n)] for n in (3, 20, 25, 60, 400)]
+    rows = []
+    for i in range(60):
+        text = [word() for _ in range(rng.choice((0, 10, 100)))]
+        part = rng.choice(reference)
+        a = rng.randrange(len(part))
+        text[len(text) // 2 : len(text) // 2] = rng.choice((part, part[a:], part[: a + 1]))
+        rows.append((i, " ".join(text)))
+    rows += [(100, None), (101, "")]
+    known = {tuple(r[i : i + 20]) for r in reference for i in range(len(r) - 19)}
+    want = {}
+    for i, t in rows:
+        w = (t or "").split()
+        cut = {p for s in range(len(w) - 19) if tuple(w[s : s + 20]) in known for p in range(s, s + 20)}
+        want[i] = (len(w), len(cut), " ".join(x for p, x in enumerate(w) if p not in cut))
+    other = spark.createDataFrame([(" ".join(r),) for r in reference] + [(None,), ("",)], "passage string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_reference(table(rows), other, reference_col="passage", round_words=words, shard_words=40).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 300
+    assert remove_reference(table(rows), other.limit(0), reference_col="passage").filter("n_removed > 0").count() == 0
+
+
 @pytest.mark.parametrize("way", WAYS)
 def test_spans_hold_what_is_removed(table, way):
     find, _, window = WAYS[way]

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 from codeloom.llm._components import connected_components
-from codeloom.llm.simhash_golay import candidate_keys, drop_near_copies, fingerprint, golay, local_links, near_components
+from codeloom.llm.simhash_golay import candidate_keys, fingerprint, golay, golay_links, local_links, near_components
 
 ODD = [None, "", " ", "a", "A", "a b", "A B", "é É", "x " * 3000, "\x1c\x85\xa0 z", "one two three"]
 
@@ -77,8 +77,31 @@ def test_components_match_brute_force(table):
     want = brute_components(rows)
     assert got == want
     assert len({c for _, _, c in want}) < 250
-    kept = drop_near_copies(table(rows))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in want})
+
+
+def reached(links, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(n) for n in nodes]
+
+
+def test_large_buckets_are_split_and_lose_no_link(spark):
+    rng = random.Random(8)
+    ball = {0x1234567890ABCDEF ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7))) for _ in range(1500)}
+    prints = sorted(p - (1 << 64) if p >> 63 else p for p in ball | {rng.getrandbits(64) for _ in range(200)})
+    want = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
+    docs = spark.createDataFrame([(p,) for p in prints], "fp long")
+    for bucket in (8192, 100):
+        links = [(r.a, r.b) for r in golay_links(docs, bucket).collect()]
+        assert reached(links, prints) == reached(want, prints)
+        assert len(links) < len(prints) * 70
 
 
 def test_local_links_join_exactly_the_reachable():
@@ -102,6 +125,4 @@ def test_long_paths(spark):
 def test_nulls_repeats_and_empty(table):
     rows = [(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (None, "other words here now"), (2, None)]
     assert near_components(table(rows)).count() == 5
-    assert drop_near_copies(table(rows)).count() == 3
     assert near_components(table([])).count() == 0
-    assert drop_near_copies(table([])).count() == 0
