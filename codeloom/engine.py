@@ -14,7 +14,7 @@ from codeloom.functions import text as T
 from codeloom.operators import clustering, code, graph, hubs, providers, search
 from codeloom.operators.restore import RestorePoints
 from codeloom.operators.symbols import extract_symbols
-from codeloom.sources import repo
+from codeloom.sources import config, repo
 
 #: Syntax checkers by extension.
 CHECKERS = {".py": ["python", "-m", "py_compile"], ".ts": ["npx", "tsc", "--noEmit"], ".rs": ["cargo", "check"], ".go": ["go", "vet", "./..."]}
@@ -99,12 +99,13 @@ class Engine:
         keyed = held.select(F.col("relative_path").alias("key"), text.alias("text"))
         return providers.embed_rows(keyed, provider=self.provider).cache()
 
-    def semantic_code_search(self, query: str, k: int = 5, **bounds: float) -> DataFrame:
+    def semantic_code_search(self, query: str, k: int = 5, **options: float) -> DataFrame:
+        """Files ranked by meaning and keywords; options as in config.search_options."""
         names = self.symbols.groupBy("file").agg(F.array_join(F.collect_list("name"), " ").alias("symbols"))
         held = self.files.join(names, F.col("relative_path") == F.col("file"), "left").join(self._vectors, F.col("relative_path") == F.col("key"))
         text = F.concat_ws(" ", "relative_path", T.code_header(F.col("content")), "symbols", "content")
         docs = held.select(F.col("relative_path").alias("id"), text.alias("text"), F.coalesce("symbols", F.lit("")).alias("symbols"), "v")
-        return search.hybrid_search(docs, query, search.query_vector(self.provider([query])[0]), k, **bounds)
+        return search.hybrid_search(docs, query, search.query_vector(self.provider([query])[0]), **config.search_options(k, **options))
 
     def semantic_identifier_search(self, query: str, k: int = 5, kinds: list[str] | None = None) -> DataFrame:
         text = F.concat_ws(" ", "name", "signature", "file")
@@ -175,6 +176,21 @@ class Engine:
             self.refresh()
         return broken
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Temporary views of the tree for SQL; vectors are made when that view is first read."""
+        tables = {
+            "files": self.files,
+            "lines": self.lines,
+            "symbols": self.symbols,
+            "calls": self.call_edges(),
+            "vectors": self._vectors,
+            "hub_links": self.feature_hubs(),
+            "restore_points": self.list_restore_points(),
+        }
+        for name, table in tables.items():
+            table.createOrReplaceTempView(prefix + name)
+        return [prefix + name for name in tables]
+
     def undo_change(self, point: str) -> list[str]:
         restored = RestorePoints(self.spark, self.root).restore(point)
         self.refresh()

@@ -118,7 +118,7 @@ def is_definition(line: Column, name: str) -> Column:
 
 def calls_of(line: Column) -> Column:
     """Names called on a line, in order: what stands before a parenthesis, then capital tags."""
-    called = F.regexp_extract_all(line, F.lit(r"(?<![A-Za-z0-9_])([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\("), 1)
+    called = F.regexp_extract_all(line, F.lit(r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\("), 1)
     tags = F.regexp_extract_all(line, F.lit(r"<([A-Z][a-zA-Z0-9_$]*)"), 1)
     return F.filter(F.concat(called, tags), lambda n: ~n.isin(*SKIPPED_CALLS))
 

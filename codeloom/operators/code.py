@@ -68,10 +68,33 @@ def brace_depth(lines: DataFrame) -> DataFrame:
     return lines.withColumn("depth", running).groupBy("file").agg(F.max("depth").alias("max_depth"), F.count(F.lit(1)).alias("n_lines"))
 
 
+#: Comment markers of the languages that need a header, by extension.
+HEADER_MARKS = {
+    ".ts": "//", ".tsx": "//", ".js": "//", ".jsx": "//",
+    ".rs": "//", ".go": "//", ".c": "//", ".cpp": "//",
+    ".java": "//", ".cs": "//", ".swift": "//", ".kt": "//",
+    ".py": "#", ".rb": "#", ".lua": "--", ".zig": "//",
+}
+HASH_COMMENTS = (".py", ".rb")
+
+
 def comment_violations(lines: DataFrame) -> DataFrame:
-    """Comment lines from the third line on."""
+    """Comment lines from the third line on, by the marker of the file's extension."""
     bare = T.trimmed(F.col("text"))
-    return lines.filter((F.col("line") > 2) & bare.startswith("//")).select("file", "line", F.substring(bare, 1, 80).alias("comment"))
+    hashed = T.extension(F.col("file")).isin(*HASH_COMMENTS)
+    comment = F.when(hashed, bare.startswith("#") & ~bare.startswith("#!") & ~bare.startswith("#include")).otherwise(bare.startswith("//"))
+    return lines.filter((F.col("line") > 2) & comment).select("file", "line", F.substring(bare, 1, 80).alias("comment"))
+
+
+def header_violations(lines: DataFrame) -> DataFrame:
+    """(file, rule): fewer than two comment lines among the first five, or no feature tag in the second
+    of them; languages without a marker of their own have no such rule."""
+    pairs = [F.lit(x) for pair in HEADER_MARKS.items() for x in pair]
+    marked = lines.filter("line <= 5").withColumn("mark", F.element_at(F.create_map(*pairs), T.extension(F.col("file")))).filter("mark is not null")
+    heads = F.sort_array(F.collect_list(F.when(F.expr("startswith(text, mark)"), F.struct("line", "text"))))
+    found = marked.groupBy("file").agg(heads.alias("heads"))
+    rule = F.when(F.size("heads") < 2, "header").when(~F.contains(F.upper(F.get("heads", F.lit(1))["text"]), F.lit("FEATURE:")), "feature-tag")
+    return found.select("file", rule.alias("rule")).filter("rule is not null")
 
 
 def violations(lines: DataFrame, most_comments: int = 5, most_depth: int = 6, most_lines: int = 1000) -> DataFrame:
@@ -80,8 +103,7 @@ def violations(lines: DataFrame, most_comments: int = 5, most_depth: int = 6, mo
     shape = brace_depth(lines)
     deep = shape.filter(F.col("max_depth") > most_depth).select("file", F.lit("nesting").alias("rule"), F.lit(1).cast("long").alias("n"))
     long = shape.filter(F.col("n_lines") > most_lines).select("file", F.lit("file-length").alias("rule"), F.lit(1).cast("long").alias("n"))
-    heads = lines.filter("line <= 5").groupBy("file").agg(F.count_if(F.col("text").startswith("//")).alias("n_head"))
-    header = heads.filter("n_head < 2").select("file", F.lit("header").alias("rule"), F.lit(1).cast("long").alias("n"))
+    header = header_violations(lines).withColumn("n", F.lit(1).cast("long"))
     return comments.unionByName(deep).unionByName(long).unionByName(header).withColumn("rejects", (F.col("rule") == "no-comments") & (F.col("n") > most_comments))
 
 

@@ -70,12 +70,25 @@ def flatten_truncated(paths: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, root: int, max_depth: int) -> DataFrame:
     """(node, depth): the least number of steps from root, up to max_depth."""
-    seen = edges.sparkSession.range(1).select(F.lit(root).cast("long").alias("node"), F.lit(0).alias("depth"))
+    front = edges.sparkSession.range(1).select(F.lit(root).cast("long").alias("node"))
+    levels = [front.withColumn("depth", F.lit(0))]
     for depth in range(1, max_depth + 1):
-        front = seen.filter(F.col("depth") == depth - 1).select(F.col("node").alias("at"))
-        step = front.join(edges, front.at == edges.src).select(F.col("dst").alias("node"), F.lit(depth).alias("depth"))
-        seen = seen.unionByName(step).groupBy("node").agg(F.min("depth").alias("depth"))
-    return seen
+        at = front.withColumnRenamed("node", "at")
+        front = at.join(edges, F.col("at") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        levels.append(front.withColumn("depth", F.lit(depth)))
+    return reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.min("depth").alias("depth"))
+
+
+def descendants(tree: DataFrame, most_levels: int = 1000) -> DataFrame:
+    """(root, node, steps) of a forest (node, parent), to any depth; roots have no parent and 0 steps.
+
+    A recursive query, so that levels end where the tree does.  The input is no graph with cycles;
+    ``most_levels`` only stops those."""
+    query = """WITH RECURSIVE below(root, node, steps) MAX RECURSION LEVEL {most} AS (
+        SELECT node, node, 0 FROM {tree} WHERE parent IS NULL
+        UNION ALL SELECT b.root, t.node, b.steps + 1 FROM below b JOIN {tree} t ON t.parent = b.node)
+        SELECT root, node, steps FROM below"""
+    return tree.sparkSession.sql(query.replace("{most}", str(int(most_levels))), tree=tree)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -19,32 +19,67 @@ def nearest(vectors: DataFrame, query: Column, k: int) -> DataFrame:
     return vectors.select("id", F.round(V.cosine(V.doubles(F.col("v")), query), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def hybrid_search(docs: DataFrame, query: str, vector: Column, k: int = 20, least: float = 0.1, least_semantic: float = 0.0, least_keyword: float = 0.0) -> DataFrame:
-    """Documents (id, text, symbols, v) ranked by 0.72 of cosine and 0.28 of keywords, as percentages."""
+#: Decimals to which scores are ranked: sums in another order agree so far.
+EXACT = 12
+
+
+def hybrid_search(
+    docs: DataFrame,
+    query: str,
+    vector: Column,
+    k: int = 20,
+    least: float = 0.1,
+    least_semantic: float = 0.0,
+    least_keyword: float = 0.0,
+    semantic_weight: float = 0.72,
+    keyword_weight: float = 0.28,
+    require_semantic: bool = False,
+    require_keyword: bool = False,
+) -> DataFrame:
+    """Documents (id, text, symbols, v) ranked by weighted cosine and keywords, in percent.
+
+    Ranks go by the scores before they are rounded, then by keywords and cosine, then by id."""
     scored = docs.select("id", V.cosine(V.doubles(F.col("v")), vector).alias("sem"), T.keyword_score(query, F.col("text"), F.col("symbols")).alias("key"))
-    held = scored.withColumn("both", T.combined_score(F.col("sem"), F.col("key"))).filter((F.col("sem") >= max(least_semantic, 0.0)) & (F.col("key") >= least_keyword) & (F.col("both") >= least))
-    rounded = held.select("id", T.percent(F.col("both")).alias("score"), T.percent(F.greatest("sem", F.lit(0.0))).alias("semantic_score"), T.percent(F.col("key")).alias("keyword_score"))
-    return rounded.orderBy(F.desc("score"), F.desc("keyword_score"), F.desc("semantic_score"), "id").limit(k)
+    both = T.combined_score(F.col("sem"), F.col("key"), semantic_weight, keyword_weight)
+    held = scored.withColumn("both", both).filter((F.greatest("sem", F.lit(0.0)) >= least_semantic) & (F.col("key") >= least_keyword) & (F.col("both") >= least))
+    if require_semantic:
+        held = held.filter("sem > 0")
+    if require_keyword:
+        held = held.filter("key > 0")
+    best = held.orderBy(*[F.desc(F.round(F.col(c), EXACT)) for c in ("both", "key", "sem")], "id").limit(k)
+    return best.select("id", T.percent(F.col("both")).alias("score"), T.percent(F.greatest("sem", F.lit(0.0))).alias("semantic_score"), T.percent(F.col("key")).alias("keyword_score"))
 
 
 def identifier_search(symbols: DataFrame, query: str, vector: Column, kinds: list[str] | None = None, k: int = 20) -> DataFrame:
-    """Identifiers (id, kind, name, text, v) ranked by 0.78 of cosine and 0.22 of terms covered."""
+    """Identifiers (id, kind, name, text, v) ranked by 0.78 of cosine and 0.22 of terms covered, before
+    rounding; the least id among equals."""
     wanted = [x.strip().lower() for x in kinds or [] if x.strip()]
     rows = symbols.filter(F.lower("kind").isin(*wanted)) if wanted else symbols
     key = T.coverage(T.identifier_terms(F.lit(query)), T.identifier_terms(F.col("text")))
     scored = rows.select("id", "name", V.cosine(V.doubles(F.col("v")), vector).alias("sem"), key.alias("key"))
-    return scored.select("id", "name", T.percent(T.combined_score(F.col("sem"), F.col("key"), 0.78, 0.22)).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    both = scored.select("id", "name", T.combined_score(F.col("sem"), F.col("key"), 0.78, 0.22).alias("both"))
+    return both.orderBy(F.desc(F.round("both", EXACT)), "id").limit(k).select("id", "name", T.percent(F.col("both")).alias("score"))
+
+
+def rank_call_sites(sites: DataFrame, vector: Column, limit: int = 10) -> DataFrame:
+    """The second phase of call_sites: of preselected sites (name, file, line, key, v) the first
+    ``limit`` of each name by 0.82 of cosine and 0.18 of keywords; without a vector cosine is 0."""
+    semantic = F.coalesce(F.greatest(V.cosine(V.doubles(F.col("v")), vector), F.lit(0.0)), F.lit(0.0))
+    score = F.least(F.lit(1.0), semantic * 0.82 + F.col("key") * 0.18)
+    order = Window.partitionBy("name").orderBy(F.desc(F.round("score", EXACT)), F.desc(F.round("key", EXACT)), "file", "line")
+    ranked = sites.withColumns({"semantic": semantic, "score": score}).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, limit))
+    return ranked.select("name", "rank", "file", "line", T.percent(F.col("score")).alias("score"), T.percent(F.col("semantic")).alias("semantic_score"), T.percent(F.col("key")).alias("keyword_score"))
 
 
 def call_sites(lines: DataFrame, names: DataFrame, limit: int = 10, query: str = "") -> DataFrame:
-    """Call sites of each name, two-phase: the best max(30, 4 limit) by keywords, of these the first
-    ``limit``; ``total`` counts all.  Lines meet names by the names called on them, not by patterns."""
+    """Call sites of each name, the first phase: the first ``limit`` by keywords; ``total`` counts all.
+    Where rank_call_sites follows, ``limit`` is max(30, 4 times what is wanted).  Lines meet names by the names called on them, not by patterns."""
     called = lines.select("file", "line", "text", F.explode(F.array_distinct(T.calls_of(F.col("text")))).alias("name"))
     sites = called.join(names, "name").filter(~F.col("text").rlike(r"(?:function|class|enum|interface|struct|type|trait|fn|def|func)\s"))
     key = T.coverage(T.identifier_terms(F.lit(query)), T.identifier_terms(F.concat_ws(" ", "file", "text")))
     # the rank alone is filtered, so that each task keeps no more of a name than can be wanted
     order = Window.partitionBy("name").orderBy(F.desc("key"), "file", "line")
-    ranked = sites.withColumn("key", key).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= min(limit, max(30, 4 * limit)))
+    ranked = sites.withColumn("key", key).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     totals = sites.groupBy("name").agg(F.count(F.lit(1)).alias("total"))
     return ranked.join(totals, "name").select("name", "rank", "file", "line", T.percent(F.col("key")).alias("keyword_score"), "total")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,40 +14,56 @@ from codeloom.functions.text import LANGUAGES
 
 SCHEMA = "file string, ordinal int, name string, kind string, line int, end_line int, signature string, parent_name string"
 
-#: Definition patterns by language, the first that matches gives the kind.
-_PUB, _EXPORT, _ACCESS = r"(?:pub(?:\(crate\))?\s+)?", r"(?:export\s+)?", r"(?:public|private|protected)?\s*"
+#: Definition patterns by language, in order; the first that matches gives the name and kind.
 SCRIPT = (
-    (rf"{_EXPORT}(?:async\s+)?function\s+(\w+)\s*(<[^>]*>)?\s*\(([^)]*)\)", "function"),
-    (rf"{_EXPORT}(?:abstract\s+)?class\s+(\w+)", "class"),
-    (rf"{_EXPORT}(?:const\s+)?enum\s+(\w+)", "enum"),
-    (rf"{_EXPORT}interface\s+(\w+)", "interface"),
-    (rf"{_EXPORT}type\s+(\w+)\s*(?:<[^>]*>)?\s*=", "type"),
-    (rf"{_EXPORT}const\s+(\w+)\s*(?::\s*[^=]+)?\s*=", "const"),
+    (r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*(<[^>]*>)?\s*\(([^)]*)\)(?:\s*:\s*([^\n{]+))?", "function"),
+    (r"(?:export\s+)?(?:abstract\s+)?class\s+(\w+)(?:\s+extends\s+\w+)?(?:\s+implements\s+[\w,\s]+)?", "class"),
+    (r"(?:export\s+)?(?:const\s+)?enum\s+(\w+)", "enum"),
+    (r"(?:export\s+)?interface\s+(\w+)(?:\s+extends\s+[\w,\s<>]+)?", "interface"),
+    (r"(?:export\s+)?type\s+(\w+)\s*(?:<[^>]*>)?\s*=", "type"),
+    (r"(?:export\s+)?const\s+(\w+)\s*(?::\s*[^=]+)?\s*=", "const"),
+)
+PYTHON = (
+    (r"(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)(?:\s*->\s*(\S+))?", "function"),
+    (r"class\s+(\w+)(?:\(([^)]*)\))?", "class"),
 )
-PYTHON = ((r"(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)", "function"), (r"class\s+(\w+)", "class"))
 RUST = (
-    (rf"{_PUB}(?:async\s+)?fn\s+(\w+)(?:<[^>]*>)?\s*\(([^)]*)\)", "function"),
-    (rf"{_PUB}struct\s+(\w+)", "struct"),
-    (rf"{_PUB}enum\s+(\w+)", "enum"),
-    (rf"{_PUB}trait\s+(\w+)", "trait"),
+    (r"(?:pub(?:\(crate\))?\s+)?(?:async\s+)?fn\s+(\w+)(?:<[^>]*>)?\s*\(([^)]*)\)(?:\s*->\s*([^\n{]+))?", "function"),
+    (r"(?:pub(?:\(crate\))?\s+)?struct\s+(\w+)(?:<[^>]*>)?", "struct"),
+    (r"(?:pub(?:\(crate\))?\s+)?enum\s+(\w+)(?:<[^>]*>)?", "enum"),
+    (r"(?:pub(?:\(crate\))?\s+)?trait\s+(\w+)(?:<[^>]*>)?", "trait"),
     (r"impl(?:<[^>]*>)?\s+(\w+)", "class"),
 )
-GO = ((r"func\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)\s*\(([^)]*)\)", "function"), (r"type\s+(\w+)\s+struct", "struct"), (r"type\s+(\w+)\s+interface", "interface"))
+GO = (
+    (r"func\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)\s*\(([^)]*)\)(?:\s*(?:\(([^)]*)\)|(\w+)))?", "function"),
+    (r"type\s+(\w+)\s+struct", "struct"),
+    (r"type\s+(\w+)\s+interface", "interface"),
+)
 JAVA = (
-    (rf"{_ACCESS}(?:abstract\s+)?(?:final\s+)?class\s+(\w+)", "class"),
-    (rf"{_ACCESS}(?:abstract\s+)?interface\s+(\w+)", "interface"),
-    (rf"{_ACCESS}enum\s+(\w+)", "enum"),
+    (r"(?:public|private|protected)?\s*(?:static\s+)?(?:abstract\s+)?(?:final\s+)?(?:\w+(?:<[^>]*>)?)\s+(\w+)\s*\(", "method"),
+    (r"(?:public|private|protected)?\s*(?:abstract\s+)?(?:final\s+)?class\s+(\w+)", "class"),
+    (r"(?:public|private|protected)?\s*(?:abstract\s+)?interface\s+(\w+)", "interface"),
+    (r"(?:public|private|protected)?\s*enum\s+(\w+)", "enum"),
 )
 GENERIC = (
-    (r"(?:pub\s+|public\s+|private\s+|protected\s+|export\s+|static\s+|async\s+)*(?:function|func|fn|def)\s+(\w+)", "function"),
-    (r"(?:pub\s+|public\s+|private\s+|protected\s+|export\s+|abstract\s+)*class\s+(\w+)", "class"),
-    (r"(?:pub\s+|public\s+|export\s+)*(?:struct|enum|interface|trait|type)\s+(\w+)", "enum"),
+    (r"(?:pub\s+)?(?:export\s+)?(?:async\s+)?(?:fn|func|function|def)\s+(\w+)", "function"),
+    (r"(?:pub\s+)?(?:export\s+)?(?:class|struct)\s+(\w+)", "class"),
+    (r"(?:pub\s+)?(?:export\s+)?(?:enum|interface|type|trait)\s+(\w+)", "enum"),
 )
-SCRIPT_METHOD = r"(?:public|private|protected|static|async|readonly|\s)*\s*(?:get|set\s+)?(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)"
-JAVA_METHOD = rf"{_ACCESS}(?:static\s+)?(?:abstract\s+)?(?:final\s+)?(?:\w+(?:<[^>]*>)?)\s+(\w+)\s*\("
+SCRIPT_METHOD = r"(?:public|private|protected|static|async|readonly|\s)*\s*(?:get|set\s+)?(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)(?:\s*:\s*([^\n{]+))?"
 NO_METHODS = frozenset("if for while switch return throw new delete".split())
 
 
+@cache
+def ascii_words(pattern: str) -> re.Pattern:
+    """The pattern with word characters of ASCII alone, but white space of any kind."""
+    out, inside = "", False
+    for part in re.findall(r"\\.|.", pattern, re.DOTALL):
+        inside = part == "[" or (inside and part != "]")
+        out += part if part != r"\w" else "A-Za-z0-9_" if inside else "[A-Za-z0-9_]"
+    return re.compile(out)
+
+
 @dataclass(frozen=True)
 class Grammar:
     """How a language's definitions are found: where they may start and how their blocks end."""
@@ -59,10 +76,11 @@ class Grammar:
     method_start: str = ""
     blocks: str = "braces"
     one_line: frozenset[str] = frozenset()
+    methods_by_kind: bool = False
 
     def definition(self, text: str) -> tuple[str, str] | None:
         for pattern, kind in self.patterns:
-            found = re.match(pattern, text)
+            found = ascii_words(pattern).match(text)
             if found and found[1]:
                 return found[1], kind
         return None
@@ -73,7 +91,7 @@ GRAMMARS = {
     "python": Grammar(PYTHON, False, None, PYTHON[0][0], 4, "def ", "indent"),
     "rust": Grammar(RUST),
     "go": Grammar(GO),
-    "java": Grammar(JAVA, False, None, JAVA_METHOD, 2),
+    "java": Grammar(JAVA, False, methods_by_kind=True),
 }
 GRAMMARS |= {"javascript": GRAMMARS["typescript"], "csharp": GRAMMARS["java"], "kotlin": GRAMMARS["java"]}
 
@@ -123,11 +141,15 @@ def symbols_of(path: str, content: str) -> list[tuple]:
         depth = len(line) - len(text)
         may_start = grammar.any_indent or depth == 0 or (grammar.prefix_at_any_indent and text.startswith(grammar.prefix_at_any_indent))
         found = grammar.definition(text) if may_start else None
-        if found:
+        if found and not (grammar.methods_by_kind and found[1] == "method"):
             add(*found, i, None)
-            owner = found[0] if found[1] in ("class", "interface", "enum") and (found[1] == "class" or grammar.patterns is JAVA) else None
+            owner = found[0] if found[1] == "class" or grammar.methods_by_kind else None
+        elif grammar.methods_by_kind:
+            inside = grammar.definition(text) if owner and depth >= grammar.method_indent else None
+            if inside and inside[1] == "method":
+                add(*inside, i, owner)
         elif owner and grammar.method and depth >= grammar.method_indent and text.startswith(grammar.method_start):
-            method = re.match(grammar.method, text)
+            method = ascii_words(grammar.method).match(text)
             if method and method[1] and method[1] not in NO_METHODS:
                 add(method[1], "method", i, owner)
     return out

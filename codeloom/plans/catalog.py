@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
-from codeloom.operators import clustering, code, diagrams, graph, search
+from codeloom.operators import clustering, code, diagrams, graph, messages, search
+from codeloom.operators.symbols import extract_symbols
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,6 +53,18 @@ class Tables:
         customers = c.join(F.broadcast(nations), c.c_nationkey == nations.n_nationkey).select(F.concat_ws("/", "path", "c_name").alias("path"), F.col("path").alias("parent"), F.col("c_name").alias("name"), F.lit(2).alias("depth"))
         return regions.unionByName(nations.drop("n_nationkey")).unionByName(customers)
 
+    @property
+    def many_lines(self) -> DataFrame:
+        """code_lines as files of several languages, by the last digit of the brand."""
+        digit = F.substring("file", -4, 1)
+        end = F.when(digit == "1", ".py").when(digit == "2", ".rb").when(digit == "3", ".lua").when(digit == "4", ".txt").otherwise(".ts")
+        hashed = F.col("text").startswith("//") & digit.isin("1", "2")
+        mark = F.when(F.col("line") % 7 == 0, "#!").otherwise("#")
+        text = F.when(F.col("line") == 1, F.concat(F.when(digit.isin("1", "2"), "#").when(digit == "3", "--").otherwise("//"), F.lit(" what it is")))
+        text = text.when(F.col("line") == 2, F.concat(F.when(digit.isin("1", "2"), "#").when(digit == "3", "--").otherwise("//"), F.when(F.substring("file", -5, 1) == "1", " feature: x").otherwise(" more")))
+        text = text.when(hashed, F.concat(mark, F.substring("text", 3, 1000))).otherwise(F.col("text"))
+        return self.code_lines.select(F.concat(F.expr("substr(file, 1, length(file) - 3)"), end).alias("file"), "line", text.alias("text"))
+
     def vector_of(self, at: int) -> list[float]:
         return [float(x) for x in self.embeddings.filter(F.col("vec_id") == at).first().embedding]
 
@@ -68,6 +81,13 @@ CODE_LINES = """code_lines AS (
                 WHEN 3 THEN '  db.query(' || camel || ');' WHEN 4 THEN 'class ' || pascal || ' {' WHEN 6 THEN '  if (ok) { ' || camel || '(); }' ELSE '}' END AS text
     FROM (SELECT *, split_part(p_name, ' ', 1) || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS camel,
                  upper(left(p_name, 1)) || substr(split_part(p_name, ' ', 1), 2) AS pascal FROM part))"""
+MANY_LINES = f"""{CODE_LINES}, many_lines AS (
+    SELECT substr(file, 1, length(file) - 3) || CASE d WHEN '1' THEN '.py' WHEN '2' THEN '.rb' WHEN '3' THEN '.lua' WHEN '4' THEN '.txt' ELSE '.ts' END AS file, line,
+           CASE WHEN line = 1 THEN mark || ' what it is' WHEN line = 2 THEN mark || CASE WHEN substr(file, -5, 1) = '1' THEN ' feature: x' ELSE ' more' END
+                WHEN mark = '#' AND starts_with(text, '//') THEN CASE WHEN line % 7 = 0 THEN '#!' ELSE '#' END || substr(text, 3) ELSE text END AS text
+    FROM (SELECT *, substr(file, -4, 1) AS d, CASE WHEN substr(file, -4, 1) IN ('1', '2') THEN '#' WHEN substr(file, -4, 1) = '3' THEN '--' ELSE '//' END AS mark FROM code_lines)),
+    comment_lines AS (SELECT file, line, substr(trim(text), 1, 80) AS comment FROM many_lines WHERE line > 2 AND
+        CASE WHEN regexp_matches(file, '[.](py|rb)$') THEN starts_with(trim(text), '#') AND NOT starts_with(trim(text), '#!') AND NOT starts_with(trim(text), '#include') ELSE starts_with(trim(text), '//') END)"""
 CYCLIC = """edges AS (SELECT s_suppkey AS src, unnest([(s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier), (s_suppkey * 5 + 2) % (SELECT count(*) FROM supplier)]) AS dst FROM supplier)"""
 TREE = """tree AS (
     SELECT r_name AS path, NULL::VARCHAR AS parent, r_name AS name, 0 AS depth FROM region
@@ -178,7 +198,7 @@ def _tenths(x: str) -> str:
     f"""WITH scored AS (SELECT doc_id AS id, list_cosine_similarity(embedding::DOUBLE[], {QUERY_VECTOR}) AS sem, {KEYWORD.format(text='text', symbols='source')} AS key
         FROM documents JOIN embeddings ON doc_id = vec_id), held AS (SELECT *, {COMBINED.format('0.72::DOUBLE', '0.28::DOUBLE')} AS total FROM scored)
     SELECT id, {_tenths('total')} AS score, {_tenths('greatest(sem, 0.0::DOUBLE)')} AS semantic_score, {_tenths('key')} AS keyword_score
-    FROM held WHERE sem >= 0 AND total >= 0.1 ORDER BY score DESC, keyword_score DESC, semantic_score DESC, id LIMIT 20""",
+    FROM held WHERE total >= 0.1 ORDER BY round(total, 12) DESC, round(key, 12) DESC, round(sem, 12) DESC, id LIMIT 20""",
 )
 def _(t: Tables) -> DataFrame:
     docs = t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("symbols"), F.col("embedding").alias("v"))
@@ -189,7 +209,7 @@ def _(t: Tables) -> DataFrame:
     "identifier_search",
     f"""WITH scored AS (SELECT p_partkey AS id, p_name AS name, list_cosine_similarity(embedding::DOUBLE[], {QUERY_VECTOR}) AS sem, {covered(identifier_terms("p_name || ' ' || p_type || ' ' || p_brand"), ['red', 'widget', 'brand'])} AS key
         FROM part JOIN embeddings ON p_partkey = vec_id WHERE lower(p_type) IN (SELECT min(lower(p_type)) FROM part UNION SELECT max(lower(p_type)) FROM part))
-    SELECT id, name, {_tenths(COMBINED.format('0.78::DOUBLE', '0.22::DOUBLE'))} AS score FROM scored ORDER BY score DESC, id LIMIT 20""",
+    SELECT id, name, {_tenths(COMBINED.format('0.78::DOUBLE', '0.22::DOUBLE'))} AS score FROM scored ORDER BY round({COMBINED.format('0.78::DOUBLE', '0.22::DOUBLE')}, 12) DESC, id LIMIT 20""",
 )
 def _(t: Tables) -> DataFrame:
     ends = t.part.agg(F.min("p_type"), F.max("p_type")).first()
@@ -437,22 +457,31 @@ def _(t: Tables) -> DataFrame:
     return code.brace_depth(t.code_lines)
 
 
-@query("comment_rule", f"WITH {CODE_LINES} SELECT file, line, substr(trim(text), 1, 80) AS comment FROM code_lines WHERE line > 2 AND starts_with(trim(text), '//')")
+@query("comment_rule", f"WITH {MANY_LINES} SELECT * FROM comment_lines")
 def _(t: Tables) -> DataFrame:
-    return code.comment_violations(t.code_lines)
+    return code.comment_violations(t.many_lines)
 
 
 @query(
     "violations",
-    f"""WITH {CODE_LINES}, comments AS (SELECT file, 'no-comments' AS rule, count(*) AS n FROM code_lines WHERE line > 2 AND starts_with(trim(text), '//') GROUP BY file),
-    d AS (SELECT file, sum(len(text) - len(replace(text, '{{', '')) - len(text) + len(replace(text, '}}', ''))) OVER (PARTITION BY file ORDER BY line) AS depth FROM code_lines),
+    f"""WITH {MANY_LINES}, comments AS (SELECT file, 'no-comments' AS rule, count(*) AS n FROM comment_lines GROUP BY file),
+    d AS (SELECT file, sum(len(text) - len(replace(text, '{{', '')) - len(text) + len(replace(text, '}}', ''))) OVER (PARTITION BY file ORDER BY line) AS depth FROM many_lines),
     s AS (SELECT file, max(depth) AS depth, count(*) AS n FROM d GROUP BY file),
-    h AS (SELECT file, count(*) FILTER (WHERE starts_with(text, '//')) AS n FROM code_lines WHERE line <= 5 GROUP BY file)
+    h AS (SELECT file, list(text ORDER BY line) FILTER (WHERE starts_with(text, CASE WHEN file LIKE '%.lua' THEN '--' WHEN regexp_matches(file, '[.](py|rb)$') THEN '#' ELSE '//' END)) AS heads
+        FROM many_lines WHERE line <= 5 AND file NOT LIKE '%.txt' GROUP BY file)
     SELECT *, rule = 'no-comments' AND n > 10 AS rejects FROM (SELECT * FROM comments UNION ALL SELECT file, 'nesting', 1 FROM s WHERE depth > 6
-        UNION ALL SELECT file, 'file-length', 1 FROM s WHERE n > 1000 UNION ALL SELECT file, 'header', 1 FROM h WHERE n < 2)""",
+        UNION ALL SELECT file, 'file-length', 1 FROM s WHERE n > 1000 UNION ALL SELECT file, 'header', 1 FROM h WHERE coalesce(len(heads), 0) < 2
+        UNION ALL SELECT file, 'feature-tag', 1 FROM h WHERE len(heads) >= 2 AND NOT contains(upper(heads[2]), 'FEATURE:'))""",
 )
 def _(t: Tables) -> DataFrame:
-    return code.violations(t.code_lines, most_comments=10)
+    return code.violations(t.many_lines, most_comments=10)
+
+
+@query("symbols", f"WITH {CODE_LINES}, {DEFINED} SELECT file, name, kind, line FROM defined")
+def _(t: Tables) -> DataFrame:
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    files = t.code_lines.groupBy(F.col("file").alias("relative_path")).agg(content.alias("content"))
+    return extract_symbols(files).select("file", "name", "kind", F.col("line").cast("long").alias("line"))
 
 
 @query("retention", "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 100")
@@ -493,16 +522,13 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "merge_roles",
-    """WITH m AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role AS starts FROM conversations WHERE length(text) > 60),
+    """WITH r AS (SELECT conv_id, turn, text, CASE WHEN turn % 4 < 2 THEN 'both' ELSE role END AS role FROM conversations),
+    m AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role AS starts FROM r),
     g AS (SELECT *, sum(starts::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM m)
     SELECT conv_id, island::BIGINT AS island, min(role) AS role, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS text FROM g GROUP BY conv_id, island""",
 )
 def _(t: Tables) -> DataFrame:
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    starts = (~F.lag("role").over(order).eqNullSafe(F.col("role"))).cast("int")
-    held = t.conversations.filter("length(text) > 60").withColumn("starts", starts).withColumn("island", F.sum("starts").over(order))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
-    return held.groupBy("conv_id", "island").agg(F.min("role").alias("role"), F.count(F.lit(1)).alias("n"), joined.alias("text"))
+    return messages.merge_roles(t.conversations.withColumn("role", F.when(F.col("turn") % 4 < 2, "both").otherwise(F.col("role"))))
 
 
 @query("message_truncate", "SELECT conv_id, turn, substr(text, 1, 80) || CASE WHEN length(text) > 80 THEN '...' ELSE '' END AS text FROM conversations")
@@ -548,11 +574,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("descendants", f"WITH RECURSIVE {TREE}, d AS (SELECT path AS root, path, 0 AS steps FROM tree WHERE depth = 0 UNION ALL SELECT d.root, tree.path, steps + 1 FROM d JOIN tree ON tree.parent = d.path) SELECT root, count(*) AS nodes, max(steps) AS steps FROM d GROUP BY root")
 def _(t: Tables) -> DataFrame:
-    level = t.tree.filter("depth = 0").select(F.col("path").alias("root"), "path", F.lit(0).alias("steps"))
-    found, children = level, t.tree.select(F.col("parent").alias("up"), F.col("path").alias("below"))
-    for step in (1, 2):
-        level = level.join(children, F.col("path") == F.col("up")).select("root", F.col("below").alias("path"), F.lit(step).alias("steps"))
-        found = found.unionByName(level)
+    found = graph.descendants(t.tree.select(F.col("path").alias("node"), "parent"))
     return found.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"), F.max("steps").alias("steps"))
 
 
@@ -658,12 +680,11 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "skeleton",
-    f"""WITH {CODE_LINES}, {DEFINED}, n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS rank FROM defined)
-    SELECT file, string_agg('[' || kind || '] L' || line || ' ' || name || ';', chr(10) ORDER BY line) AS skeleton FROM n WHERE rank <= 20 GROUP BY file""",
+    f"""WITH {CODE_LINES}, {DEFINED}
+    SELECT file, string_agg('[' || kind || '] L' || line || ' ' || name || ';', chr(10) ORDER BY line) AS skeleton FROM defined GROUP BY file""",
 )
 def _(t: Tables) -> DataFrame:
-    order = Window.partitionBy("file").orderBy("line")
-    kept = code.definitions(t.code_lines).withColumn("rank", F.row_number().over(order)).filter("rank <= 20")
+    kept = code.definitions(t.code_lines)
     line = F.concat(F.lit("["), "kind", F.lit("] "), T.line_range(F.col("line"), F.col("line")), F.lit(" "), "name", F.lit(";"))
     return kept.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", line.alias("x")))), lambda s: s["x"]), "\n").alias("skeleton"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import math
 import time
 from collections.abc import Callable
 from typing import TypeVar
@@ -50,11 +51,36 @@ def is_context_length(error: object) -> bool:
 
 def threshold(value: float | None, fallback: float) -> float:
     """A share: above 1 it is a percentage, below 0 it is 0, and without a number the fallback."""
-    if value is None or value != value:
+    if value is None or not math.isfinite(value):
         return fallback
     return min(1.0, max(0.0, value / 100 if value > 1 else value))
 
 
+def weight(value: float | None, fallback: float) -> float:
+    """A finite number of 0 or more, else the fallback."""
+    return fallback if value is None or not math.isfinite(value) or value < 0 else value
+
+
+def top_k(value: float | None, fallback: int) -> int:
+    """A whole number of 1 or more, rounded down; without a finite number the fallback."""
+    return fallback if value is None or not math.isfinite(value) else max(1, math.floor(value))
+
+
+def search_options(top: float | None = None, **given: object) -> dict:
+    """Arguments of search.hybrid_search from what a caller gives, shares or percentages, with defaults."""
+    number = given.get
+    return {
+        "k": top_k(top, 5),
+        "semantic_weight": weight(number("semantic_weight"), 0.72),
+        "keyword_weight": weight(number("keyword_weight"), 0.28),
+        "least_semantic": threshold(number("least_semantic"), 0.0),
+        "least_keyword": threshold(number("least_keyword"), 0.0),
+        "least": threshold(number("least"), 0.1),
+        "require_keyword": bool(number("require_keyword")),
+        "require_semantic": bool(number("require_semantic")),
+    }
+
+
 def retried(call: Callable[[], Result], attempts: int = 3, pause_s: float = 2.0) -> Result:
     """Calls up to ``attempts`` times, with a longer pause after each transient error."""
     for attempt in range(1, attempts + 1):

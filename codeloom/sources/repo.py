@@ -25,16 +25,34 @@ class IgnoreRules:
     def __init__(self, text: str):
         self.rules: list[tuple[re.Pattern, bool, bool]] = []
         for line in text.splitlines():
-            rule = line.rstrip()
+            rule = re.sub(r"(?<!\\)\s+$", "", line)
             if not rule or rule.startswith("#"):
                 continue
-            takes_back, rule = rule.startswith("!"), rule.lstrip("!")
+            takes_back = rule.startswith("!")
+            rule = rule[1:] if takes_back else rule
             folders, rule = rule.endswith("/"), rule.rstrip("/")
             anchored, rule = "/" in rule, rule.lstrip("/")
-            parts = re.split(r"(\*\*/|/\*\*|\*\*|\*|\?)", rule)
-            forms = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
-            body = "".join(forms.get(p, re.escape(p)) for p in parts)
-            self.rules.append((re.compile(("" if anchored else "(?:.*/)?") + body + r"\Z"), takes_back, folders))
+            if rule:
+                self.rules.append((re.compile(("" if anchored else "(?:.*/)?") + self.pattern(rule) + r"\Z"), takes_back, folders))
+
+    @staticmethod
+    def pattern(rule: str) -> str:
+        """A rule as a regular expression: *, ?, **, classes such as [a-z] and [!a-z], and \\ before a sign
+        that stands for itself."""
+        forms = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+        out = ""
+        for part in re.findall(r"\\.|\[[!^]?\]?[^\]]*\]|\*\*/|/\*\*|\*\*|\*|\?|.", rule, re.DOTALL):
+            if len(part) > 2 and part[0] == "[":
+                inner = part[1:-1]
+                taken = inner[:1] in ("!", "^")
+                inner = inner[1:] if taken else inner
+                inner = re.sub(r"([\\\[\]^&|~])", r"\\\1", inner)
+                out += f"(?!/)[{'^' if taken else ''}{inner}]"
+            elif len(part) == 2 and part[0] == "\\":
+                out += re.escape(part[1])
+            else:
+                out += forms.get(part) or re.escape(part)
+        return out
 
     def ignores(self, path: str) -> bool:
         """Whether a path is left out, itself or by a folder above it.  The path's own name is tested as

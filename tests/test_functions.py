@@ -29,12 +29,16 @@ def test_tokenisers(spark, text, files, identifiers):
 
 
 def test_links(spark):
-    assert [x.target for x in one(spark, T.wiki_links(F.col("c0")), "[[a.ts]] and [[ b.ts | Does it ]] @linked-to [[pay]]")] == ["a.ts", "b.ts"]
-    assert [x.description for x in one(spark, T.wiki_links(F.col("c0")), "[[a.ts]] [[b.ts|Does it]]")] == [None, "Does it"]
-    assert one(spark, T.cross_links(F.col("c0")), "@linked-to [[payments]]\n@linked-to [[billing]] [[x]]") == ["payments", "billing"]
+    assert [x.target for x in one(spark, T.wiki_links(F.col("c0")), "see [[lib/pump.rs]], [[ tank.go | Holds it ]] @linked-to [[valves]]")] == ["lib/pump.rs", "tank.go"]
+    assert [x.description for x in one(spark, T.wiki_links(F.col("c0")), "[[pump.rs]] [[tank.go|Holds it]]")] == [None, "Holds it"]
+    assert one(spark, T.cross_links(F.col("c0")), "@linked-to [[valves]]\n@linked-to [[meters]] [[tank.go]]") == ["valves", "meters"]
 
 
-@pytest.mark.parametrize("text,want", [("// Something\n// FEATURE: Auth Logic", "Auth Logic"), ("# Processor\n# FEATURE: Data Pipeline", "Data Pipeline"), ("none", None)])
+def test_calls_start_at_a_word_boundary(spark):
+    assert one(spark, T.calls_of(F.col("c0")), "a$b(1) $pump(2) $(3) é$fill(4) 1$x(5)") == ["a$b", "pump", "fill", "$x"]
+
+
+@pytest.mark.parametrize("text,want", [("// Reads meters\n// FEATURE: Water Metering", "Water Metering"), ("# Fills\n# FEATURE: Tank Levels", "Tank Levels"), ("none", None)])
 def test_feature_tags(spark, text, want):
     assert one(spark, T.feature_tag(F.col("c0")), text) == want
 
