@@ -245,3 +245,12 @@ def test_vectors_see_all_of_a_long_code_file(spark, tmp_path):
     lines = {x.split()[0]: x for x in (tmp_path / "seen.txt").read_text().splitlines()}
     assert "zebra_crossing(stripes)" in lines["long.py"] and lines["long.py"].count("x = 1") < 3
     assert "zebra_crossing" not in lines["notes.md"]
+
+
+def test_views(spark, tree):
+    engine = Engine(spark, str(tree))
+    names = engine.register_views("tree_")
+    assert len(names) == 7
+    for name in names:
+        spark.sql(f"SELECT count(*) FROM {name}").collect()
+    assert spark.sql("SELECT count(*) AS n FROM tree_lines WHERE text LIKE '%helper%'").first().n >= 3
