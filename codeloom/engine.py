@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import clustering, code, graph, hubs, providers, search
+from codeloom.operators import chains, clustering, code, hubs, providers, search
 from codeloom.operators.restore import RestorePoints
 from codeloom.operators.symbols import extract_symbols
 from codeloom.sources import config, repo
@@ -114,20 +114,32 @@ class Engine:
         return search.identifier_search(rows.join(vectors, F.col("id") == F.col("key")), query, search.query_vector(self.provider([query])[0]), kinds, k)
 
     def call_edges(self) -> DataFrame:
-        """(caller, callee, ordinal, external): calls in each function's lines, resolved by name."""
-        held = self.symbols.filter(F.col("kind").isin("function", "method")).select(F.col("file").alias("in_file"), F.col("name").alias("caller"), F.col("line").alias("first"), "end_line")
-        called = code.calls(self.lines)
-        inside = called.join(held, (called.file == held.in_file) & F.col("line").between(F.col("first"), F.col("end_line"))).filter("callee <> caller")
-        each = inside.groupBy("in_file", "caller", "callee").agg(F.min(F.struct("line", "ordinal")).alias("at"))
-        known = self.symbols.select(F.col("name").alias("callee"), F.lit(True).alias("known")).distinct()
-        return each.join(known, "callee", "left").select("in_file", "caller", "callee", "at", F.col("known").isNull().alias("external"))
-
-    def call_chain(self, symbol: str, max_depth: int = 6) -> DataFrame:
-        """Paths of names from a symbol, as graph.call_paths over 64-bit hashes with names put back."""
-        edges = self.call_edges().filter("not external").select(F.xxhash64("caller").alias("src"), F.xxhash64("callee").alias("dst")).distinct()
-        root = self.spark.range(1).select(F.xxhash64(F.lit(symbol))).first()[0]
-        names = self.symbols.select(F.xxhash64("name").alias("node"), "name").distinct()
-        return graph.call_paths(edges, root, max_depth).join(names, "node").orderBy("depth", "path")
+        """Calls of each symbol in order, with the best definition of their name; see chains.call_edges."""
+        return chains.call_edges(chains.bodies(self.symbols, self.files))
+
+    def call_chain(self, symbol: str, file_path: str | None = None, max_depth: int = 6, marks: list[str] | None = None) -> DataFrame:
+        """The tree of calls below a symbol, in order; see chains.call_chains.  LookupError if the symbol is
+        unknown, or defined in several places and no file is given."""
+        found = chains.starts(self.symbols, symbol, file_path)
+        if not found:
+            raise LookupError(chains.NOT_FOUND.format(name=symbol))
+        if len(found) > 1:
+            every = self.symbols.filter(F.col("name") == symbol).orderBy("file", "line").collect()
+            places = [f"  {s.file}  L{s.line}  ({s.kind})" for s in every]
+            raise LookupError("\n".join([chains.SEVERAL.format(name=symbol, n=len(every)), *places]))
+        held = chains.bodies(self.symbols, self.files, marks)
+        root = held.filter((F.col("file") == found[0].file) & (F.col("line") == found[0].line)).select("key")
+        return chains.call_chains(held, root, max_depth).orderBy("path")
+
+    def call_chain_text(self, symbol: str, file_path: str | None = None, max_depth: int = 6, marks: list[str] | None = None) -> str:
+        try:
+            chain = self.call_chain(symbol, file_path, max_depth, marks).cache()
+        except LookupError as error:
+            return str(error)
+        rows, n = chain.collect(), chains.chain_stats(chain).first()
+        chain.unpersist()
+        head = [chains.TITLE.format(name=symbol, depth=max_depth), f"{rows[0].file}  {chains.span(rows[0])}", f"Signature: {rows[0].signature}", ""]
+        return "\n".join([*head, chains.render_chain(rows), chains.COUNTS.format(**n.asDict())])
 
     def semantic_navigate(self, max_depth: int = 3, leaf: int = 20, most: int = 20) -> DataFrame:
         """(cluster_path, file): files split by meaning until a part has ``leaf`` of them at most."""
@@ -204,6 +216,7 @@ class Engine:
         table = lambda df: df.limit(50).toPandas().to_string()
         tools = {
             "semantic_code_search": lambda query, k=5: table(self.semantic_code_search(query, k)),
+            "get_call_chain": lambda symbol, file_path=None: self.call_chain_text(symbol, file_path),
             "get_blast_radius": lambda symbol: table(self.blast_radius(symbol)),
             "get_context_tree": lambda: self.context_tree_text(),
             "get_file_skeleton": lambda path: self.file_skeleton_text(path),

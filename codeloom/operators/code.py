@@ -45,6 +45,11 @@ def definitions(lines: DataFrame) -> DataFrame:
     return lines.select("file", "line", F.regexp_extract("text", r"^(?:export )?(function|class) (\w+)", 1).alias("kind"), F.regexp_extract("text", r"^(?:export )?(function|class) (\w+)", 2).alias("name")).filter("name <> ''")
 
 
+def folder_of(path: Column) -> Column:
+    """The folder of a path, empty at the top."""
+    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+
+
 def best_definition(candidates: DataFrame, by: list[str], path: Column, from_dir: Column, *ordinal: str) -> DataFrame:
     """One candidate for each key: no test file if there is another, then one whose path starts with the
     caller's folder, then the first."""
@@ -54,10 +59,9 @@ def best_definition(candidates: DataFrame, by: list[str], path: Column, from_dir
 
 def resolve_calls(called: DataFrame, defined: DataFrame) -> DataFrame:
     """Calls with the best definition of their name; a name without one is external."""
-    folder = F.regexp_replace("file", "/[^/]*$", "")
     names = called.select("file", "callee").distinct()
     found = names.join(defined.select(F.col("file").alias("def_file"), F.col("line").alias("def_line"), "name"), F.col("callee") == F.col("name"))
-    best = best_definition(found, ["file", "callee"], F.col("def_file"), folder, "def_file", "def_line")
+    best = best_definition(found, ["file", "callee"], F.col("def_file"), folder_of(F.col("file")), "def_file", "def_line")
     return called.join(best.select("file", "callee", "def_file", "def_line"), ["file", "callee"], "left").withColumn("external", F.col("def_file").isNull())
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
-from codeloom.operators import clustering, code, diagrams, graph, messages, search
+from codeloom.operators import chains, clustering, code, diagrams, graph, hubs, messages, search
 from codeloom.operators.symbols import extract_symbols
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,9 +287,8 @@ LINKS = """links AS (SELECT page_id, url, regexp_replace(html, '<a [^>]*href="([
     FROM raw QUALIFY row_number() OVER (PARTITION BY page_id, trim(split_part(x, '|', 1)) ORDER BY ordinal) = 1""",
 )
 def _(t: Tables) -> DataFrame:
-    each = t.links.select("page_id", F.posexplode(T.wiki_links(F.col("text"))).alias("ordinal", "link")).select("page_id", "link.*", F.col("ordinal").cast("long"))
-    first = Window.partitionBy("page_id", "target").orderBy("ordinal")
-    return each.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+    found = hubs.hub_links(t.links.select(F.col("page_id").alias("hub"), F.col("text").alias("content")))
+    return found.select(F.col("hub").alias("page_id"), "target", "description", F.col("ordinal").cast("long"))
 
 
 @query(
@@ -302,15 +301,16 @@ def _(t: Tables) -> DataFrame:
 
 @query("orphan_docs", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
 def _(t: Tables) -> DataFrame:
-    linked = t.labels.select("doc_id").union(t.embeddings.select(F.col("vec_id").alias("doc_id"))).distinct()
-    return t.documents.select("doc_id", "source").join(linked, "doc_id", "left_anti")
+    links = t.labels.select("doc_id").union(t.embeddings.select("vec_id")).distinct().select(F.concat(F.lit("about-"), "doc_id", F.lit(".md")).alias("hub"), F.concat(F.lit("[["), "doc_id", F.lit("]]")).alias("content"))
+    docs = t.documents.select("doc_id", "source", F.col("doc_id").cast("string").alias("relative_path"))
+    return docs.join(hubs.orphans(docs, links), "relative_path", "left_semi").select("doc_id", "source")
 
 
 @query("link_resolve", "SELECT quality, toxic, count(*) FILTER (WHERE e.vec_id IS NOT NULL) AS resolved, count(*) FILTER (WHERE e.vec_id IS NULL) AS missing FROM labels l LEFT JOIN embeddings e ON l.doc_id = e.vec_id GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     targets = t.embeddings.select(F.col("vec_id").alias("doc_id")).distinct()
-    found = t.labels.join(targets, "doc_id", "left_semi").withColumn("there", F.lit(True)).unionByName(t.labels.join(targets, "doc_id", "left_anti").withColumn("there", F.lit(False)))
-    return found.groupBy("quality", "toxic").agg(F.count_if("there").alias("resolved"), F.count_if(~F.col("there")).alias("missing"))
+    found = hubs.resolved(t.labels.withColumnRenamed("doc_id", "target"), targets.withColumnRenamed("doc_id", "relative_path"))
+    return found.groupBy("quality", "toxic").agg(F.count_if("found").alias("resolved"), F.count_if(~F.col("found")).alias("missing"))
 
 
 @query(
@@ -342,11 +342,60 @@ def _(t: Tables) -> DataFrame:
     return code.calls(t.code_lines)
 
 
-@query("db_calls", f"WITH {CODE_LINES} SELECT file, line, regexp_matches(text, '\\bdb\\s*[.(]|\\b(?:{'|'.join(T.DB_WORDS)})\\b|\\.(?:{'|'.join(T.DB_METHODS)})\\s*\\(') AS is_db FROM code_lines")
+DB_LINE = f"regexp_matches(text, '\\bdb\\s*[.(]|\\b(?:{'|'.join(T.DB_WORDS)})\\b|\\.(?:{'|'.join(T.DB_METHODS)})\\s*\\(')"
+
+
+@query("db_calls", f"WITH {CODE_LINES} SELECT file, line, {DB_LINE} AS is_db FROM code_lines")
 def _(t: Tables) -> DataFrame:
     return t.code_lines.select("file", "line", T.is_db_line(F.col("text")).alias("is_db"))
 
 
+CHAINS = f"""{CODE_LINES}, {DEFINED}, keyed AS (SELECT *, file || ':' || line AS key FROM defined),
+    body AS (SELECT k.key, k.name, k.file, c.line AS nr, c.text FROM keyed k JOIN code_lines c ON c.file = k.file AND c.line BETWEEN k.line AND k.line + 5),
+    db AS (SELECT key, bool_or({DB_LINE}) OR regexp_matches(name, '{T.DB_NAMES}') AS is_db FROM body GROUP BY key, name),
+    said AS (SELECT key, name, file, nr, unnest({CALLED}) AS callee, unnest(range(len({CALLED}))) AS o FROM body),
+    firsts AS (SELECT key, name, file, callee, row_number() OVER (PARTITION BY key ORDER BY min(nr * 1000 + o)) - 1 AS ordinal FROM said GROUP BY key, name, file, callee),
+    best AS (SELECT c.file, c.callee, k.key AS dst FROM (SELECT DISTINCT file, callee FROM firsts WHERE callee <> name) c JOIN keyed k ON c.callee = k.name
+        QUALIFY row_number() OVER (PARTITION BY c.file, c.callee ORDER BY contains(k.file, 'test') OR contains(k.file, 'spec') OR contains(k.file, '.demo.'), NOT starts_with(k.file, regexp_replace(c.file, '/[^/]*$', '')), k.file, k.line) = 1),
+    hops AS (SELECT f.key AS src, f.ordinal, f.callee, b.dst FROM firsts f LEFT JOIN best b USING (file, callee) WHERE f.callee <> f.name),
+    chain AS (SELECT key AS root, []::BIGINT[] AS path, [key] AS keys, name, key, false AS is_external, false AS is_cycle, 0 AS depth FROM keyed WHERE kind = 'function'
+        UNION ALL SELECT root, list_append(path, ordinal), list_append(keys, dst), callee, dst, dst IS NULL, coalesce(list_contains(keys, dst), false), depth + 1 FROM chain JOIN hops ON key = src WHERE NOT is_cycle AND depth < 3),
+    marked AS (SELECT c.root, array_to_string(c.path, '>') AS path, c.depth, c.name, coalesce(k.file, '') AS file, coalesce(k.line, 0) AS line, c.is_external, c.is_cycle,
+        CASE WHEN c.is_external THEN regexp_matches(c.name, '{T.DB_NAMES}') ELSE db.is_db AND NOT c.is_cycle END AS is_db_hit,
+        c.is_external OR c.is_cycle OR c.depth = 3 OR c.key NOT IN (SELECT src FROM hops) AS is_leaf FROM chain c LEFT JOIN keyed k ON c.key = k.key LEFT JOIN db ON db.key = c.key)"""
+
+
+def _chains(t: Tables) -> DataFrame:
+    """Chains from each function of code_lines, whose bodies are taken to be six lines."""
+    symbols = code.definitions(t.code_lines).select("file", "name", "kind", "line", (F.col("line") + 5).alias("end_line"), F.lit("").alias("signature"))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    held = chains.bodies(symbols, t.code_lines.groupBy(F.col("file").alias("relative_path")).agg(content.alias("content")))
+    return chains.call_chains(held, held.filter("kind = 'function'"), 3)
+
+
+@query("call_chains", f"WITH RECURSIVE {CHAINS} SELECT * FROM marked")
+def _(t: Tables) -> DataFrame:
+    held = _chains(t).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+    return held.select("root", "path", "depth", "name", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0).cast("long")).alias("line"), "is_external", "is_cycle", "is_db_hit", "is_leaf")
+
+
+@query(
+    "chain_stats",
+    f"""WITH RECURSIVE {CHAINS} SELECT root, count(*) AS total, count(*) FILTER (WHERE NOT is_leaf) AS internal, count(*) FILTER (WHERE is_leaf) AS leaves,
+    count(*) FILTER (WHERE is_db_hit) AS db_hits, count(*) FILTER (WHERE is_cycle) AS cycles FROM marked GROUP BY root""",
+)
+def _(t: Tables) -> DataFrame:
+    return chains.chain_stats(_chains(t))
+
+
+@query(
+    "chain_flatten",
+    f"""WITH RECURSIVE {CHAINS} SELECT root, coalesce(key, 'ext:' || name) AS node, array_to_string(arg_min(path, path), '>') AS first_path, arg_min(depth, path) AS depth, count(*) AS times FROM chain GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    return chains.flatten_chain(_chains(t)).withColumn("first_path", F.array_join(F.col("first_path").cast("array<string>"), ">"))
+
+
 PATHS = f"""{CYCLIC}, paths AS (
     SELECT [0::BIGINT] AS path, 0 AS depth, 0::BIGINT AS node, false AS is_cycle
     UNION ALL SELECT list_append(p.path, e.dst), p.depth + 1, e.dst, list_contains(p.path, e.dst) FROM paths p JOIN edges e ON p.node = e.src AND e.src <> e.dst WHERE NOT p.is_cycle AND p.depth < 6),
@@ -538,9 +587,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("dangling_edges", "SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
 def _(t: Tables) -> DataFrame:
-    nodes = t.customer.filter("c_acctbal >= 0").select(F.col("c_custkey").alias("node"))
-    edges = t.orders.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
-    return edges.join(nodes, edges.dst == nodes.node, "left_anti")
+    of = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    nodes = t.customer.filter("c_acctbal >= 0").select(of("customer ", "c_custkey").alias("node")).union(t.orders.select(of("order ", "o_orderkey")))
+    edges = t.orders.select(of("order ", "o_orderkey").alias("src"), of("customer ", "o_custkey").alias("dst"), "o_orderkey", "o_custkey")
+    return graph.dangling(edges, nodes).select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
 
 
 @query("isolated_nodes", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")

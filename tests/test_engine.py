@@ -141,8 +141,7 @@ def test_engine(spark, tree):
     used = {(r.file, r.line) for r in engine.blast_radius("helper").collect()}
     assert used == {("src/util.ts", 3), ("src/main.ts", 3), ("src/main.ts", 5)}
     assert ("src/util.ts", 3) not in {(r.file, r.line) for r in engine.blast_radius("helper", "src/util.ts").collect()}
-    chain = [(r.name, r.depth) for r in engine.call_chain("start").collect()]
-    assert chain == [("start", 0), ("helper", 1), ("inner", 2)]
+    assert [(r.name, r.depth) for r in engine.call_chain("start").collect()] == [("start", 0), ("helper", 1), ("inner", 2)]
     text = engine.context_tree_text()
     assert text.startswith("[Level 2]") and "function: export function helper(x)" in text
     assert engine.context_tree_text(max_tokens=5).startswith("[Level 0]")
