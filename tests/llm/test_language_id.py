@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -62,3 +63,37 @@ def test_odd_texts_and_no_training_rows(table):
     assert train(odd, F.lit(True)) is None
     assert {r.lang_pred for r in predict(odd, None).collect()} == {"und"}
     assert predict(table([]), network).count() == 0
+
+
+def plain_prediction(network, text):
+    """The convolution position by position, and the average over windows, in loops."""
+    w8 = {k: v.astype(float) for k, v in network.weights.items()}
+    seen = bytes(b if b > 127 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in text.encode())
+    total, letters = [0.0] * len(network.labels), 0.0
+    for at in range(0, len(seen), network.window):
+        window = seen[at : at + network.window].ljust(network.window)
+        pooled = []
+        for w in network.widths:
+            for f in range(network.filters):
+                best = -math.inf
+                for i in range(len(window) - w + 1):
+                    patch = np.concatenate([w8["bytes"][b] for b in window[i : i + w]])
+                    best = max(best, float(patch @ w8[f"filter{w}"][:, f]) + float(w8[f"bias{w}"][f]))
+                pooled.append(max(0.0, best))
+        z = [sum(p * w8["out"][i, k] for i, p in enumerate(pooled)) + w8["out_bias"][k] for k in range(len(network.labels))]
+        e = [math.exp(v - max(z)) for v in z]
+        weight = sum(b != 32 for b in window) + 1e-3
+        total = [t + weight * v / sum(e) for t, v in zip(total, e, strict=True)]
+        letters += weight
+    best = max(range(len(total)), key=total.__getitem__)
+    return network.labels[best], total[best] / letters
+
+
+def test_equals_a_plain_computation(table):
+    rng = random.Random(9)
+    texts = [text(rng, lang, n) for lang in sorted(SOUNDS) for n in (1, 5, 30)] + ["A É\n7 b", "\u4e2d\u6587", "x" * 300]
+    network = train(table(rows(90)), F.lit(True), window=64)
+    got = {r.doc_id: r for r in predict(table(list(enumerate(texts))), network).collect()}
+    for i, t in enumerate(texts):
+        label, score = plain_prediction(network, t)
+        assert got[i].lang_pred == label and abs(got[i].score - score) < 1e-4

@@ -1,7 +1,8 @@
+import math
 import random
 
 import numpy as np
-from codeloom.llm.quality import ABSTAIN, LABELLERS, LabelModel, classify, digits, keep_good, votes
+from codeloom.llm.quality import ABSTAIN, ANY_LENGTH, BAD, BAD_KINDS, BOUNDS, CLASSES, FEW, GOOD, LABELLERS, WIDTH, LabelModel, classify, digits, fit, keep_good, shares, votes
 from llm_cases import ODD_TEXTS
 
 
@@ -65,3 +66,77 @@ def test_odd_texts_and_empty(table):
     assert classify(odd).count() == len(ODD_TEXTS) + 3
     assert classify(table([])).count() == 0
     assert keep_good(table([])).count() == 0
+
+
+def plain_votes(text):
+    """A document's votes, labeller by labeller."""
+    words = text.split()
+    out = [ABSTAIN] * len(LABELLERS)
+    for i, name in enumerate(LABELLERS if words else ()):
+        low, high = BOUNDS[name]
+        x = shares(text, words)[i]
+        if len(words) >= FEW:
+            out[i] = BAD if x >= high else GOOD if x <= low else ABSTAIN
+        elif name in ANY_LENGTH and x >= high:
+            out[i] = BAD
+    return out
+
+
+def plain_em(documents, rounds):
+    """Expectation maximisation document by document, with dictionaries and loops."""
+    kinds = range(1 + len(BAD_KINDS))
+    start = {}
+    for c in kinds:
+        for i, name in enumerate(LABELLERS):
+            looks = c and name in BAD_KINDS[c - 1]
+            start[c, i] = (0.01, 0.19, 0.8) if not c else (0.8, 0.15, 0.05) if looks else (0.15, 0.15, 0.7)
+    rate, share = dict(start), [0.85] + [0.15 / len(BAD_KINDS)] * len(BAD_KINDS)
+
+    def expected(cast):
+        asked = [v != ABSTAIN or GOOD in cast for v in cast]
+        p = [share[c] * math.prod(rate[c, i][v] for i, v in enumerate(cast) if asked[i]) for c in kinds]
+        if BAD not in cast:
+            p = [p[0], *(x * 1e-6 for x in p[1:])]
+        return asked, [x / sum(p) for x in p]
+
+    for _ in range(rounds):
+        seen = {key: list(v) for key, v in start.items()}
+        total = [0.5] * len(share)
+        for cast in documents:
+            asked, p = expected(cast)
+            for c in kinds:
+                total[c] += p[c]
+                for i, v in enumerate(cast):
+                    if asked[i]:
+                        seen[c, i][v] += p[c]
+        rate = {key: [x / sum(v) for x in v] for key, v in seen.items()}
+        share = [x / sum(total) for x in total]
+    return [expected(cast)[1][0] for cast in documents]
+
+
+def plain_score(text, scorer):
+    """The linear score from counts of three-byte patterns, one by one."""
+    size = len(scorer.weights)
+    x = [0.0] * size
+    for a, b, c in zip(text, text[1:], text[2:]):
+        code = (CLASSES[a] * WIDTH + CLASSES[b]) * WIDTH + CLASSES[c]
+        x[code * 0x9E3779B1 % 2**32 * size // 2**32] += 1 / (len(text) - 2)
+    words = text.split()
+    if len(words) > 1:
+        x[0x51] += sum(a == b for a, b in zip(words, words[1:])) / len(words)
+        x[0xA3] += 1 - len(set(words)) / len(words)
+    return 1 / (1 + math.exp(-sum(math.sqrt(v) * w for v, w in zip(x, scorer.weights, strict=True)) - scorer.bias))
+
+
+def test_equals_a_plain_computation(table):
+    rows = [r[:2] for r in corpus(150, seed=5)] + [(900, "That*** atly.###"), (901, "a plain line"), (902, "ON | THE | WHAN")]
+    docs = table(rows + rows[:20])
+    fitted = fit(docs)
+    casts = {i: plain_votes(t.encode()) for i, t in rows}
+    weak = dict(zip(casts, plain_em([*casts.values(), *list(casts.values())[:20]], 50)))
+    scored = {i: plain_score(t.encode(), fitted[0]) for i, t in rows}
+    got = classify(docs, fitted).collect()
+    assert len(got) == len(rows) + 20
+    for r in got:
+        assert abs(r.weak_label - weak[r.doc_id]) < 1e-6
+        assert abs(r.quality - scored[r.doc_id]) < 1e-4 and r.keep == (r.quality >= 0.3)

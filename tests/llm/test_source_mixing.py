@@ -48,3 +48,20 @@ def test_nulls_clashing_names_zero_weight_and_empty(table):
     assert {r.doc_id for r in out.collect()} == {None, 1}
     assert mix_sources(table(rows(50)), {}, default_weight=0.0).count() == 0
     assert mix_sources(table([]), {}).count() == 0
+
+
+def test_no_python_in_the_plan(table):
+    plan = mix_sources(table(rows(50)), {"s0": 2.0})._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "ExternalRDD", "ScalaUDF"))
+
+
+def test_rates_by_hand(table):
+    docs = table(rows(400))
+    rates = {r["__source"]: r["__rate"] for r in source_rates(docs, {"s0": 3.0, "s1": 1.0}, default_weight=0.5).collect()}
+    size = Counter()
+    for _, t, _, s, _ in rows(400):
+        size[s] += len(t) + 1
+    weights = {"s0": 3.0, "s1": 1.0, "s2": 0.5, None: 0.5}
+    whole = sum(size.values())
+    for s, n in size.items():
+        assert abs(rates[s] - weights[s] / sum(weights.values()) * whole / n) < 1e-9
