@@ -5,9 +5,26 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: How deep each kind of question looks, and along which kinds of edges.
+EXPANSION = {
+    "service_overview": (4, ("contains", "calls")),
+    "call_chain": (8, ("calls",)),
+    "failure_path": (6, ("calls", "contains")),
+    "data_lineage": (6, ("produces", "consumes", "transforms")),
+    "dependency_impact": (5, ("calls", "imports")),
+}
+#: What makes a node matter to each kind of question.
+WEIGHTS = {
+    "service_overview": {"fan_in": 0.30, "fan_out": 0.15, "errors": 0.25, "cloud": 0.15, "entry_point": 0.15},
+    "call_chain": {"depth": 0.40, "errors": 0.30, "cloud": 0.20},
+    "failure_path": {"error_status": 0.50, "caller_of_failing": 0.30, "dependency_of_failing": 0.20},
+    "data_lineage": {"data_flow_type": 0.40, "transformer": 0.25, "errors": 0.20, "cloud": 0.15},
+    "dependency_impact": {"blast_fan_in": 0.40, "service_level": 0.30, "already_failing": 0.30},
+}
+
 
 def call_paths(edges: DataFrame, root: int, max_depth: int = 6) -> DataFrame:
     """The tree of paths from root: (path, depth, node, is_cycle, is_leaf).
@@ -70,7 +87,12 @@ def flatten_truncated(paths: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, root: int, max_depth: int) -> DataFrame:
     """(node, depth): the least number of steps from root, up to max_depth."""
-    front = edges.sparkSession.range(1).select(F.lit(root).cast("long").alias("node"))
+    return reach_from(edges, edges.sparkSession.range(1).select(F.lit(root).cast("long").alias("node")), max_depth)
+
+
+def reach_from(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """(node, depth): the least number of steps from any of the roots (node), up to max_depth."""
+    front = roots.select("node").distinct()
     levels = [front.withColumn("depth", F.lit(0))]
     for depth in range(1, max_depth + 1):
         at = front.withColumnRenamed("node", "at")
@@ -91,6 +113,40 @@ def descendants(tree: DataFrame, most_levels: int = 1000) -> DataFrame:
     return tree.sparkSession.sql(query.replace("{most}", str(int(most_levels))), tree=tree)
 
 
+def expand(edges: DataFrame, roots: DataFrame, question: str) -> tuple[DataFrame, DataFrame]:
+    """The subgraph of a kind of question: (node, depth) reached from the roots (node) along the kinds of
+    edges (src, dst, kind) that it follows, and those edges between them."""
+    depth, kinds = EXPANSION[question]
+    followed = edges.filter(F.col("kind").isin(*kinds))
+    nodes = reach_from(followed, roots, depth)
+    ends = nodes.select("node")
+    inner = followed.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return nodes, inner.select(*edges.columns)
+
+
+def score_nodes(nodes: DataFrame, question: str) -> DataFrame:
+    """(node, score, reasons) by the weights of a kind of question: factors are columns from 0 to 1, and
+    one that isn't there or is null counts 0.  Reasons name the factors that count, with their share."""
+    parts = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * F.lit(w) for f, w in WEIGHTS[question].items() if f in nodes.columns}
+    reasons = F.array_compact(F.array(*[F.when(x > 0, F.format_string(f"{f} (%.2f)", x)) for f, x in parts.items()]))
+    total: Column = sum(parts.values(), F.lit(0.0))
+    return nodes.select("node", total.alias("score"), reasons.cast("array<string>").alias("reasons"))
+
+
+def scaled_degrees(edges: DataFrame) -> DataFrame:
+    """(node, fan_in, fan_out, entry_point) as factors: degrees as shares of the greatest."""
+    d = degrees(edges)
+    top = d.agg(F.max("fan_in"), F.max("fan_out")).first()
+    share = lambda name, most: F.col(name) / F.lit(float(most or 1))
+    return d.select("node", share("fan_in", top[0]).alias("fan_in"), share("fan_out", top[1]).alias("fan_out"), (F.col("fan_in") == 0).cast("double").alias("entry_point"))
+
+
+def between(edges: DataFrame) -> DataFrame:
+    """(node, callee, caller): what a node calls with what calls it, the two-step paths through each."""
+    callers = edges.select(F.col("src").alias("caller"), F.col("dst").alias("node"))
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("callee")).join(callers, "node").select("node", "callee", "caller")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """Fan-out and fan-in of every node, in one aggregation over both ends."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))

@@ -605,10 +605,9 @@ def _(t: Tables) -> DataFrame:
     SELECT k, id || repeat('_dup', (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INT) AS new_id FROM n""",
 )
 def _(t: Tables) -> DataFrame:
-    taken = t.region.select(F.substring("r_name", 1, 2).alias("id"), F.lit(True).alias("taken")).distinct()
-    held = t.nation.select(F.col("n_nationkey").alias("k"), F.substring("n_name", 1, 2).alias("id")).join(F.broadcast(taken), "id", "left")
-    named = held.select("k", F.when(F.col("taken"), F.concat(F.lit("nd_"), "id")).otherwise(F.col("id")).alias("id"))
-    return named.select("k", F.concat("id", F.repeat(F.lit("_dup"), F.row_number().over(Window.partitionBy("id").orderBy("k")) - 1)).alias("new_id"))
+    nodes = t.nation.select(F.col("n_nationkey").alias("n"), F.substring("n_name", 1, 2).alias("id"))
+    found = diagrams.unique_nodes(nodes, t.region.select(F.substring("r_name", 1, 2).alias("id")))
+    return found.select(F.col("n").alias("k"), "new_id")
 
 
 @query("fan_in_out", "SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM (SELECT l_partkey AS node, 0 AS i, 1 AS o FROM lineitem UNION ALL SELECT l_suppkey, 1, 0 FROM lineitem) GROUP BY node")
@@ -618,8 +617,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("callers_callees", f"WITH {CYCLIC} SELECT a.src AS node, a.dst AS callee, b.src AS caller FROM edges a JOIN edges b ON a.src = b.dst")
 def _(t: Tables) -> DataFrame:
-    callers = t.cyclic.select(F.col("src").alias("caller"), F.col("dst").alias("node"))
-    return t.cyclic.select(F.col("src").alias("node"), F.col("dst").alias("callee")).join(callers, "node").select("node", "callee", "caller")
+    return graph.between(t.cyclic)
 
 
 @query("descendants", f"WITH RECURSIVE {TREE}, d AS (SELECT path AS root, path, 0 AS steps FROM tree WHERE depth = 0 UNION ALL SELECT d.root, tree.path, steps + 1 FROM d JOIN tree ON tree.parent = d.path) SELECT root, count(*) AS nodes, max(steps) AS steps FROM d GROUP BY root")
@@ -653,7 +651,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("edge_bundle", "SELECT l_partkey % 100 AS src, l_suppkey AS dst, count(*) AS edges, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy((F.col("l_partkey") % 100).alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count(F.lit(1)).alias("edges"), F.sum("l_quantity").alias("weight"))
+    return diagrams.bundled(t.lineitem.select((F.col("l_partkey") % 100).alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_quantity").alias("weight")))
 
 
 NOW = "TIMESTAMP '1998-08-10 12:00:00'"
@@ -685,7 +683,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("bounding_box", "SELECT p_brand, min(p_size) AS x, max(p_size + p_partkey % 7) AS right, min(p_retailprice) AS y, max(p_retailprice + 10) AS bottom FROM part GROUP BY p_brand")
 def _(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_brand").agg(F.min("p_size").alias("x"), F.max(F.col("p_size") + F.col("p_partkey") % 7).alias("right"), F.min("p_retailprice").alias("y"), F.max(F.col("p_retailprice") + 10).alias("bottom"))
+    boxes = t.part.select(F.col("p_brand").alias("group"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 7).alias("width"), F.lit(10).alias("height"))
+    return diagrams.bounding_boxes(boxes).withColumnRenamed("group", "p_brand")
 
 
 @query("event_json", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -745,10 +744,7 @@ def _(t: Tables) -> DataFrame:
     SELECT node, round(0.3::DOUBLE * (d.fi / top.fi::DOUBLE) + 0.15::DOUBLE * (d.fo / top.fo::DOUBLE) + CASE WHEN d.fi = 0 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END, 6) AS score FROM d, top""",
 )
 def _(t: Tables) -> DataFrame:
-    d = graph.degrees(t.cyclic)
-    top = d.agg(F.max("fan_in"), F.max("fan_out")).first()
-    score = F.lit(0.3) * (F.col("fan_in") / float(top[0])) + F.lit(0.15) * (F.col("fan_out") / float(top[1])) + F.when(F.col("fan_in") == 0, 0.15).otherwise(0.0)
-    return d.select("node", F.round(score, 6).alias("score"))
+    return graph.score_nodes(graph.scaled_degrees(t.cyclic), "service_overview").select("node", F.round("score", 6).alias("score"))
 
 
 @query("vector_dims", "SELECT vec_id, len(embedding)::INT AS dims, len(embedding) = 64 AS valid FROM (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT -1, embedding[1:10] FROM embeddings WHERE vec_id = 3)")
@@ -760,27 +756,24 @@ def _(t: Tables) -> DataFrame:
 
 @query("cluster_members", "SELECT label, count(*) AS n, min(vec_id) AS first_member, array_to_string(list(vec_id ORDER BY vec_id), ',') AS members FROM embeddings GROUP BY label")
 def _(t: Tables) -> DataFrame:
-    members = F.array_join(F.array_sort(F.collect_list("vec_id")).cast("array<string>"), ",")
-    return t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_member"), members.alias("members"))
+    return clustering.members(t.embeddings.select("label", F.col("vec_id").alias("id")))
 
 
 @query("layout_fallback", f"WITH {TREE} SELECT path, depth * 280 AS x, ((row_number() OVER (PARTITION BY depth ORDER BY path) - 1) * 90)::BIGINT AS y FROM tree")
 def _(t: Tables) -> DataFrame:
-    row = F.row_number().over(Window.partitionBy("depth").orderBy("path"))
-    return t.tree.select("path", (F.col("depth") * 280).alias("x"), ((row - 1) * 90).cast("long").alias("y"))
+    return diagrams.layered(t.tree.select(F.col("path").alias("node"), "depth")).withColumnRenamed("node", "path")
 
 
 @query(
     "path_pattern",
-    """WITH p AS (SELECT split_part(url, '/', 3) AS host, url, regexp_replace(url, '/[^/]*$', '') AS dir, string_split(url, '/')[-1] AS base FROM pages)
-    SELECT host, CASE WHEN count(*) <= 1 THEN NULL WHEN min(dir) = max(dir) AND min(base) = max(base) THEN min(dir) || '/' || min(base) WHEN min(dir) = max(dir) THEN min(dir) || '/*' WHEN min(base) = max(base) THEN '*/' || min(base) END AS pattern FROM p GROUP BY host""",
+    """WITH p AS (SELECT split_part(url, '/', 3) AS host, string_split(url, '/') AS parts FROM pages),
+    g AS (SELECT host, count(*) AS n, min(parts) AS a, max(parts) AS b, min(len(parts)) AS m, min(parts[-1]) AS s0, max(parts[-1]) AS s1 FROM p GROUP BY host),
+    c AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, m), lambda i: a[i] = b[i]), false), 0), m) - 1 AS k FROM g)
+    SELECT host, CASE WHEN n <= 1 THEN NULL WHEN k > 0 THEN array_to_string(a[1:k], '/') || '/' || CASE WHEN s0 = s1 THEN s0 ELSE '*' END WHEN s0 = s1 THEN '*/' || s0 END AS pattern FROM c""",
 )
 def _(t: Tables) -> DataFrame:
-    p = t.pages.select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), F.regexp_replace("url", "/[^/]*$", "").alias("dir"), F.element_at(F.split("url", "/"), -1).alias("base"))
-    g = p.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.min("dir").alias("d0"), F.max("dir").alias("d1"), F.min("base").alias("b0"), F.max("base").alias("b1"))
-    one_dir, one_base = F.col("d0") == F.col("d1"), F.col("b0") == F.col("b1")
-    pattern = F.when(F.col("n") > 1, F.when(one_dir & one_base, F.concat_ws("/", "d0", "b0")).when(one_dir, F.concat("d0", F.lit("/*"))).when(one_base, F.concat(F.lit("*/"), "b0")))
-    return g.select("host", pattern.alias("pattern"))
+    found = clustering.path_patterns(t.pages.select(F.split_part("url", F.lit("/"), F.lit(3)).alias("label"), F.col("url").alias("path")))
+    return found.withColumnRenamed("label", "host")
 
 
 @query("icon_label", f"SELECT c_custkey, CASE {' '.join(f"WHEN regexp_matches(lower(c_mktsegment), '{p}') THEN '{i}'" for p, i in T.ICONS)} ELSE '{T.DEFAULT_ICON}' END AS icon FROM customer")
@@ -815,12 +808,7 @@ def _(t: Tables) -> DataFrame:
     SELECT conv_id, turn, s.at AS from_column, r.at AS to_column, slot * 60 AS y FROM m JOIN a s ON sender = s.role JOIN a r ON receiver = r.role""",
 )
 def _(t: Tables) -> DataFrame:
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    m = t.conversations.select("conv_id", "turn", F.col("role").alias("sender"), F.lead("role").over(order).alias("receiver"), (F.row_number().over(order) - 1).cast("long").alias("slot"))
-    roles = F.array_sort(F.collect_set(F.when(F.col("role") != "system", F.col("role"))))
-    actors = t.conversations.agg(roles.alias("all")).select(F.posexplode("all").alias("at", "role")).select(F.col("at").cast("long"), "role")  # a few roles
-    sender, receiver = (F.broadcast(actors.select(F.col("role").alias(n), F.col("at").alias(c))) for n, c in (("sender", "from_column"), ("receiver", "to_column")))
-    return m.join(sender, "sender").join(receiver, "receiver").select("conv_id", "turn", "from_column", "to_column", (F.col("slot") * 60).alias("y"))
+    return messages.exchanges(t.conversations)
 
 
 @query(
@@ -840,6 +828,50 @@ def _(t: Tables) -> DataFrame:
     return diagrams.latest_status(t.events.select(F.col("user_id").alias("node"), F.col("event_type").alias("status"), "ts", F.col("event_id").alias("seq")))
 
 
+EDGE_KINDS = "typed AS (SELECT src, dst, CASE WHEN (src + dst) % 3 = 0 THEN 'imports' WHEN (src + dst) % 3 = 1 THEN 'calls' ELSE 'contains' END AS kind FROM edges)"
+
+
+@query(
+    "impact_subgraph",
+    f"""WITH RECURSIVE {CYCLIC}, {EDGE_KINDS}, followed AS (SELECT * FROM typed WHERE kind IN ('calls', 'imports')),
+    r AS (SELECT node, 0 AS depth FROM (SELECT unnest([0, 1, 7])::BIGINT AS node) UNION SELECT e.dst, r.depth + 1 FROM r JOIN followed e ON r.node = e.src WHERE r.depth < 5),
+    n AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
+    SELECT src, dst, kind, a.depth AS src_depth, b.depth AS dst_depth FROM followed JOIN n a ON src = a.node JOIN n b ON dst = b.node""",
+)
+def _(t: Tables) -> DataFrame:
+    kind = F.when((F.col("src") + F.col("dst")) % 3 == 0, "imports").when((F.col("src") + F.col("dst")) % 3 == 1, "calls").otherwise("contains")
+    roots = t.spark.range(8).filter("id in (0, 1, 7)").select(F.col("id").alias("node"))
+    nodes, inner = graph.expand(t.cyclic.withColumn("kind", kind), roots, "dependency_impact")
+    return inner.join(nodes.withColumnsRenamed({"node": "src", "depth": "src_depth"}), "src").join(nodes.withColumnsRenamed({"node": "dst", "depth": "dst_depth"}), "dst").select("src", "dst", "kind", "src_depth", "dst_depth")
+
+
+@query(
+    "rewired_edges",
+    """WITH n AS (SELECT p_partkey AS n, p_type AS id FROM part), dup AS (SELECT n, id, id || repeat('_dup', (row_number() OVER (PARTITION BY id ORDER BY n) - 1)::INT) AS new_id FROM n),
+    last AS (SELECT id, arg_max(new_id, n) AS new_id FROM dup GROUP BY id), e AS (SELECT p_partkey AS e, p_type AS src, p_brand AS dst FROM part)
+    SELECT e, coalesce(a.new_id, src) AS src, coalesce(b.new_id, dst) AS dst FROM e LEFT JOIN last a ON src = a.id LEFT JOIN last b ON dst = b.id""",
+)
+def _(t: Tables) -> DataFrame:
+    none = t.region.filter("false").select(F.col("r_name").alias("id"))
+    renamed = diagrams.unique_nodes(t.part.select(F.col("p_partkey").alias("n"), F.col("p_type").alias("id")), none)
+    return diagrams.rewired(t.part.select(F.col("p_partkey").alias("e"), F.col("p_type").alias("src"), F.col("p_brand").alias("dst")), renamed)
+
+
+@query(
+    "provider_turns",
+    """WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 4 IN (2, 3) THEN 'tool' ELSE role END AS role, coalesce(text, '') AS text FROM conversations),
+    s AS (SELECT *, CASE WHEN role = 'tool' AND lag(role) OVER w IS NOT DISTINCT FROM 'tool' THEN 0 ELSE 1 END AS starts FROM r WHERE role IN ('system', 'user', 'assistant', 'tool') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    i AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM s)
+    SELECT conv_id, min(turn) AS first_turn, CASE WHEN min(role) = 'tool' THEN 'user' ELSE min(role) END AS role, count(*)::INT AS n, md5(string_agg(text, chr(10) ORDER BY turn)) AS body FROM i
+    GROUP BY conv_id, island HAVING NOT (min(role) = 'assistant' AND max(text) = '')""",
+)
+def _(t: Tables) -> DataFrame:
+    none = F.lit(None).cast("array<struct<id:string,name:string,arguments:string>>")
+    role = F.when((F.col("turn") % 4).isin(2, 3), "tool").otherwise(F.col("role"))
+    found = messages.provider_turns(t.conversations.select("conv_id", "turn", role.alias("role"), F.col("text").alias("content"), none.alias("tool_calls"), F.col("turn").cast("string").alias("tool_call_id")))
+    return found.select("conv_id", "first_turn", "role", F.size("blocks").alias("n"), F.md5(F.array_join("blocks.body", "\n")).alias("body"))
+
+
 @query("spectral_clusters")
 def _(t: Tables) -> DataFrame:
     return clustering.spectral_clusters(_vectors(t), ["label"])
