@@ -40,7 +40,7 @@ class Engine:
         return extract_symbols(self.files.filter(supported)).cache()
 
     def refresh(self) -> None:
-        for name in ("files", "lines", "symbols"):
+        for name in ("files", "lines", "symbols", "_vectors", "_identifiers"):
             if name in self.__dict__:
                 self.__dict__.pop(name).unpersist()
 
@@ -107,11 +107,43 @@ class Engine:
         docs = held.select(F.col("relative_path").alias("id"), text.alias("text"), F.coalesce("symbols", F.lit("")).alias("symbols"), "v")
         return search.hybrid_search(docs, query, search.query_vector(self.provider([query])[0]), **config.search_options(k, **options))
 
-    def semantic_identifier_search(self, query: str, k: int = 5, kinds: list[str] | None = None) -> DataFrame:
-        text = F.concat_ws(" ", "name", "signature", "file")
-        rows = self.symbols.select(F.concat_ws(":", F.lit("id"), "file", "name", "line").alias("id"), "kind", "name", text.alias("text"))
-        vectors = providers.embed_rows(rows.select(F.col("id").alias("key"), "text"), provider=self.provider)
-        return search.identifier_search(rows.join(vectors, F.col("id") == F.col("key")), query, search.query_vector(self.provider([query])[0]), kinds, k)
+    @cached_property
+    def _identifiers(self) -> DataFrame:
+        """Each symbol with what is matched and what is embedded of it."""
+        headers = self.files.select(F.col("relative_path").alias("file"), T.code_header(F.col("content")).alias("header"))
+        rows = self.symbols.join(headers, "file", "left").select("*", F.concat_ws(":", "file", "name", F.col("line").cast("string")).alias("id"))
+        embedded = F.concat_ws(" ", "name", "kind", "signature", "file", F.coalesce("header", F.lit("")), F.coalesce("parent_name", F.lit("")))
+        vectors = providers.embed_rows(rows.select(F.col("id").alias("key"), embedded.alias("text")), provider=self.provider)
+        held = rows.withColumn("text", F.concat_ws(" ", "name", "signature", "file", F.coalesce("header", F.lit(""))))
+        return held.join(vectors, F.col("id") == F.col("key")).drop("key").cache()
+
+    def semantic_identifier_search(self, query: str, k: int = 5, kinds: list[str] | None = None, semantic_weight: float | None = None, keyword_weight: float | None = None) -> DataFrame:
+        """Symbols ranked by meaning and keywords, with their place."""
+        weights = config.weight(semantic_weight, 0.78), config.weight(keyword_weight, 0.22)
+        found = search.identifier_search(self._identifiers, query, search.query_vector(self.provider([query])[0]), kinds, config.top_k(k, 5), *weights)
+        places = self._identifiers.select("id", "kind", "file", "line", "end_line", "signature", "parent_name")
+        return found.join(places, "id").orderBy("rank")
+
+    def identifier_calls(self, query: str, k: int = 5, kinds: list[str] | None = None, calls: int = 10) -> DataFrame:
+        """Where the symbols that a search finds are used, ranked; see search.identifier_calls."""
+        top = self.semantic_identifier_search(query, k, kinds)
+        return search.identifier_calls(self.lines, top, query, search.query_vector(self.provider([query])[0]), config.top_k(calls, 10), self.provider).orderBy("id", "rank")
+
+    def identifier_search_text(self, query: str, k: int = 5, kinds: list[str] | None = None, calls: int = 10) -> str:
+        found = self.semantic_identifier_search(query, k, kinds).collect()
+        if not found:
+            return "No identifiers matched."
+        used: dict[str, list] = {}
+        for site in self.identifier_calls(query, k, kinds, calls).collect():
+            used.setdefault(site.id, []).append(site)
+        out = [f'Top {len(found)} identifier matches for: "{query}"', ""]
+        for i, s in enumerate(found, 1):
+            out += [f"{i}. {s.kind} {s.name} - {s.file} ({chains.span(s)})", f"   Score: {s.score:g}% | Semantic: {s.semantic_score:g}% | Keyword: {s.keyword_score:g}%", f"   Signature: {s.signature}"]
+            out += [f"   Parent: {s.parent_name}"] if s.parent_name else []
+            sites = used.get(s.id, [])
+            out.append(f"   Calls ({len(sites)}/{sites[0].total}):" if sites else "   Calls: none found")
+            out += [f"     {c.rank}. {c.file}:L{c.line} ({c.score:g}%) {c.context}" for c in sites] + [""]
+        return "\n".join(out)
 
     def call_edges(self) -> DataFrame:
         """Calls of each symbol in order, with the best definition of their name; see chains.call_edges."""
@@ -154,12 +186,54 @@ class Engine:
             level = labels.join(large.select("id", "v"), "id").select(F.concat_ws("/", "part", F.col("cluster").cast("string")).alias("part"), "id", "v")
         return done.unionByName(level.select("part", "id")).select(F.col("part").alias("cluster_path"), F.col("id").alias("file"))
 
+    def navigate_text(self, ask: Callable[[str], str], max_depth: int = 3, leaf: int = 20, most: int = 20) -> str:
+        """The tree of semantic_navigate with siblings named by a model; its rows come to the driver."""
+        headers = self.files.select(F.col("relative_path").alias("file"), T.navigator_header(F.col("content")).alias("header"))
+        rows = [(r.cluster_path.split("/")[1:], r.file, r.header or "") for r in self.semantic_navigate(max_depth, leaf, most).join(headers, "file").orderBy("cluster_path", "file").collect()]
+
+        def render(held: list, depth: int) -> list[str]:
+            parts: dict[str, list] = {}
+            for row in held:
+                parts.setdefault(row[0][depth] if len(row[0]) > depth else "", []).append(row)
+            if set(parts) <= {""}:
+                return ["  " * depth + f"  {file}" + (f" - {header}" if header else "") for _, file, header in held]
+            siblings = [([(file, header) for _, file, header in part], clustering.path_pattern([file for _, file, _ in part])) for part in parts.values()]
+            labels = clustering.label_siblings(siblings, ask)
+            return [line for label, part in zip(labels, parts.values(), strict=True) for line in ["  " * (depth + 1) + f"[{label}]", *render(part, depth + 1)]]
+
+        return "\n".join(render(rows, 0))
+
     def feature_hubs(self) -> DataFrame:
         return hubs.hubs_of(self.files)
 
     def orphans(self) -> DataFrame:
         return hubs.orphans(self.files, self.feature_hubs())
 
+    def feature_hub_text(self, path: str | None = None, name: str | None = None, orphans: bool = False) -> str:
+        """A hub by path or name with the skeletons of the files that it links, the list of hubs, or the orphans."""
+        all_hubs = self.feature_hubs()
+        if orphans:
+            found = [r.relative_path for r in self.orphans().collect()]
+            if not found:
+                return "No orphaned files. All source files are linked to a hub."
+            return "\n".join([f"Orphaned Files ({len(found)}):", *(f"  {x}" for x in found)])
+        if path is None and name is None:
+            counts = hubs.hub_links(all_hubs).groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+            listed = all_hubs.select("hub", "title").join(counts, "hub", "left").orderBy("hub").collect()
+            return "\n".join([f"Feature Hubs ({len(listed)}):", "", *(f"  {h.hub} | {h.title} | {h.n or 0} links" for h in listed)]) if listed else "No hub files found."
+        hub = (hubs.find_hub(all_hubs, name) if path is None else all_hubs.filter(F.col("hub") == path)).first()
+        if hub is None:
+            return f"Hub file not found: {path}" if path else "\n".join([f'No hub found for feature "{name}". Available hubs:', *(f"  - {h.hub}" for h in all_hubs.select("hub").collect())])
+        one = all_hubs.filter(F.col("hub") == hub.hub)
+        links = hubs.resolved(hubs.hub_links(one), self.files).orderBy("ordinal").collect()
+        crossed = [r.hub_name for r in hubs.cross_links(one).collect()]
+        out = [f"Hub: {hub.title}", f"Path: {hub.hub}", f"Links: {len(links)}", *([f"Cross-links: {', '.join(crossed)}"] if crossed else []), "", "---", ""]
+        for link in links:
+            if link.found:
+                out += [f"## {link.target}" + (f" - {link.description}" if link.description else ""), self.file_skeleton_text(link.target), ""]
+        missing = [link.target for link in links if not link.found]
+        return "\n".join(out + (["---", f"Missing Links ({len(missing)}):", *(f"  {x}" for x in missing)] if missing else []))
+
     def static_analysis(self, target: str) -> tuple[int, str]:
         """Runs the checker of a file's language with arguments in a list, never through a shell."""
         command = CHECKERS.get(os.path.splitext(target)[1])

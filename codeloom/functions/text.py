@@ -112,8 +112,14 @@ def line_range(first: Column, last: Column) -> Column:
 
 def is_definition(line: Column, name: str) -> Column:
     """Whether a line defines a name; a longer name that starts with it counts too."""
-    word = re.escape(name)
-    return line.rlike(rf"(?:function|class|enum|interface|struct|type|trait|fn|def|func)\s+{word}") | line.rlike(rf"(?:const|let|var|pub|export)\s+(?:async\s+)?(?:function\s+)?{word}")
+    return defines(line, F.lit(re.escape(name)))
+
+
+def defines(line: Column, word: Column) -> Column:
+    """The same for a name that is a column, as a pattern."""
+    keywords = (r"(?:function|class|enum|interface|struct|type|trait|fn|def|func)\s+", r"(?:const|let|var|pub|export)\s+(?:async\s+)?(?:function\s+)?")
+    first, second = (F.rlike(line, F.concat(F.lit(k), word)) for k in keywords)
+    return first | second
 
 
 def calls_of(line: Column) -> Column:

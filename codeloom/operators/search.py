@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
+from codeloom.operators import providers
 
 
 def query_vector(values: list[float]) -> Column:
@@ -50,25 +53,28 @@ def hybrid_search(
     return best.select("id", T.percent(F.col("both")).alias("score"), T.percent(F.greatest("sem", F.lit(0.0))).alias("semantic_score"), T.percent(F.col("key")).alias("keyword_score"))
 
 
-def identifier_search(symbols: DataFrame, query: str, vector: Column, kinds: list[str] | None = None, k: int = 20) -> DataFrame:
-    """Identifiers (id, kind, name, text, v) ranked by 0.78 of cosine and 0.22 of terms covered, before
-    rounding; the least id among equals."""
+def identifier_search(symbols: DataFrame, query: str, vector: Column, kinds: list[str] | None = None, k: int = 20, semantic_weight: float = 0.78, keyword_weight: float = 0.22) -> DataFrame:
+    """Identifiers (id, kind, name, text, v) ranked by cosine and terms covered, before rounding; the
+    least id among equals: (id, name, rank, score, semantic_score, keyword_score)."""
     wanted = [x.strip().lower() for x in kinds or [] if x.strip()]
     rows = symbols.filter(F.lower("kind").isin(*wanted)) if wanted else symbols
     key = T.coverage(T.identifier_terms(F.lit(query)), T.identifier_terms(F.col("text")))
-    scored = rows.select("id", "name", V.cosine(V.doubles(F.col("v")), vector).alias("sem"), key.alias("key"))
-    both = scored.select("id", "name", T.combined_score(F.col("sem"), F.col("key"), 0.78, 0.22).alias("both"))
-    return both.orderBy(F.desc(F.round("both", EXACT)), "id").limit(k).select("id", "name", T.percent(F.col("both")).alias("score"))
+    scored = rows.select("id", "name", F.greatest(V.cosine(V.doubles(F.col("v")), vector), F.lit(0.0)).alias("sem"), key.alias("key"))
+    both = scored.withColumn("both", T.combined_score(F.col("sem"), F.col("key"), semantic_weight, keyword_weight))
+    order = [F.desc(F.round("both", EXACT)), "id"]
+    best = both.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
+    return best.select("id", "name", "rank", T.percent(F.col("both")).alias("score"), T.percent(F.col("sem")).alias("semantic_score"), T.percent(F.col("key")).alias("keyword_score"))
 
 
-def rank_call_sites(sites: DataFrame, vector: Column, limit: int = 10) -> DataFrame:
+def rank_call_sites(sites: DataFrame, vector: Column, limit: int = 10, by: tuple[str, ...] = ("name",)) -> DataFrame:
     """The second phase of call_sites: of preselected sites (name, file, line, key, v) the first
-    ``limit`` of each name by 0.82 of cosine and 0.18 of keywords; without a vector cosine is 0."""
+    ``limit`` of each name by 0.82 of cosine and 0.18 of keywords; without a vector cosine is 0.  The first
+    of ``by`` takes the place of name, the rest is carried along."""
     semantic = F.coalesce(F.greatest(V.cosine(V.doubles(F.col("v")), vector), F.lit(0.0)), F.lit(0.0))
     score = F.least(F.lit(1.0), semantic * 0.82 + F.col("key") * 0.18)
-    order = Window.partitionBy("name").orderBy(F.desc(F.round("score", EXACT)), F.desc(F.round("key", EXACT)), "file", "line")
+    order = Window.partitionBy(by[0]).orderBy(F.desc(F.round("score", EXACT)), F.desc(F.round("key", EXACT)), "file", "line")
     ranked = sites.withColumns({"semantic": semantic, "score": score}).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, limit))
-    return ranked.select("name", "rank", "file", "line", T.percent(F.col("score")).alias("score"), T.percent(F.col("semantic")).alias("semantic_score"), T.percent(F.col("key")).alias("keyword_score"))
+    return ranked.select(*by, "rank", "file", "line", T.percent(F.col("score")).alias("score"), T.percent(F.col("semantic")).alias("semantic_score"), T.percent(F.col("key")).alias("keyword_score"))
 
 
 def call_sites(lines: DataFrame, names: DataFrame, limit: int = 10, query: str = "") -> DataFrame:
@@ -84,6 +90,38 @@ def call_sites(lines: DataFrame, names: DataFrame, limit: int = 10, query: str =
     return ranked.join(totals, "name").select("name", "rank", "file", "line", T.percent(F.col("key")).alias("keyword_score"), "total")
 
 
+#: An ASCII word's edge, on either side.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def identifier_calls(lines: DataFrame, symbols: DataFrame, query: str, vector: Column, limit: int = 10, provider: Callable = providers.hashed_vectors) -> DataFrame:
+    """Where symbols (id, name, kind, file, line) are used in lines (file, line, text), ranked in two
+    phases: (id, rank, file, line, context, score, semantic_score, keyword_score, total).
+
+    A function or method is used where a parenthesis follows its name, anything else where its name
+    stands as a word; lines that define it are left out.  Lines meet symbols by a word of the name and
+    are then held against its pattern, so one pass serves all symbols; a name without any letter,
+    digit or _ has no word and no site.  The first max(30, 4 * limit) of a symbol by keywords are
+    embedded, ``limit`` of them stay, and ``total`` counts all.
+    """
+    limit = max(1, limit)
+    quoted = F.concat(F.lit("\\Q"), "name", F.lit("\\E"))
+    pattern = F.concat(F.lit(EDGE), quoted, F.when(F.col("kind").isin("function", "method"), r"\s*\(").otherwise(EDGE))
+    wanted = symbols.select("id", "name", pattern.alias("pattern"), quoted.alias("quoted"), F.col("file").alias("own_file"), F.col("line").alias("own_line"), F.regexp_extract("name", "[A-Za-z0-9_]+", 0).alias("word"))
+    worded = lines.select("file", "line", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("word"))
+    own = (F.col("file") == F.col("own_file")) & (F.col("line") == F.col("own_line"))
+    found = worded.join(wanted.filter("word <> ''"), "word").filter(F.rlike("text", F.col("pattern")) & ~own & ~T.defines(F.col("text"), F.col("quoted")))
+    context = F.substring(T.trimmed(F.col("text")), 1, 220)
+    sites = found.select("id", "file", F.col("line").cast("long").alias("line"), context.alias("context"))
+    key = T.coverage(T.identifier_terms(F.lit(query)), T.identifier_terms(F.concat_ws(" ", "file", "context")))
+    order = Window.partitionBy("id").orderBy(F.desc("key"), "file", "line")
+    chosen = sites.withColumn("key", key).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(30, 4 * limit)).drop("rank")
+    places = chosen.select("file", "line", "context").distinct().select(F.struct("file", "line").alias("place"), F.concat_ws(" ", "file", "context").alias("text"))
+    vectors = providers.embed_rows(places.select(F.to_json("place").alias("key"), "text"), provider=provider).withColumnRenamed("key", "place")
+    ranked = rank_call_sites(chosen.withColumn("place", F.to_json(F.struct("file", "line"))).join(vectors, "place"), vector, limit, ("id", "context"))
+    return ranked.join(sites.groupBy("id").agg(F.count(F.lit(1)).alias("total")), "id")
+
+
 def cached_vectors(docs: DataFrame, cache: DataFrame) -> DataFrame:
     """Documents (key, hash) with the cached vector of that key and hash; ``hit`` tells which are there."""
     held = cache.select("key", "hash", "v", F.lit(True).alias("there"))

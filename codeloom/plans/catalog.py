@@ -216,7 +216,7 @@ def _(t: Tables) -> DataFrame:
     rows = t.part.join(t.embeddings, F.col("p_partkey") == F.col("vec_id")).select(
         F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), F.col("embedding").alias("v")
     )
-    return search.identifier_search(rows, "red widget Brand", search.query_vector(t.vector_of(3)), [f" {ends[0].upper()} ", ends[1]])
+    return search.identifier_search(rows, "red widget Brand", search.query_vector(t.vector_of(3)), [f" {ends[0].upper()} ", ends[1]]).select("id", "name", "score")
 
 
 CALLED = r"""list_filter(list_concat(regexp_extract_all(text, '\b([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\(', 1), regexp_extract_all(text, '<([A-Z][a-zA-Z0-9_$]*)', 1)), lambda n: NOT list_contains([SKIP], n))""".replace(
@@ -239,6 +239,23 @@ def _(t: Tables) -> DataFrame:
     return search.call_sites(t.code_lines, names, 10, "db return").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    "identifier_calls",
+    f"""WITH {CODE_LINES}, {DEFINED}, ids AS (SELECT file || ':' || name || ':' || line AS id, name, kind, file AS own_file, line AS own_line FROM defined),
+    sites AS (SELECT id, file, line, substr(trim(text), 1, 220) AS context FROM code_lines JOIN ids
+        ON regexp_matches(text, '\\b' || name || CASE WHEN kind = 'function' THEN '\\s*\\(' ELSE '\\b' END)
+        WHERE NOT (file = own_file AND line = own_line) AND NOT regexp_matches(text, '(?:function|class|enum|interface|struct|type|trait|fn|def|func)\\s+' || name)
+        AND NOT regexp_matches(text, '(?:const|let|var|pub|export)\\s+(?:async\\s+)?(?:function\\s+)?' || name)),
+    keyed AS (SELECT *, {covered(identifier_terms("file || ' ' || context"), ['db', 'return'])} AS key, count(*) OVER (PARTITION BY id) AS total FROM sites)
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY key DESC, file, line) AS rank, file, line, context, {_tenths('0.18::DOUBLE * key')} AS score, 0.0::DOUBLE AS semantic_score, {_tenths('key')} AS keyword_score, total
+    FROM keyed QUALIFY rank <= 5""",
+)
+def _(t: Tables) -> DataFrame:
+    defined = code.definitions(t.code_lines).select(F.concat_ws(":", "file", "name", F.col("line").cast("string")).alias("id"), "name", "kind", "file", "line")
+    found = search.identifier_calls(t.code_lines, defined, "db return", search.query_vector([1.0]), 5, lambda texts: [[0.0]] * len(texts))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(
     "blast_radius",
     r"""SELECT file, count(*) AS usages, min(line) AS first_line, max(line) AS last_line

@@ -253,3 +253,78 @@ def test_views(spark, tree):
     for name in names:
         spark.sql(f"SELECT count(*) FROM {name}").collect()
     assert spark.sql("SELECT count(*) AS n FROM tree_lines WHERE text LIKE '%helper%'").first().n >= 3
+
+
+def test_identifier_search_with_call_sites(spark, tree):
+    engine = Engine(spark, str(tree))
+    found = engine.semantic_identifier_search("helper", 2).collect()
+    assert found[0].name == "helper" and found[0].file == "src/util.ts" and found[0].line == 3 and [r.rank for r in found] == [1, 2]
+    sites = [(r.file, r.line, r.context, r.total) for r in engine.identifier_calls("helper", 1).collect()]
+    assert sites == [("src/main.ts", 5, "helper(1);", 1)]
+    text = engine.identifier_search_text("helper", 1)
+    assert "1. function helper - src/util.ts (L3-L5)" in text and "Calls (1/1):" in text and "src/main.ts:L5" in text
+    assert engine.identifier_search_text("helper", 1, ["none"]) == "No identifiers matched."
+    assert "Calls: none found" in engine.identifier_search_text("bark", 1)
+
+
+def test_call_sites_by_kind_and_place(spark):
+    texts = ["run (1)", "x.run", "function run() {", "const runner = 1", "rerun(2) + run2(3)", "Box<T>", "new Box()", "class Box {", "$go(1)", "a$go(1)"]
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts, 1)], "file string, line long, text string")
+    symbols = spark.createDataFrame([("r", "run", "function", "f", 3), ("b", "Box", "class", "f", 8), ("here", "run", "method", "f", 1), ("g", "$go", "function", "f", 99), ("s", "$", "function", "f", 99)], "id string, name string, kind string, file string, line long")
+    found = search.identifier_calls(lines, symbols, "run", search.query_vector([1.0]), 5, lambda texts: [[1.0]] * len(texts)).collect()
+    assert {(r.id, r.line) for r in found} == {("r", 1), ("b", 6), ("b", 7), ("g", 10)}
+    assert {r.score for r in found if r.id == "r"} == {100.0} and {r.score for r in found if r.id == "b"} == {82.0}
+    many = spark.createDataFrame([("f", i, "run(1)") for i in range(200)], "file string, line long, text string")
+    one = search.identifier_calls(many, symbols.filter("id = 'r'"), "run", search.query_vector([1.0]), 3, lambda texts: [[1.0]] * len(texts)).collect()
+    assert sorted((r.rank, r.line) for r in one) == [(1, 0), (2, 1), (3, 2)] and {r.total for r in one} == {199}
+
+
+def test_hub_text(spark, tree):
+    engine = Engine(spark, str(tree))
+    assert "docs/auth.md | Authentication | 2 links" in engine.feature_hub_text()
+    shown = engine.feature_hub_text(name="auth")
+    assert "Hub: Authentication" in shown and "## src/util.ts - Helps" in shown and "[function] L3-L5" in shown
+    assert shown.endswith("Missing Links (1):\n  src/missing.ts") and "Cross-links: payments" in shown
+    assert engine.feature_hub_text("docs/auth.md") == shown
+    assert engine.feature_hub_text("none.md") == "Hub file not found: none.md"
+    assert "docs/auth.md" in engine.feature_hub_text(name="nothing")
+    assert "src/dog.py" in engine.feature_hub_text(orphans=True)
+
+
+def test_navigation_with_labels(spark, tree):
+    text = Engine(spark, str(tree)).navigate_text(lambda prompt: "none", leaf=1)
+    assert all(text.count(f"{f}") == 1 for f in ("src/util.ts", "src/main.ts", "src/dog.py", "docs/auth.md")) and "[" in text
+
+
+def test_tracker_writes_changes_and_whole_tables(spark, tree, tmp_path_factory):
+    out, check = tmp_path_factory.mktemp("vectors"), tmp_path_factory.mktemp("check")
+    (tree / "build").mkdir()
+    (tree / "build/x.ts").write_text("built")
+
+    def run():
+        tracker.track(spark, str(tree), str(out), str(check), trigger={"availableNow": True}, whole_every=2).awaitTermination(60)
+        last = max(int(p.name[2:]) for p in out.iterdir() if p.name.startswith("v="))
+        return last, {r.key for r in tracker.read_vectors(spark, str(out), last, 2).collect()}
+
+    seen = [run()]
+    for step in range(5):
+        (tree / f"src/new{step}.ts").write_text(f"new {step}")
+        if step == 2:
+            (tree / "src/new0.ts").unlink()
+        seen.append(run())
+    assert len({n for n, _ in seen}) == 6
+    assert not any("build/" in k for _, keys in seen for k in keys)
+    assert "src/new0.ts" in seen[1][1] and "src/new0.ts" not in seen[-1][1] and {f"src/new{i}.ts" for i in (1, 2, 3, 4)} <= seen[-1][1]
+    last = seen[-1][0]
+    kept = {int(p.name[2:]) for p in out.iterdir() if p.name.startswith("v=")}
+    whole = last - last % 2
+    assert min(kept) >= whole - 2 and {whole, last} <= kept
+    odd = last if last % 2 else last - 1
+    assert spark.read.parquet(f"{out}/v={odd}").count() <= 2
+
+
+def test_identifier_vectors_are_replaced_by_file(spark):
+    cache = spark.createDataFrame([("a:x", "a", "h", [1.0]), ("a:gone", "a", "h", [1.0]), ("b:y", "b", "h", [2.0])], "key string, file string, hash string, v array<float>")
+    symbols = spark.createDataFrame([("a:x", "a", "x new"), ("b:y", "b", "y")], "key string, file string, text string")
+    got = {r.key: r.v for r in tracker.refresh_identifiers(cache, symbols, spark.createDataFrame([("a",)], "file string"), lambda texts: [[9.0]] * len(texts)).collect()}
+    assert got == {"a:x": [9.0], "b:y": [2.0]}
