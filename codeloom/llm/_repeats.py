@@ -23,7 +23,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from codeloom.llm._common import RepeatFilter, materialize, named, quoted, row_key
 
 #: Word hashes that a Python worker remembers.
-MEMO = 150_000
+MEMO = 40_000
+#: Bytes of segments, by estimate, that a Python worker gathers before it sends them on.
+GATHERED = 8_000_000
+#: Rows of a batch that are Python objects at a time.
+ROWS = 1000
 #: Bytes of text in one batch of results.
 PART = 4_000_000
 #: Row keys of copies are broadcast up to this number (16 MB), and joined by a shuffle beyond.
@@ -65,6 +69,16 @@ def segments(words: list[bytes], window: int, k: int, memo: dict) -> tuple[np.nd
     return grams[at[starts]], starts.astype(np.int32), counts.astype(np.int32), (at[starts] - starts).astype(np.int32)
 
 
+def _tidy(run: Callable) -> Callable:
+    """run, with Arrow's unused memory given back at its end: workers are kept for other tasks."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return inner
+
+
 def _find(window: int, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()
@@ -80,7 +94,7 @@ def _find(window: int, k: int) -> Callable:
                 rk = np.repeat(np.array([r for r, _ in keys], np.int64), [n for _, n in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), rk, start, count, anchor)], ["gram", "rk", "start", "windows", "anchor"])
 
-    return run
+    return _tidy(run)
 
 
 def _cut(window: int, id_type: pa.DataType) -> Callable:
@@ -93,8 +107,8 @@ def _cut(window: int, id_type: pa.DataType) -> Callable:
 
         def full() -> Iterator[pa.RecordBatch]:
             rows = [(*key, value[1], *value[2:]) for key, value in first.items()]
-            for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000], strict=True), types, strict=True)], names)
+            for at in range(0, len(rows), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + ROWS], strict=True), types, strict=True)], names)
 
         for batch in batches:
             for rk, doc_id, text, found in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -117,12 +131,12 @@ def _cut(window: int, id_type: pa.DataType) -> Callable:
                             size += len(part) + 300
                         if held is None or (value[0], rk, at) < (held[0], held[2], held[3]):
                             first[route, part] = value
-                if size > 20_000_000:
+                if size > GATHERED:
                     yield from full()
                     first, size = {}, 0
         yield from full()
 
-    return run
+    return _tidy(run)
 
 
 def _judge(window: int, match: Matcher) -> Callable:
@@ -141,9 +155,9 @@ def _judge(window: int, match: Matcher) -> Callable:
         def table(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["rk", "start", "flags"])
 
-        for batch in batches:
+        for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out: list[tuple] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for row in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
                 if group and group[0][0] != row[0]:
                     out += verdicts(group)
                     group = []
@@ -152,7 +166,7 @@ def _judge(window: int, match: Matcher) -> Callable:
         if group:
             yield table(verdicts(group))
 
-    return run
+    return _tidy(run)
 
 
 def _removed(n: int, window: int, found: list[dict], judged: list[dict], copy: bool) -> np.ndarray:
@@ -198,7 +212,7 @@ def _apply(window: int) -> Callable:
             if rows:
                 yield part(rows, first)
 
-    return run
+    return _tidy(run)
 
 
 def remove_repeats(docs: DataFrame, window: int, k: int, match: Matcher, id_col: str = "doc_id", text_col: str = "text", hot: int = 2048, shard_words: int | None = None, max_bits: int = 1 << 29) -> DataFrame:
