@@ -52,11 +52,11 @@ def released() -> Iterator[None]:
             discard(table)
 
 
-def materialize(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, outlives: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, so a lost executor
-    costs a re-read and not a recomputation."""
+    costs a re-read and not a recomputation.  With ``by`` it has a folder for each value of those."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
     if _OPEN and not outlives:

@@ -90,6 +90,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.source_divergence import source_divergence
+
+    return source_divergence(documents(spark, sf_dir))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.lexical_search import lexical_search
+
+    return lexical_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 #: Target weights of the mixing query and stage: a source that is not named weighs 1.
 SOURCE_WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
 
@@ -104,6 +116,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_language_id": op10_language_id,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _REPEATS_SQL = """
@@ -118,6 +132,11 @@ _REPEATS_SQL = """
         SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256, coalesce(s.spans, '') AS spans
         FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN spans s ON s.doc_id = d.doc_id"""
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LETTERS = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_LETTERS_AND_DIGITS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_SHARE = "(1 + ((1000000000::HUGEINT * ({n} + 1)) // ({size}))::BIGINT)"
+
 ORACLE_SQL = {
     "op1_suffix_array_dedup": _REPEATS_SQL.format(window=50),
     "op2_substring_dedup": _REPEATS_SQL.format(window=20),
@@ -145,4 +164,33 @@ ORACLE_SQL = {
         WITH normal AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM normal WINDOW g AS (PARTITION BY text_sha256)""",
+    "op11_source_divergence": f"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r, regexp_extract_all({_LOWERED}, '{_LETTERS}') AS terms FROM documents),
+        words AS (SELECT lang, source, r, unnest(terms) AS term FROM d),
+        kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        sizes AS (SELECT lang, source, coalesce(sum(n), 0) AS size FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+        shares AS (SELECT lang, source, term, coalesce(n, 0) AS n, {_SHARE.format(n="coalesce(n, 0)", size="size + v")} AS p
+            FROM sizes JOIN vocabulary USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+        of_lang AS (SELECT lang, term, {_SHARE.format(n="sum(n)", size="any_value(size) + any_value(v)")} AS q
+            FROM counts JOIN (SELECT lang, sum(size) AS size FROM sizes GROUP BY lang) USING (lang) JOIN vocabulary USING (lang) GROUP BY lang, term),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares JOIN of_lang USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+        FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200""",
+    "op13_lexical_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '{_LETTERS_AND_DIGITS}') AS terms FROM documents),
+        totals AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS docs, sum(len(terms))::BIGINT AS total FROM d),
+        items AS (SELECT item_id, unnest(regexp_extract_all({_LOWERED}, '{_LETTERS_AND_DIGITS}')) AS term FROM benchmark),
+        wanted AS (SELECT item_id, term, count(*) AS times FROM items GROUP BY ALL),
+        posts AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+        weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM posts GROUP BY term), totals),
+        scored AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+            FROM wanted JOIN weights USING (term) JOIN posts USING (term), totals GROUP BY ALL)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r))::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10""",
 }
