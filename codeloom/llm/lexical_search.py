@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm._common import materialize, quoted
-from codeloom.llm._terms import LETTERS_AND_DIGITS, count_terms
+from codeloom.llm._terms import NO_LETTERS_OR_DIGITS, count_terms
 
 #: Rows of item terms that are broadcast at once; items with more are searched in several blocks.
 BROADCAST_TERMS = 500_000
@@ -25,7 +25,7 @@ def _bucket(buckets: int) -> Column:
 def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, term, times) of the items; rows that share an id are one item."""
     held = items.select(F.col(quoted(id_col)).alias("item_id"), F.col(quoted(text_col)).alias("text"))
-    counted = count_terms(held, "text", LETTERS_AND_DIGITS).select("item_id", F.inline_outer("terms")).filter("term is not null")
+    counted = count_terms(held, "text", NO_LETTERS_OR_DIGITS).select("item_id", F.inline_outer("terms")).filter("term is not null")
     return counted.groupBy("item_id", "term").agg(F.sum("tf").alias("times"))
 
 
@@ -39,7 +39,7 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, broadcast: bool =
     the tasks of its documents, so no bucket is one task's work.
     """
     held = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
-    counted = count_terms(held, "text", LETTERS_AND_DIGITS)
+    counted = count_terms(held, "text", NO_LETTERS_OR_DIGITS)
     own = F.expr("array(named_struct('term', cast(null as string), 'tf', n))")
     rows = counted.select("rid", "doc_id", "n", F.inline_outer(F.concat(own, "terms")))
     if terms is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm._common import materialize, quoted
-from codeloom.llm._terms import LETTERS, count_terms
+from codeloom.llm._terms import NO_LETTERS, count_terms
 
 
 def share(count: str, size: str) -> str:
@@ -30,7 +30,7 @@ def term_vectors(docs: DataFrame, groups: DataFrame, least_docs: int) -> DataFra
     Rows are combined by (lang, source, term) in each task before they are shuffled, so neither a hot
     source nor a frequent term is more than a row of a task.
     """
-    counted = count_terms(docs, "text", LETTERS).select("lang", "source", F.inline_outer("terms")).filter("term is not null")
+    counted = count_terms(docs, "text", NO_LETTERS).select("lang", "source", F.inline_outer("terms")).filter("term is not null")
     sums = counted.groupBy("lang", "source", "term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs"))
     placed = sums.join(groups, ["lang", "source"])
     wide = placed.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("at", "n"))).alias("vector"))
