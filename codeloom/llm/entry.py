@@ -96,6 +96,16 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.toxicity import find_toxic, fit
+
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    found = find_toxic(docs, fit(docs.filter(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    spans = F.array_join(F.transform("passages", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"), spans.alias("passages"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm.lexical_search import lexical_search
 
@@ -117,6 +127,7 @@ QUERIES = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_language_id": op10_language_id,
     "op11_source_divergence": op11_source_divergence,
+    "op12_toxicity": op12_toxicity,
     "op13_lexical_search": op13_lexical_search,
 }
 
