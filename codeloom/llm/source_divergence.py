@@ -45,7 +45,7 @@ def _pair_values(vectors: DataFrame, levels: DataFrame, langs: DataFrame) -> Dat
     then, for terms that both sources have, what those two differences miss.  Integers, so exact; the
     work goes with the pairs of sources that share a term, not with all pairs for each term.
     """
-    none = langs.filter("terms > 0").select("lang", "terms", F.expr(f"transform(sizes, size -> {share('0', 'size')})").alias("none"))
+    none = langs.select("lang", "terms", F.expr(f"transform(sizes, size -> {share('0', 'size')})").alias("none"))
     every = none.select("lang", "terms", "none", F.posexplode("none").alias("s", "p0"))
     every = every.select("lang", "terms", "s", "p0", F.posexplode("none").alias("t", "q0")).filter("s <> t")
     start = every.select("lang", "s", "t", F.expr(f"terms * {departure('p0', 'q0')}").alias("value"))
@@ -98,7 +98,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, most_terms: int = 20
     kept = vectors.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     known = groups.join(sizes, ["lang", "at"], "left").join(kept, "lang", "left").na.fill(0, ["size", "terms"])
     listed = known.groupBy("lang", "terms").agg(F.sort_array(F.collect_list(F.struct("at", "source", "size"))).alias("of"), F.sum("size").alias("size"))
-    langs = materialize(listed.select("lang", "terms", (F.col("size") + F.col("terms")).alias("size"), F.col("of.source").alias("sources"), F.expr("transform(of, g -> g.size + terms)").alias("sizes")), "divergence-langs")
+    langs = materialize(listed.select("lang", "terms", (F.col("size") + F.col("terms")).alias("size"), F.col("of.source").alias("sources"), F.expr("transform(of, g -> greatest(g.size + terms, 1))").alias("sizes")), "divergence-langs")
 
     values = _pair_values(vectors, levels, langs)
     pairs = groups.join(groups.select("lang", F.col("source").alias("item"), F.col("at").alias("to")), "lang").filter("at <> to")
