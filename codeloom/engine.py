@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import chains, clustering, code, hubs, providers, search
+from codeloom.operators import chains, clustering, code, hubs, providers, search, tree
 from codeloom.operators.restore import RestorePoints
 from codeloom.operators.symbols import extract_symbols
 from codeloom.sources import config, repo
@@ -20,6 +20,12 @@ from codeloom.sources import config, repo
 CHECKERS = {".py": ["python", "-m", "py_compile"], ".ts": ["npx", "tsc", "--noEmit"], ".rs": ["cargo", "check"], ".go": ["go", "vet", "./..."]}
 
 
+#: What a skeleton says of files without symbols.
+UNSUPPORTED, NO_SYMBOLS = "[Unsupported language, showing first 20 lines]", "[No symbols detected, showing first 30 lines]"
+#: What a file search says.
+NOTHING_FOUND, RESULTS = "No matching files found for the given query.", 'Top {n} hybrid matches for: "{query}"'
+
+
 class Engine:
     """Tables of a tree are read once and cached until ``refresh``."""
 
@@ -40,72 +46,71 @@ class Engine:
         return extract_symbols(self.files.filter(supported)).cache()
 
     def refresh(self) -> None:
-        for name in ("files", "lines", "symbols", "_vectors", "_identifiers"):
+        for name in ("files", "lines", "symbols", "_documents", "_vectors", "_identifiers"):
             if name in self.__dict__:
                 self.__dict__.pop(name).unpersist()
 
-    def context_tree(self, target: str = "", depth_limit: int = 0) -> DataFrame:
-        """(relative_path, depth, is_directory, header) in order."""
-        entries = repo.entries(self.spark, self.root, target, depth_limit)
-        headers = self.files.select("relative_path", T.code_header(F.col("content")).alias("header"))
-        return entries.drop("path").join(headers, "relative_path", "left").orderBy("relative_path")
-
-    def context_tree_text(self, target: str = "", depth_limit: int = 0, max_tokens: int = 20000) -> str:
-        """The richest of three levels (symbols, headers, names) within the budget; names at any rate."""
-        rows = self.context_tree(target, depth_limit).collect()
-        found: dict[str, list] = {}
-        for s in self.symbols.orderBy("file", "ordinal").collect():
-            found.setdefault(s.file, []).append(s)
-
-        def render(level: int) -> str:
-            out = []
-            for r in rows:
-                pad = "  " * r.depth
-                name = r.relative_path.rpartition("/")[2] + ("/" if r.is_directory else "")
-                out.append(pad + name + (f" | {r.header}" if level and r.header else ""))
-                for s in found.get(r.relative_path, []) if level == 2 else []:
-                    span = f"L{s.line}" + (f"-L{s.end_line}" if s.end_line > s.line else "")
-                    shown = s.signature if s.kind in ("function", "method") else s.name
-                    out.append(pad + "  " * (2 if s.parent_name else 1) + f"{s.kind}: {shown} ({span})")
-            return "\n".join(out)
-
-        for level in (2, 1, 0):
-            text = render(level)
-            if -(-len(text) // 4) <= max_tokens or not level:
-                return f"[Level {level}]\n{text}"
-        raise AssertionError
+    def context_tree(self, target: str = "", depth_limit: int = 0, max_tokens: int = 20000, include_symbols: bool = True) -> DataFrame:
+        """The tree as rows, at the richest level of detail that fits; see tree.context_tree."""
+        entries = repo.entries(self.spark, self.root, target, depth_limit).select(F.col("relative_path").alias("path"), "depth", "is_directory")
+        code_files = self.files.filter(T.is_supported(F.col("relative_path")))
+        headers = code_files.select(F.col("relative_path").alias("path"), T.code_header(F.col("content")).alias("header"))
+        shown = self.symbols if include_symbols else self.symbols.limit(0)
+        return tree.context_tree(entries, headers, tree.symbol_lines(shown), max_tokens)
+
+    def context_tree_text(self, target: str = "", depth_limit: int = 0, max_tokens: int = 20000, include_symbols: bool = True) -> str:
+        return tree.rendered(self.context_tree(target, depth_limit, max_tokens, include_symbols), max_tokens)
 
     def file_skeleton_text(self, path: str) -> str:
-        lines = [r.text for r in self.lines.filter(F.col("file") == path).orderBy("line").limit(30).collect()]
-        if "." + path.rpartition(".")[2].lower() not in T.LANGUAGES:
-            return "Unsupported language\n" + "\n".join(lines[:20])
+        """A file's header, symbols and their members by signature; without any the first lines."""
+        one = self.files.filter(F.col("relative_path") == path)
+        known = one.select(T.is_supported(F.col("relative_path")).alias("code"), T.code_header(F.col("content")).alias("header"), F.size(T.lines_of(F.col("content"))).alias("n"), F.slice(T.lines_of(F.col("content")), 1, 30).alias("first")).first()
+        first = known.first if known else []
+        if known is None or not known.code:
+            return UNSUPPORTED + "\n\n" + "\n".join(first[:20])
         found = self.symbols.filter(F.col("file") == path).orderBy("ordinal").collect()
         if not found:
-            return "\n".join(lines)
-        return "\n".join(("  " if s.parent_name else "") + f"[{s.kind}] L{s.line}" + (f"-L{s.end_line}" if s.end_line > s.line else "") + f" {s.signature};" for s in found)
+            return NO_SYMBOLS + "\n\n" + "\n".join(first)
+        tops = [s for s in found if not s.parent_name]
+        out = [f"File: {path} ({known.n} lines)", f"Symbols: {len(tops)} top-level definitions", ""]
+        out += [f"// {known.header}", ""] if known.header else []
+        for i, s in enumerate(found):
+            out.append(("  " if s.parent_name else "") + f"[{s.kind}] {chains.span(s)} {s.signature};")
+            if s.parent_name and (i + 1 == len(found) or not found[i + 1].parent_name):
+                out.append("")  # after the members of one
+        return "\n".join(out)
 
     def blast_radius(self, symbol: str, context: str | None = None) -> DataFrame:
         return code.usages(self.lines, symbol, context)
 
+    @cached_property
+    def _documents(self) -> DataFrame:
+        return search.search_documents(self.files, self.symbols).cache()
+
     @cached_property
     def _vectors(self) -> DataFrame:
-        """Of each file's path and header with, for code, all symbols and signatures, else the first 4000 characters."""
-        first = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", name))), lambda x: x[name]), " ")
-        found = self.symbols.groupBy("file").agg(first("name").alias("names"), first("signature").alias("signatures"))
-        held = self.files.join(found, F.col("relative_path") == F.col("file"), "left")
-        is_code = T.extension(F.col("relative_path")).isin(*T.LANGUAGES)
-        read = F.when(is_code, F.col("content")).otherwise(F.substring("content", 1, 4000))
-        text = F.concat_ws(" ", "relative_path", T.code_header(read), "names", F.when(is_code, F.col("signatures")).otherwise(read))
-        keyed = held.select(F.col("relative_path").alias("key"), text.alias("text"))
-        return providers.embed_rows(keyed, provider=self.provider).cache()
+        return providers.embed_rows(self._documents.select(F.col("id").alias("key"), F.col("embedded").alias("text")), provider=self.provider).cache()
 
     def semantic_code_search(self, query: str, k: int = 5, **options: float) -> DataFrame:
-        """Files ranked by meaning and keywords; options as in config.search_options."""
-        names = self.symbols.groupBy("file").agg(F.array_join(F.collect_list("name"), " ").alias("symbols"))
-        held = self.files.join(names, F.col("relative_path") == F.col("file"), "left").join(self._vectors, F.col("relative_path") == F.col("key"))
-        text = F.concat_ws(" ", "relative_path", T.code_header(F.col("content")), "symbols", "content")
-        docs = held.select(F.col("relative_path").alias("id"), text.alias("text"), F.coalesce("symbols", F.lit("")).alias("symbols"), "v")
-        return search.hybrid_search(docs, query, search.query_vector(self.provider([query])[0]), **config.search_options(k, **options))
+        """Files ranked by meaning and keywords, with the symbols that match and their places; options as
+        in config.search_options."""
+        docs = self._documents.join(self._vectors.withColumnRenamed("key", "id"), "id").select("id", self._documents["text"], "symbols", "v")
+        found = search.hybrid_search(docs, query, search.query_vector(self.provider([query])[0]), **config.search_options(k, **options))
+        matched = self._documents.select("id", "header", search.matched_symbols(query, F.col("entries")).alias("matched"))
+        places = F.transform("matched", lambda e: F.concat(e["name"], F.lit("@"), T.line_range(e["line"], e["end_line"])))
+        return found.join(matched, "id").withColumns({"matched_symbols": F.col("matched.name"), "matched_locations": places}).drop("matched")
+
+    def semantic_code_search_text(self, query: str, k: int = 5, **options: float) -> str:
+        rows = self.semantic_code_search(query, k, **options).orderBy(F.desc("score"), F.desc("keyword_score"), F.desc("semantic_score"), "id").collect()
+        if not rows:
+            return NOTHING_FOUND
+        out = [RESULTS.format(n=len(rows), query=query), ""]
+        for i, r in enumerate(rows, 1):
+            out += [f"{i}. {r.id} ({r.score:g}% total)", f"   Semantic: {r.semantic_score:g}% | Keyword: {r.keyword_score:g}%"]
+            out += [f"   Header: {r.header}"] if r.header else []
+            out += [f"   Matched symbols: {', '.join(r.matched_symbols)}", f"   Definition lines: {', '.join(r.matched_locations)}"] if r.matched_symbols else []
+            out.append("")
+        return "\n".join(out)
 
     @cached_property
     def _identifiers(self) -> DataFrame:

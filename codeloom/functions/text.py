@@ -13,6 +13,8 @@ LANGUAGES = {
     ".go": "go", ".java": "java", ".cs": "csharp", ".c": "c", ".cpp": "cpp", ".h": "c", ".hpp": "cpp", ".rb": "ruby", ".swift": "swift",
     ".kt": "kotlin", ".lua": "lua", ".zig": "zig",
 }
+#: Extensions that only a grammar knows: such files are code, without symbols here.
+GRAMMAR_ONLY = ".cjs .cc .php .kts .dart .ex .exs .elm .ml .scala .sc .sol .vue .sh .bash .zsh .toml .yaml .yml .json .html .css .m .re".split()
 #: Words before a parenthesis that are no calls.
 SKIPPED_CALLS = (
     "if for while switch catch function async return new typeof await console require Object Array String Number Boolean JSON Math Date Promise"
@@ -72,11 +74,41 @@ def clamp(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
+#: Where the file search splits between two signs of a word: a small letter before a capital one, and
+#: a capital one before a capital one that a small one follows.
+CASE_CHANGE = "(?:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+
+
+def term_pattern(term: str) -> str:
+    """A pattern for a term of a-z and 0-9 among a text's file_terms, without splitting the text."""
+    signs = ["[kK\u212a]" if c == "k" else f"[{c}{c.upper()}]" if c.isalpha() else c for c in term]
+    return f"(?:^|(?<=[\\s_-])|{CASE_CHANGE}){f'(?!{CASE_CHANGE})'.join(signs)}(?:$|(?=[\\s_-])|{CASE_CHANGE})"
+
+
+def query_terms(query: str) -> list[str]:
+    """file_terms of a query in Python, each once."""
+    apart = re.sub("([A-Z])([A-Z][a-z])", r"\1 \2", re.sub("([a-z])([A-Z])", r"\1 \2", query)).lower()
+    return list(dict.fromkeys(t for t in re.split(r"[\s_-]+", apart) if len(t) > 1))
+
+
+def file_coverage(query: str, text: Column) -> Column:
+    """coverage of a query's terms by file_terms(text).  Plain terms are looked for by a pattern each, and
+    only where the text contains them at all; other ones need the split text."""
+    terms = query_terms(query)
+    if not terms or not all(re.fullmatch("[a-z0-9]+", t) for t in terms):
+        return coverage(file_terms(F.lit(query)), file_terms(text))
+    low = F.lower(text)
+    hits = [F.when(F.contains(low, F.lit(t)) & text.rlike(term_pattern(t)), 1).otherwise(0) for t in terms]
+    total = hits[0]
+    for hit in hits[1:]:
+        total = total + hit
+    return F.when(text.isNotNull(), total / F.lit(float(len(terms))))
+
+
 def keyword_score(query: str, text: Column, symbols: Column) -> Column:
     """0.65 of the terms covered, 0.20 of those covered by symbols, 0.15 if the query occurs."""
-    terms = file_terms(F.lit(query))
     phrase = F.when(F.contains(F.lower(text), F.lit(query.strip().lower())), 0.15).otherwise(0.0) if query.strip() else F.lit(0.0)
-    return clamp(F.lit(0.65) * coverage(terms, file_terms(text)) + F.lit(0.2) * coverage(terms, file_terms(symbols)) + phrase)
+    return clamp(F.lit(0.65) * file_coverage(query, text) + F.lit(0.2) * file_coverage(query, symbols) + phrase)
 
 
 def combined_score(semantic: Column, keyword: Column, weight: float = 0.72, keyword_weight: float = 0.28) -> Column:
@@ -239,14 +271,28 @@ def navigator_header(content: Column) -> Column:
     return F.substring(F.array_join(F.aggregate(F.slice(lines_of(content), 1, 5), start, step)["text"], " "), 1, 200)
 
 
+def suffix(path: Column) -> Column:
+    """A file's extension as it is written; a name that starts with its only dot has none."""
+    return F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)
+
+
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    return F.lower(suffix(path))
+
+
+def is_supported(path: Column) -> Column:
+    """Whether a file is code: its extension is that of a language or of a grammar, in any case."""
+    return extension(path).isin(*LANGUAGES, *GRAMMAR_ONLY)
+
+
+def is_text(path: Column) -> Column:
+    """Whether a file that is no code is searched as text."""
+    return ~is_supported(path) & extension(path).isin(*TEXT_EXTENSIONS)
 
 
 def search_text(path: Column, content: Column) -> Column:
     """What the file search reads: code whole, other text files' first 4000 characters, else null."""
-    ext = extension(path)
-    return F.when(ext.isin(*LANGUAGES), content).when(ext.isin(*TEXT_EXTENSIONS), F.substring(content, 1, 4000))
+    return F.when(is_supported(path), content).when(is_text(path), F.substring(content, 1, 4000))
 
 
 def content_hash(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,17 @@ def explode_lines(files: DataFrame, path: str, content: str) -> DataFrame:
     return files.select(F.col(path).alias("file"), F.posexplode(T.lines_of(F.col(content))).alias("at", "text")).select("file", (F.col("at") + 1).alias("line"), "text")
 
 
+def lines_with(files: DataFrame, path: str, content: str, words: list[str]) -> DataFrame:
+    """The rows of explode_lines that have one of the words as a whole word.  Lines are held against the
+    words inside the row of their file, so that only those that match become rows; files that do not
+    contain a word at all are not split."""
+    holds = lambda text: functools.reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words])
+    pattern = "|".join(T.whole_word(w) for w in words)
+    kept = files.filter(holds(F.col(content))).select(F.col(path).alias("file"), T.lines_of(F.col(content)).alias("lines"))
+    numbered = F.transform("lines", lambda text, at: F.when(holds(text) & text.rlike(pattern), F.struct((at + 1).alias("line"), text.alias("text"))))
+    return kept.select("file", F.inline_outer(F.array_compact(numbered))).filter("line is not null")
+
+
 def usages(lines: DataFrame, word: str, context: str | None = None) -> DataFrame:
     """One row per line that has the word; definition lines in the context file are left out."""
     found = lines.filter(F.col("text").rlike(T.whole_word(word)))
@@ -83,18 +96,18 @@ HASH_COMMENTS = (".py", ".rb")
 
 
 def comment_violations(lines: DataFrame) -> DataFrame:
-    """Comment lines from the third line on, by the marker of the file's extension."""
+    """Comment lines from the third line on, by the marker of the file's extension, of files that are code."""
     bare = T.trimmed(F.col("text"))
-    hashed = T.extension(F.col("file")).isin(*HASH_COMMENTS)
+    hashed = T.suffix(F.col("file")).isin(*HASH_COMMENTS)
     comment = F.when(hashed, bare.startswith("#") & ~bare.startswith("#!") & ~bare.startswith("#include")).otherwise(bare.startswith("//"))
-    return lines.filter((F.col("line") > 2) & comment).select("file", "line", F.substring(bare, 1, 80).alias("comment"))
+    return lines.filter((F.col("line") > 2) & T.is_supported(F.col("file")) & comment).select("file", "line", F.substring(bare, 1, 80).alias("comment"))
 
 
 def header_violations(lines: DataFrame) -> DataFrame:
     """(file, rule): fewer than two comment lines among the first five, or no feature tag in the second
     of them; languages without a marker of their own have no such rule."""
     pairs = [F.lit(x) for pair in HEADER_MARKS.items() for x in pair]
-    marked = lines.filter("line <= 5").withColumn("mark", F.element_at(F.create_map(*pairs), T.extension(F.col("file")))).filter("mark is not null")
+    marked = lines.filter("line <= 5").withColumn("mark", F.element_at(F.create_map(*pairs), T.suffix(F.col("file")))).filter("mark is not null")
     heads = F.sort_array(F.collect_list(F.when(F.expr("startswith(text, mark)"), F.struct("line", "text"))))
     found = marked.groupBy("file").agg(heads.alias("heads"))
     rule = F.when(F.size("heads") < 2, "header").when(~F.contains(F.upper(F.get("heads", F.lit(1))["text"]), F.lit("FEATURE:")), "feature-tag")

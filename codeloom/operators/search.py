@@ -53,6 +53,31 @@ def hybrid_search(
     return best.select("id", T.percent(F.col("both")).alias("score"), T.percent(F.greatest("sem", F.lit(0.0))).alias("semantic_score"), T.percent(F.col("key")).alias("keyword_score"))
 
 
+def search_documents(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, header, entries, symbols, content, text, embedded) of the files (relative_path, content) that are
+    searched: code, and files of known text extensions; others are left out.
+
+    Code is its header, symbols and signatures; text its first lines and first 4000 characters.
+    ``entries`` has (name, line, end_line) of the symbols in order; keywords are looked for in ``text``,
+    ``embedded`` is what gets a vector.
+    """
+    found = symbols.groupBy(F.col("file").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "line", "end_line", "signature"))).alias("entries"))
+    path, content = F.col("relative_path"), F.col("content")
+    kept = files.filter(T.is_supported(path) | T.is_text(path)).select(path.alias("id"), T.is_supported(path).alias("code"), content)
+    first = F.substring(content, 1, 4000)
+    held = kept.join(found, "id", "left").select("id", F.when(F.col("code"), T.code_header(content)).otherwise(T.plain_header(first)).alias("header"), "entries", "code", first.alias("first"))
+    listed = lambda name: F.coalesce(F.array_join(F.transform("entries", lambda e: e[name]), " "), F.lit(""))
+    read = held.withColumns({"symbols": listed("name"), "content": F.when(F.col("code"), listed("signature")).otherwise(F.col("first"))})
+    text = {"text": F.concat_ws(" ", "id", "header", "symbols", "content"), "embedded": F.concat_ws(" ", "header", "symbols", "content")}
+    return read.withColumns(text).select("id", "header", "entries", "symbols", "content", *text)
+
+
+def matched_symbols(query: str, entries: Column) -> Column:
+    """The entries (name, line, end_line) whose name has a term of the query, in order."""
+    terms = F.array(*[F.lit(t) for t in T.query_terms(query)]).cast("array<string>")
+    return F.filter(entries, lambda e: F.arrays_overlap(T.file_terms(e["name"]), terms))
+
+
 def identifier_search(symbols: DataFrame, query: str, vector: Column, kinds: list[str] | None = None, k: int = 20, semantic_weight: float = 0.78, keyword_weight: float = 0.22) -> DataFrame:
     """Identifiers (id, kind, name, text, v) ranked by cosine and terms covered, before rounding; the
     least id among equals: (id, name, rank, score, semantic_score, keyword_score)."""

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
-from codeloom.operators import chains, clustering, code, diagrams, graph, hubs, messages, search
+from codeloom.operators import chains, clustering, code, diagrams, graph, hubs, messages, search, tree, usage_index
 from codeloom.operators.symbols import extract_symbols
+from codeloom.operators.usage_index import UsageIndex
+from codeloom.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,6 +39,17 @@ class Tables:
         line = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
         return self.part.select(F.concat(F.lit("src/"), F.lower(F.regexp_replace("p_brand", "#", "")), F.lit(".ts")).alias("file"), line.cast("long").alias("line"), text.alias("text"))
 
+    @property
+    def code_files(self) -> DataFrame:
+        """code_lines put together to files (file, content)."""
+        content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+        return self.code_lines.groupBy("file").agg(content.alias("content"))
+
+    @property
+    def code_symbols(self) -> DataFrame:
+        """The symbols that are extracted from code_files."""
+        return extract_symbols(self.code_files, "file", "content").withColumn("line", F.col("line").cast("long"))
+
     @property
     def cyclic(self) -> DataFrame:
         """Two edges from each supplier, with cycles."""
@@ -57,7 +70,7 @@ class Tables:
     def many_lines(self) -> DataFrame:
         """code_lines as files of several languages, by the last digit of the brand."""
         digit = F.substring("file", -4, 1)
-        end = F.when(digit == "1", ".py").when(digit == "2", ".rb").when(digit == "3", ".lua").when(digit == "4", ".txt").otherwise(".ts")
+        end = F.when(digit == "1", ".py").when(digit == "2", ".rb").when(digit == "3", ".lua").when(digit == "4", ".txt").when(digit == "5", ".PY").otherwise(".ts")
         hashed = F.col("text").startswith("//") & digit.isin("1", "2")
         mark = F.when(F.col("line") % 7 == 0, "#!").otherwise("#")
         text = F.when(F.col("line") == 1, F.concat(F.when(digit.isin("1", "2"), "#").when(digit == "3", "--").otherwise("//"), F.lit(" what it is")))
@@ -82,11 +95,11 @@ CODE_LINES = """code_lines AS (
     FROM (SELECT *, split_part(p_name, ' ', 1) || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS camel,
                  upper(left(p_name, 1)) || substr(split_part(p_name, ' ', 1), 2) AS pascal FROM part))"""
 MANY_LINES = f"""{CODE_LINES}, many_lines AS (
-    SELECT substr(file, 1, length(file) - 3) || CASE d WHEN '1' THEN '.py' WHEN '2' THEN '.rb' WHEN '3' THEN '.lua' WHEN '4' THEN '.txt' ELSE '.ts' END AS file, line,
+    SELECT substr(file, 1, length(file) - 3) || CASE d WHEN '1' THEN '.py' WHEN '2' THEN '.rb' WHEN '3' THEN '.lua' WHEN '4' THEN '.txt' WHEN '5' THEN '.PY' ELSE '.ts' END AS file, line,
            CASE WHEN line = 1 THEN mark || ' what it is' WHEN line = 2 THEN mark || CASE WHEN substr(file, -5, 1) = '1' THEN ' feature: x' ELSE ' more' END
                 WHEN mark = '#' AND starts_with(text, '//') THEN CASE WHEN line % 7 = 0 THEN '#!' ELSE '#' END || substr(text, 3) ELSE text END AS text
     FROM (SELECT *, substr(file, -4, 1) AS d, CASE WHEN substr(file, -4, 1) IN ('1', '2') THEN '#' WHEN substr(file, -4, 1) = '3' THEN '--' ELSE '//' END AS mark FROM code_lines)),
-    comment_lines AS (SELECT file, line, substr(trim(text), 1, 80) AS comment FROM many_lines WHERE line > 2 AND
+    comment_lines AS (SELECT file, line, substr(trim(text), 1, 80) AS comment FROM many_lines WHERE line > 2 AND regexp_matches(lower(file), '[.](ts|py|rb|lua)$') AND
         CASE WHEN regexp_matches(file, '[.](py|rb)$') THEN starts_with(trim(text), '#') AND NOT starts_with(trim(text), '#!') AND NOT starts_with(trim(text), '#include') ELSE starts_with(trim(text), '//') END)"""
 CYCLIC = """edges AS (SELECT s_suppkey AS src, unnest([(s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier), (s_suppkey * 5 + 2) % (SELECT count(*) FROM supplier)]) AS dst FROM supplier)"""
 TREE = """tree AS (
@@ -235,7 +248,7 @@ DEFINED = r"""defined AS (SELECT file, line, regexp_extract(text, '^(?:export )?
     SELECT name, rank, file, line, {_tenths('key')} AS keyword_score, total FROM ranked WHERE rank <= 10""",
 )
 def _(t: Tables) -> DataFrame:
-    names = code.definitions(t.code_lines).filter("kind = 'function'").select("name").distinct()
+    names = t.code_symbols.filter("kind = 'function'").select("name").distinct()
     return search.call_sites(t.code_lines, names, 10, "db return").withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -251,7 +264,7 @@ def _(t: Tables) -> DataFrame:
     FROM keyed QUALIFY rank <= 5""",
 )
 def _(t: Tables) -> DataFrame:
-    defined = code.definitions(t.code_lines).select(F.concat_ws(":", "file", "name", F.col("line").cast("string")).alias("id"), "name", "kind", "file", "line")
+    defined = t.code_symbols.select(F.concat_ws(":", "file", "name", F.col("line").cast("string")).alias("id"), "name", "kind", "file", "line")
     found = search.identifier_calls(t.code_lines, defined, "db return", search.query_vector([1.0]), 5, lambda texts: [[0.0]] * len(texts))
     return found.withColumn("rank", F.col("rank").cast("long"))
 
@@ -263,8 +276,8 @@ def _(t: Tables) -> DataFrame:
     WHERE regexp_matches(text, '\bthing\b') GROUP BY file""",
 )
 def _(t: Tables) -> DataFrame:
-    lines = code.explode_lines(t.documents.withColumn("key", F.col("doc_id").cast("string")), "key", "text").withColumn("line", F.col("line").cast("long"))
-    return code.blast_radius(lines, "thing")
+    lines = code.lines_with(t.documents.withColumn("key", F.col("doc_id").cast("string")), "key", "text", ["thing"])
+    return code.blast_radius(lines.withColumn("line", F.col("line").cast("long")), "thing")
 
 
 @query(
@@ -282,8 +295,49 @@ def _(t: Tables) -> DataFrame:
     SELECT word, count(*) AS usages, count(DISTINCT doc_id) AS files, count(*) <= 1 AS low_usage FROM lines, words WHERE regexp_matches(text, '\b' || word || '\b') GROUP BY word""",
 )
 def _(t: Tables) -> DataFrame:
-    lines = code.explode_lines(t.documents.withColumn("key", F.col("doc_id").cast("string")), "key", "text")
-    return code.blast_summary(lines, ["the", "thing", "der", "que", "Apache"])
+    words = ["the", "thing", "der", "que", "Apache"]
+    return code.blast_summary(code.lines_with(t.documents.withColumn("key", F.col("doc_id").cast("string")), "key", "text", words), words)
+
+
+WORD_USAGES = """used AS (SELECT file, line, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS word FROM {lines})
+    SELECT word, count(*) AS usages, count(DISTINCT file) AS files, count(*) <= 1 AS low_usage FROM used GROUP BY word"""
+
+
+def _usage_index(t: Tables) -> UsageIndex:
+    index = UsageIndex(t.spark, scratch_path(t.spark, "usage-index"), buckets=16)
+    index.update(t.code_lines)
+    return index
+
+
+@query("usage_index", f"WITH {CODE_LINES}, {WORD_USAGES.format(lines='code_lines')}")
+def _(t: Tables) -> DataFrame:
+    words = t.code_lines.select(F.explode(usage_index.words_of(F.col("text"))).alias("name")).distinct()
+    return _usage_index(t).summary(words)
+
+
+@query(
+    "usage_index_symbols",
+    f"""WITH {CODE_LINES}, names AS (SELECT DISTINCT regexp_extract(text, '(?:function|class) (\\w+)', 1) AS name FROM code_lines WHERE regexp_matches(text, '(?:function|class) \\w+') UNION SELECT 'db.query' UNION SELECT 'if (ok)')
+    SELECT name, file, line FROM code_lines JOIN names ON regexp_matches(' ' || text || ' ', '[^A-Za-z0-9_]' || regexp_escape(name) || CASE WHEN ends_with(name, ')') THEN '' ELSE '[^A-Za-z0-9_]' END)
+    WHERE name <> 'if (ok)' OR NOT regexp_matches(text, 'if \\(ok\\)\\w')""",
+)
+def _(t: Tables) -> DataFrame:
+    lines = t.code_lines
+    defined = t.code_symbols.select("name")
+    more = t.spark.createDataFrame([("db.query",), ("if (ok)",)], "name string")
+    return _usage_index(t).usages(defined.union(more), lines)
+
+
+@query(
+    "usage_index_update",
+    f"""WITH {CODE_LINES}, changed AS (SELECT file, line, CASE WHEN starts_with(file, 'src/brand1') THEN upper(text) ELSE text END AS text FROM code_lines
+        WHERE NOT starts_with(file, 'src/brand2') AND NOT (starts_with(file, 'src/brand1') AND line % 3 = 0)), {WORD_USAGES.format(lines='changed')}""",
+)
+def _(t: Tables) -> DataFrame:
+    index, lines = _usage_index(t), t.code_lines
+    changed = lines.filter("startswith(file, 'src/brand1') AND line % 3 <> 0").withColumn("text", F.upper("text"))
+    index.update(changed, lines.filter("startswith(file, 'src/brand2')").select("file"))
+    return index.summary(index.postings().select(F.col("word").alias("name")))
 
 
 @query(
@@ -534,7 +588,7 @@ def _(t: Tables) -> DataFrame:
     d AS (SELECT file, sum(len(text) - len(replace(text, '{{', '')) - len(text) + len(replace(text, '}}', ''))) OVER (PARTITION BY file ORDER BY line) AS depth FROM many_lines),
     s AS (SELECT file, max(depth) AS depth, count(*) AS n FROM d GROUP BY file),
     h AS (SELECT file, list(text ORDER BY line) FILTER (WHERE starts_with(text, CASE WHEN file LIKE '%.lua' THEN '--' WHEN regexp_matches(file, '[.](py|rb)$') THEN '#' ELSE '//' END)) AS heads
-        FROM many_lines WHERE line <= 5 AND file NOT LIKE '%.txt' GROUP BY file)
+        FROM many_lines WHERE line <= 5 AND regexp_matches(file, '[.](ts|py|rb|lua)$') GROUP BY file)
     SELECT *, rule = 'no-comments' AND n > 10 AS rejects FROM (SELECT * FROM comments UNION ALL SELECT file, 'nesting', 1 FROM s WHERE depth > 6
         UNION ALL SELECT file, 'file-length', 1 FROM s WHERE n > 1000 UNION ALL SELECT file, 'header', 1 FROM h WHERE coalesce(len(heads), 0) < 2
         UNION ALL SELECT file, 'feature-tag', 1 FROM h WHERE len(heads) >= 2 AND NOT contains(upper(heads[2]), 'FEATURE:'))""",
@@ -545,9 +599,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("symbols", f"WITH {CODE_LINES}, {DEFINED} SELECT file, name, kind, line FROM defined")
 def _(t: Tables) -> DataFrame:
-    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    files = t.code_lines.groupBy(F.col("file").alias("relative_path")).agg(content.alias("content"))
-    return extract_symbols(files).select("file", "name", "kind", F.col("line").cast("long").alias("line"))
+    return t.code_symbols.select("file", "name", "kind", "line")
 
 
 @query("retention", "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 100")
@@ -734,7 +786,7 @@ def _(t: Tables) -> DataFrame:
     SELECT file, line, callee, def_file, def_line, def_file IS NULL AS external FROM called LEFT JOIN best USING (file, callee)""",
 )
 def _(t: Tables) -> DataFrame:
-    return code.resolve_calls(code.calls(t.code_lines), code.definitions(t.code_lines)).drop("ordinal")
+    return code.resolve_calls(code.calls(t.code_lines), t.code_symbols).drop("ordinal")
 
 
 @query("node_meta", f"WITH RECURSIVE {CYCLIC}, r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON r.node = e.src WHERE r.depth < 3), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) SELECT 'fn:' || s_name || ':' || s_suppkey AS id, coalesce(depth, -1) AS depth, CASE WHEN depth = 0 THEN 'target' WHEN depth = 1 THEN 'dependency' ELSE 'callee' END AS role FROM supplier LEFT JOIN m ON s_suppkey = node")
@@ -892,3 +944,39 @@ def _(t: Tables) -> DataFrame:
 @query("spectral_clusters")
 def _(t: Tables) -> DataFrame:
     return clustering.spectral_clusters(_vectors(t), ["label"])
+
+
+def _tree_entries(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tree without one region's own row, headers of customers, and symbols of those in debt."""
+    entries = t.tree.filter("path <> 'ASIA'").select("path", "depth", (F.col("depth") < 2).alias("is_directory"))
+    customers = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    named = customers.withColumn("path", F.concat_ws("/", "r_name", "n_name", "c_name"))
+    member = F.struct(F.lit(1).alias("ordinal"), F.lit("method").alias("kind"), F.lit("owes").alias("name"), F.lit("owes(self)").alias("signature"), F.lit(4).alias("line"), F.lit(4).alias("end_line"), F.lit("Debt").alias("parent_name"))
+    owner = F.struct(F.lit(0).alias("ordinal"), F.lit("class").alias("kind"), F.lit("Debt").alias("name"), F.lit("class Debt").alias("signature"), F.lit(2).alias("line"), F.lit(9).alias("end_line"), F.lit(None).cast("string").alias("parent_name"))
+    symbols = named.filter("c_acctbal < 0").select(F.col("path").alias("file"), F.inline(F.array(owner, member)))
+    return entries, named.select("path", F.col("c_mktsegment").alias("header")), tree.symbol_lines(symbols)
+
+
+@query(
+    "context_tree",
+    f"""WITH {TREE}, headers AS (SELECT r_name || '/' || n_name || '/' || c_name AS path, c_mktsegment AS header, c_acctbal < 0 AS debt FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    entries AS (SELECT path, depth, depth < 2 AS dir, CASE WHEN starts_with(path, 'ASIA/') THEN depth ELSE depth + 1 END AS indent,
+        CASE WHEN parent = 'ASIA' THEN NULL ELSE parent END AS parent FROM tree WHERE path <> 'ASIA'),
+    lines AS (SELECT e.*, repeat('  ', indent) AS pad, repeat('  ', indent) || string_split(path, '/')[-1] || CASE WHEN dir THEN '/' ELSE '' END AS t0, header, debt FROM entries e LEFT JOIN headers USING (path)),
+    texts AS (SELECT path, parent, indent, t0, t0 || coalesce(' | ' || header, '') AS t1,
+        t0 || coalesce(' | ' || header, '') || CASE WHEN debt THEN chr(10) || pad || '  class: Debt (L2-L9)' || chr(10) || pad || '    method: owes(self) (L4)' ELSE '' END AS t2 FROM lines
+        UNION ALL SELECT '.', NULL, 0, './', './', './'),
+    budgets AS (SELECT tokens, CASE WHEN ceil((SELECT sum(length(t2) + 1) FROM texts) / 4.0) <= tokens THEN 2 WHEN ceil((SELECT sum(length(t1) + 1) FROM texts) / 4.0) <= tokens THEN 1 ELSE 0 END AS level
+        FROM (SELECT (SELECT ceil(sum(length(t1) + 1) / 4.0) FROM texts) - 1 + d AS tokens FROM (VALUES (0), (1), (1000000)) v(d)))
+    SELECT level, path, parent, indent, CASE level WHEN 2 THEN t2 WHEN 1 THEN t1 ELSE t0 END AS text,
+        row_number() OVER (PARTITION BY level ORDER BY path <> '.', starts_with(path, 'ASIA/'), path) AS place FROM texts, budgets""",
+)
+def _(t: Tables) -> DataFrame:
+    """Budgets one short of what headers take, just enough for them, and more than all takes."""
+    entries, headers, lines = _tree_entries(t)
+    sized = tree.context_tree(entries, headers, lines.limit(0), 10**9)
+    enough = -(-sized.agg(F.sum(tree.units(F.col("text")) + 1)).first()[0] // 4)
+    trees = [tree.context_tree(entries, headers, lines, budget) for budget in (enough - 1, enough, enough + 999_999)]
+    place = F.row_number().over(Window.partitionBy("level").orderBy("chain", "path")).cast("long")
+    every = trees[0].unionByName(trees[1]).unionByName(trees[2])
+    return every.select("level", "path", "parent", "indent", "text", place.alias("place"))
