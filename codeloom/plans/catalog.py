@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
-from codeloom.operators import chains, clustering, code, diagrams, graph, hubs, messages, search, tree, usage_index
+from codeloom.operators import chains, clustering, code, diagrams, graph, hubs, messages, search, spectral, tree, usage_index
 from codeloom.operators.symbols import extract_symbols
 from codeloom.operators.usage_index import UsageIndex
 from codeloom.sources.scratch import scratch_path
@@ -980,3 +980,38 @@ def _(t: Tables) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("level").orderBy("chain", "path")).cast("long")
     every = trees[0].unionByName(trees[1]).unionByName(trees[2])
     return every.select("level", "path", "parent", "indent", "text", place.alias("place"))
+
+
+def _k_means_sql(k: int, rounds: int) -> str:
+    """Farthest-first starts and then rounds, each a table of its own."""
+    parts = ["d AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)", "t1 AS (SELECT 0 AS label, v FROM d ORDER BY id LIMIT 1)"]
+    for n in range(2, k + 1):
+        parts.append(
+            f"t{n} AS (SELECT * FROM t{n - 1} UNION ALL SELECT {n - 1}, v FROM (SELECT id, any_value(d.v) AS v, min(list_distance(d.v, t.v)) AS gap FROM d, t{n - 1} t GROUP BY id ORDER BY gap DESC, id LIMIT 1))"
+        )
+    centres = f"t{k}"
+    for r in range(1, rounds + 1):
+        parts.append(f"a{r} AS (SELECT d.id, any_value(d.v) AS v, arg_min(label, list_distance(d.v, c.v) + label * 1e-13) AS label FROM d, {centres} c GROUP BY d.id)")
+        means = f"(SELECT label, list(m ORDER BY dim) AS v FROM (SELECT label, dim, avg(x) AS m FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS dim FROM a{r}) GROUP BY label, dim) GROUP BY label)"
+        parts.append(f"m{r} AS (SELECT c.label, coalesce(n.v, c.v) AS v FROM {centres} c LEFT JOIN {means} n ON n.label = c.label)")
+        centres = f"m{r}"
+    return f"WITH {', '.join(parts)} SELECT id, label::INTEGER AS label FROM a{rounds}"
+
+
+@query("k_means", _k_means_sql(4, 3))
+def _(t: Tables) -> DataFrame:
+    return spectral.k_means(_vectors(t).select("id", "v"), 4, 3)
+
+
+@query("spectral_partition")
+def _(t: Tables) -> DataFrame:
+    """All vectors by the graph of their 16 nearest."""
+    return spectral.spectral_partition(_vectors(t).select("id", "v"), neighbours=16)
+
+
+@query("neighbour_graph", f"""WITH {AFFINITY.replace(", 6)", ", 12)")}, two_way AS (SELECT i, j, sim FROM pairs UNION ALL SELECT j, i, sim FROM pairs),
+    best AS (SELECT * FROM two_way WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 16)
+    SELECT least(i, j) AS i, greatest(i, j) AS j, round(max(sim), 6) AS sim FROM best GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    found = spectral.neighbour_graph(_vectors(t).select("id", "v"), 16)
+    return found.select("i", "j", F.round("sim", 6).alias("sim"))
