@@ -154,9 +154,79 @@ def solve_fractional(weights: np.ndarray, need: np.ndarray, capacity: int, gap:
     return {tuple(np.repeat(np.arange(len(c)), c.astype(int))[::-1].tolist()): x / low for c, x in zip(known, uses, strict=True) if x}, bound
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs at least.
+
+    For each limit up to half of capacity: what is longer than capacity less limit is alone, what is
+    longer than half has one each, and what is between limit and half has to fit in what these leave.
+    """
+    n = np.zeros(capacity + 1, np.int64)
+    for length, times in counts.items():
+        n[length] = times
+    size, at = np.cumsum(n * np.arange(capacity + 1)), np.cumsum(n)
+    half, best = capacity // 2, -(-int(size[-1]) // capacity)
+    for limit in range(half + 1):
+        alone = int(at[-1] - at[capacity - limit])
+        large = int(at[capacity - limit] - at[half])
+        room = large * capacity - int(size[capacity - limit] - size[half])
+        small = int(size[half] - (size[limit - 1] if limit else 0))
+        best = max(best, alone + large + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """(times, lengths) rows as best fit makes them of the pieces by falling length.  Sequences of equal
+    content are one row, and each length divides one row at most, so work depends on the number of
+    different lengths alone."""
+    rows: dict[int, list[list]] = {}  # by room: [times, lengths]
+    done: list[tuple[int, list[int]]] = []
+
+    def put(times: int, lengths: list[int], room: int) -> None:
+        if times and room:
+            rows.setdefault(room, []).append([times, lengths])
+        elif times:
+            done.append((times, lengths))
+
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        for room in sorted(r for r in rows if r >= length):
+            fit = room // length
+            while left and rows.get(room):
+                times, lengths = rows[room].pop()
+                filled = min(times, left // fit)
+                put(filled, lengths + [length] * fit, room - fit * length)
+                left -= filled * fit
+                if filled < times:  # fewer are left than fill one
+                    put(1 if left else 0, lengths + [length] * left, room - left * length)
+                    put(times - filled - (1 if left else 0), lengths, room)
+                    left = 0
+                    break
+            if not rows.get(room):
+                rows.pop(room, None)
+            if not left:
+                break
+        fit = capacity // length
+        put(left // fit, [length] * fit, capacity - fit * length)
+        put(1 if left % fit else 0, [length] * (left % fit), capacity - left % fit * length)
+    return done + [(times, lengths) for held in rows.values() for times, lengths in held]
+
+
 def pack_histogram(counts: dict[int, int], capacity: int, grain: int = 64, unit: int = 8) -> list[tuple[int, list[int]]]:
     """(times, lengths) rows that use up every length's count, each row's lengths fitting capacity.
 
+    Of three plans the one of the fewest sequences: the program's, its filling of single lengths
+    without the program, and best fit of the pieces by falling length.  Cells make the program blind to
+    lengths that only just fit together, and there the plain plans are better.  All three come from the
+    histogram alone.
+    """
+    counts = {length: n for length, n in counts.items() if n}
+    plans = [program_plan(counts, capacity, grain, unit, True), program_plan(counts, capacity, grain, unit, False), best_fit_decreasing(counts, capacity)]
+    return min(plans, key=lambda plan: sum(times for times, _ in plan))
+
+
+def program_plan(counts: dict[int, int], capacity: int, grain: int = 64, unit: int = 8, program: bool = True) -> list[tuple[int, list[int]]]:
+    """(times, lengths) rows by the configuration program, or, without ``program``, by its filling alone.
+
     The program is solved over cells of ``grain`` lengths, or over the lengths where they are few; a
     cell weighs its mean length, in whole ``unit``s.  Rounding uses every configuration its whole
     number of times and with all its cells: a cell's place takes the length at hand that keeps the sum
@@ -236,7 +306,7 @@ def pack_histogram(counts: dict[int, int], capacity: int, grain: int = 64, unit:
     need = np.array([left[m].sum() for m in members], float)
     middle = [float((left[m] * np.array(m)).sum() / n) for m, n in zip(members, need, strict=True)]
     weights = np.array([-(-x // unit) for x in middle], np.int64)
-    uses, bound = solve_fractional(weights, need, capacity // unit)
+    uses, bound = solve_fractional(weights, need, capacity // unit) if program else ({}, 0.0)
     scale = bound / max(1e-9, sum(uses.values()))  # what covers a length twice is no use
     for config, wanted in sorted(uses.items(), reverse=True):
         quota = int(wanted * scale)

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -39,10 +40,56 @@ def test_every_length_is_packed_once_and_few_bins_are_used(seed):
 
 
 @pytest.mark.parametrize("counts", [{775: 91, 1731: 446, 569: 416, 663: 428, 1203: 463, 920: 82}, {779: 1935, 1557: 1370, 1920: 1186, 1431: 1376, 965: 987}])
-def test_the_program_beats_greedy_packing(counts, monkeypatch):
-    with_program = sum(t for t, _ in pack_histogram(counts, 4096))
-    monkeypatch.setattr(packing, "solve_fractional", lambda *_: ({}, 0.0))
-    assert with_program < sum(t for t, _ in pack_histogram(counts, 4096)) * 0.992
+def test_the_program_beats_its_filling_alone(counts):
+    with_program = sum(t for t, _ in packing.program_plan(counts, 4096))
+    assert with_program < sum(t for t, _ in packing.program_plan(counts, 4096, program=False)) * 0.992
+    assert sum(t for t, _ in pack_histogram(counts, 4096)) <= with_program
+
+
+def plain_best_fit(counts, capacity):
+    """Pieces one by one, longest first, each into the fullest sequence that takes it."""
+    at_room = np.zeros(capacity + 1, np.int64)
+    sequences = 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fits = np.flatnonzero(at_room[length:])
+            if len(fits):
+                room = length + int(fits[0])
+                at_room[room] -= 1
+            else:
+                room, sequences = capacity, sequences + 1
+            at_room[room - length] += 1
+    return sequences
+
+
+def histogram(n, low, high, seed):
+    return dict(Counter(np.random.default_rng(seed).integers(low, high + 1, n).tolist()))
+
+
+HISTOGRAMS = [(6000, 2040, 2056), (5000, 1900, 2200), (5000, 1300, 1450), (5000, 900, 1500), (20000, 1, 4096), (500, 1, 4096), (3000, 4000, 4096), (3000, 1, 30), (4000, 1365, 1366), (4000, 1000, 1100),
+              (2000, 2000, 4096), (2000, 1, 2048), (1, 7, 7), (999, 4096, 4096), (2500, 2048, 2049), (2500, 1024, 1025), (3000, 600, 700), (3000, 100, 3000), (700, 1364, 2800), (1500, 3000, 3100)]
+
+
+@pytest.mark.parametrize("n, low, high", HISTOGRAMS)
+def test_never_more_sequences_than_best_fit_decreasing(n, low, high):
+    counts = histogram(n, low, high, seed=n + low)
+    plan = pack_histogram(counts, 4096)
+    used = Counter()
+    for times, lengths in plan:
+        assert times > 0 and sum(lengths) <= 4096
+        for x in lengths:
+            used[x] += times
+    assert used == counts
+    greedy = plain_best_fit(counts, 4096)
+    assert sum(times for times, _ in packing.best_fit_decreasing(counts, 4096)) == greedy
+    assert packing.lower_bound(counts, 4096) <= sum(times for times, _ in plan) <= greedy
+
+
+def test_the_bound_is_a_bound():
+    assert packing.lower_bound({60: 3, 50: 1, 40: 2}, 100) == 4
+    assert packing.lower_bound({51: 10}, 100) == 10
+    assert packing.lower_bound({2049: 7, 2048: 1}, 4096) == 8
+    assert packing.lower_bound({}, 100) == 0
 
 
 def test_uses_cover_all_within_the_bound():
