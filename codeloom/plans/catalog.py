@@ -13,6 +13,7 @@ from codeloom.operators import chains, clustering, code, diagrams, graph, hubs,
 from codeloom.operators.symbols import extract_symbols
 from codeloom.operators.usage_index import UsageIndex
 from codeloom.sources.scratch import scratch_path
+from codeloom.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,6 +28,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def one_file(self, name: str) -> bool:
+        """Whether a table is a file and not a folder of files."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+
     @property
     def code_lines(self) -> DataFrame:
         """Source-like lines made of part's rows, the same in SQL below."""
@@ -1015,3 +1021,30 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     found = spectral.neighbour_graph(_vectors(t).select("id", "v"), 16)
     return found.select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+def _streamed(t: Tables, operator: Callable[[DataFrame], DataFrame], by: list[str]) -> DataFrame:
+    """What an operator on streams makes of the events, read as one: the last row of each key."""
+    schema = t.events.schema
+    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder) if t.one_file("events") else t.spark.readStream.schema(schema).parquet(f"{t.folder}/events.parquet")
+    out = scratch_path(t.spark, "streamed")
+    state.keep_latest(operator(stream), out, scratch_path(t.spark, "stream-checkpoint"), {"availableNow": True}).awaitTermination()
+    return state.read_latest(t.spark, out, by)
+
+
+@query("log_status_stream", "SELECT 'svc.' || user_id AS node, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS ts FROM events GROUP BY user_id")
+def _(t: Tables) -> DataFrame:
+    line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.lit("svc").alias("service"), F.col("user_id").cast("string").alias("function"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")))
+    return _streamed(t, lambda events: state.log_status(events.select(line.alias("value"))), ["node"])
+
+
+@query(
+    "progress_stream",
+    """WITH e AS (SELECT event_id AS seq, user_id % 50 AS tool, CASE event_type WHEN 'view' THEN 'tool_start' WHEN 'purchase' THEN 'tool_done' WHEN 'error' THEN 'tool_error' ELSE event_type END AS event FROM events)
+    SELECT s.tool, s.seq, coalesce(substr(arg_min(d.event, d.seq), 6), 'running') AS status, min(d.seq) AS "end"
+    FROM e s LEFT JOIN e d ON d.tool = s.tool AND d.seq > s.seq AND d.event IN ('tool_done', 'tool_error') WHERE s.event = 'tool_start' GROUP BY s.tool, s.seq""",
+)
+def _(t: Tables) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "tool_start").when(F.col("event_type") == "purchase", "tool_done").when(F.col("event_type") == "error", "tool_error").otherwise(F.col("event_type"))
+    shaped = lambda events: events.select(F.col("event_id").alias("seq"), kind.alias("event"), (F.col("user_id") % 50).alias("tool"))
+    return _streamed(t, lambda events: state.progress_stream(shaped(events)), ["tool", "seq"])
