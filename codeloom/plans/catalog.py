@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
 from codeloom.operators import chains, clustering, code, diagrams, graph, hubs, messages, search, spectral, tree, usage_index
+from codeloom.operators.store import GraphStore
 from codeloom.operators.symbols import extract_symbols
 from codeloom.operators.usage_index import UsageIndex
 from codeloom.sources.scratch import scratch_path
@@ -1048,3 +1049,81 @@ def _(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "tool_start").when(F.col("event_type") == "purchase", "tool_done").when(F.col("event_type") == "error", "tool_error").otherwise(F.col("event_type"))
     shaped = lambda events: events.select(F.col("event_id").alias("seq"), kind.alias("event"), (F.col("user_id") % 50).alias("tool"))
     return _streamed(t, lambda events: state.progress_stream(shaped(events)), ["tool", "seq"])
+
+
+def _store(t: Tables) -> GraphStore:
+    """Regions as services, nations as packages, customers as files and suppliers as functions of a nation's
+    first file; what contains what, calls among suppliers, imports of nations."""
+    r, n, c, s = t.region, t.nation, t.customer, t.supplier
+    count = s.count()
+    none = F.lit(None).cast("string")
+    key = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
+    node = lambda i, name, parent, file, meta, kind: [i.alias("id"), F.col(name).alias("name"), parent.alias("parent_id"), file.alias("file_path"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), meta.alias("metadata"), F.lit(kind).alias("type")]
+    file = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/"), "c_mktsegment")
+    tests = F.to_json(F.struct((F.col("c_custkey") % 5 == 0).alias("is_test")))
+    nodes = r.select(*node(key("r", "r_regionkey"), "r_name", none, none, F.lit("{}"), "service"))
+    nodes = nodes.union(n.select(*node(key("n", "n_nationkey"), "n_name", key("r", "n_regionkey"), none, F.lit("{}"), "package")))
+    nodes = nodes.union(c.select(*node(key("c", "c_custkey"), "c_name", key("n", "c_nationkey"), file, tests, "file")))
+    nodes = nodes.union(s.select(*node(key("s", "s_suppkey"), "s_name", key("n", "s_nationkey"), none, F.lit("{}"), "function")))
+    edge = lambda kind, source, target, weight, meta: [F.concat_ws(":", F.lit(kind), source, target).alias("id"), source.alias("source_id"), target.alias("target_id"), weight.alias("importance"), meta.alias("metadata"), F.lit(kind).alias("type")]
+    contains = nodes.filter("parent_id is not null").select(*edge("contains", F.col("parent_id"), F.col("id"), F.lit(None).cast("double"), F.lit("{}")))
+    called = F.concat(F.lit("s"), ((F.col("s_suppkey") * 3 + 1) % count).cast("string"))
+    calls = s.select(*edge("calls", key("s", "s_suppkey"), called, F.col("s_suppkey") % 10 / F.lit(10.0), F.lit("{}")))
+    imported = F.concat(F.lit("n"), (F.col("c_custkey") % 25).cast("string"))
+    imports = c.select(*edge("imports", key("c", "c_custkey"), imported, F.col("c_custkey") % 4 / F.lit(4.0), F.to_json(F.struct((F.col("c_custkey") % 3 == 0).alias("is_stdlib")))))
+    store = GraphStore(t.spark, scratch_path(t.spark, "graph-store"))
+    store.write(nodes, contains.union(calls).union(imports))
+    return store
+
+
+STORE = """nodes AS (SELECT 'r' || r_regionkey AS id, 'service' AS type, r_name AS name, NULL::VARCHAR AS parent_id, NULL::VARCHAR AS file_path, false AS is_test FROM region
+        UNION ALL SELECT 'n' || n_nationkey, 'package', n_name, 'r' || n_regionkey, NULL, false FROM nation
+        UNION ALL SELECT 'c' || c_custkey, 'file', c_name, 'n' || c_nationkey, 'n' || c_nationkey || '/' || c_mktsegment, c_custkey % 5 = 0 FROM customer
+        UNION ALL SELECT 's' || s_suppkey, 'function', s_name, 'n' || s_nationkey, NULL, false FROM supplier),
+    edges AS (SELECT parent_id AS source_id, id AS target_id, 'contains' AS type, 1.0::DOUBLE AS importance, false AS is_stdlib FROM nodes WHERE parent_id IS NOT NULL
+        UNION ALL SELECT 's' || s_suppkey, 's' || ((s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier)), 'calls', (s_suppkey % 10) / 10.0::DOUBLE, false FROM supplier
+        UNION ALL SELECT 'c' || c_custkey, 'n' || (c_custkey % 25), 'imports', (c_custkey % 4) / 4.0::DOUBLE, c_custkey % 3 = 0 FROM customer)"""
+
+
+@query("store_children", f"WITH {STORE} SELECT id, type, name FROM nodes WHERE parent_id = 'n3'")
+def _(t: Tables) -> DataFrame:
+    return _store(t).children("n3").select("id", "type", "name")
+
+
+@query("store_by_type", f"WITH {STORE} SELECT id, type, parent_id FROM nodes WHERE type IN ('package', 'file')")
+def _(t: Tables) -> DataFrame:
+    return _store(t).nodes("package", "file").select("id", "type", "parent_id")
+
+
+@query("store_by_file", f"WITH {STORE} SELECT id, file_path, is_test FROM nodes WHERE file_path = 'n3/MACHINERY' OR id = 'n3'")
+def _(t: Tables) -> DataFrame:
+    store = _store(t)
+    found = store.by_file("n3/MACHINERY").unionByName(store.node("n3"))
+    return found.select("id", "file_path", store._flag("is_test").alias("is_test"))
+
+
+@query("store_edges", f"WITH {STORE} SELECT source_id, target_id, type, importance FROM edges WHERE (source_id = 's4' AND type = 'calls') OR target_id = 'n7'")
+def _(t: Tables) -> DataFrame:
+    store = _store(t)
+    return store.out_edges("s4", "calls").unionByName(store.in_edges("n7")).select("source_id", "target_id", "type", "importance")
+
+
+@query(
+    "store_degrees",
+    f"""WITH {STORE}, ends AS (SELECT source_id AS id, 0 AS i, 1 AS o FROM edges WHERE type IN ('calls', 'imports') UNION ALL SELECT target_id, 1, 0 FROM edges WHERE type IN ('calls', 'imports'))
+    SELECT id, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM ends GROUP BY id""",
+)
+def _(t: Tables) -> DataFrame:
+    return _store(t).degrees("calls", "imports")
+
+
+@query(
+    "store_view",
+    f"""WITH {STORE}, shown AS (SELECT * FROM nodes WHERE NOT is_test AND type IN ('service', 'package', 'file')),
+    held AS (SELECT * FROM edges WHERE importance >= 0.25 AND NOT (type = 'imports' AND is_stdlib) AND source_id IN (SELECT id FROM shown) AND target_id IN (SELECT id FROM shown)),
+    ways AS (SELECT source_id AS a, target_id AS b FROM held UNION SELECT target_id, source_id FROM held),
+    one AS (SELECT 'n3' AS id UNION SELECT b FROM ways WHERE a = 'n3'), near AS (SELECT id FROM one UNION SELECT b FROM ways WHERE a IN (SELECT id FROM one))
+    SELECT source_id, target_id, count(*) AS weight, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM held WHERE source_id IN (SELECT id FROM near) AND target_id IN (SELECT id FROM near) GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    return _store(t).view(0.8, least_importance=0.25, stdlib=False, tests=False, focus="n3")[1]
