@@ -95,13 +95,13 @@ class Engine:
         """Files ranked by meaning and keywords, with the symbols that match and their places; options as
         in config.search_options."""
         docs = self._documents.join(self._vectors.withColumnRenamed("key", "id"), "id").select("id", self._documents["text"], "symbols", "v")
-        found = search.hybrid_search(docs, query, search.query_vector(self.provider([query])[0]), **config.search_options(k, **options))
+        found = search.hybrid_search(docs, query, search.query_vector(self.provider([query])[0]), **config.search_options(k, **options), ranked=True)
         matched = self._documents.select("id", "header", search.matched_symbols(query, F.col("entries")).alias("matched"))
         places = F.transform("matched", lambda e: F.concat(e["name"], F.lit("@"), T.line_range(e["line"], e["end_line"])))
-        return found.join(matched, "id").withColumns({"matched_symbols": F.col("matched.name"), "matched_locations": places}).drop("matched")
+        return found.join(matched, "id").withColumns({"matched_symbols": F.col("matched.name"), "matched_locations": places}).drop("matched").orderBy("rank")
 
     def semantic_code_search_text(self, query: str, k: int = 5, **options: float) -> str:
-        rows = self.semantic_code_search(query, k, **options).orderBy(F.desc("score"), F.desc("keyword_score"), F.desc("semantic_score"), "id").collect()
+        rows = self.semantic_code_search(query, k, **options).collect()
         if not rows:
             return NOTHING_FOUND
         out = [RESULTS.format(n=len(rows), query=query), ""]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import fcntl
+import json
 import os
 import secrets
 import shutil
@@ -33,21 +36,43 @@ class RestorePoints:
         return self.spark.read.schema(POINTS).json(self._path("manifest.json")).filter("id is not null").orderBy("ts", "id")
 
     def create(self, files: list[str], message: str) -> str:
-        """Backs up the files that there are, each under its own path, and adds a point."""
-        stamp = int(time.time() * 1000)
-        point = f"rp-{stamp}-{secrets.token_hex(3)}"
+        """Backs up the files that there are, each under its own path, and adds a point.
+
+        The manifest is changed under a lock and replaced in one step, so two writers keep each other's
+        points and a reader never sees half of it; lines that can't be read go.
+        """
+        stamp = time.time()
+        point = f"rp-{int(stamp * 1000)}-{secrets.token_hex(3)}"
         there = [f for f in files if os.path.isfile(os.path.join(self.root, f))]
         for f in there:
             os.makedirs(os.path.dirname(self._path("backups", point, f)), exist_ok=True)
             shutil.copyfile(os.path.join(self.root, f), self._path("backups", point, f))
-        kept = [r.asDict() for r in self.points().collect()][-(self.most - 1) :]  # 100 rows at most
         os.makedirs(self._path(), exist_ok=True)
-        new = {"id": point, "ts": self.spark.range(1).select(F.timestamp_millis(F.lit(stamp))).first()[0], "files": there, "message": message}
-        rows = self.spark.createDataFrame([*[(r["id"], r["ts"], r["files"], r["message"]) for r in kept], tuple(new.values())], POINTS)
-        with open(self._path("manifest.json"), "w", encoding="utf-8") as f:
-            f.write("\n".join(rows.toJSON().collect()) + "\n")
+        at = datetime.datetime.fromtimestamp(int(stamp * 1000) / 1000, datetime.UTC)
+        row = {"id": point, "ts": at.isoformat(timespec="milliseconds").replace("+00:00", "Z"), "files": there, "message": message}
+        with open(self._path("manifest.lock"), "w", encoding="utf-8") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            kept = self._lines()[-(self.most - 1) :] if self.most > 1 else []
+            aside = self._path(f"manifest.{point}")
+            with open(aside, "w", encoding="utf-8") as f:
+                f.write("\n".join([*kept, json.dumps(row)]) + "\n")
+            os.replace(aside, self._path("manifest.json"))
         return point
 
+    def _lines(self) -> list[str]:
+        """The manifest's lines that are points, in order of time."""
+        if not os.path.exists(self._path("manifest.json")):
+            return []
+        found = []
+        with open(self._path("manifest.json"), encoding="utf-8", errors="replace") as f:
+            for line in f:
+                try:
+                    point = json.loads(line)
+                    found.append((str(point["ts"]), str(point["id"]), line.strip()))
+                except (ValueError, KeyError, TypeError):
+                    continue
+        return [line for *_, line in sorted(found)]
+
     def restore(self, point: str) -> list[str]:
         """Puts a point's files back, and tells which; an unknown id raises."""
         found = self.points().filter(F.col("id") == point).first()

@@ -38,10 +38,12 @@ def hybrid_search(
     keyword_weight: float = 0.28,
     require_semantic: bool = False,
     require_keyword: bool = False,
+    ranked: bool = False,
 ) -> DataFrame:
     """Documents (id, text, symbols, v) ranked by weighted cosine and keywords, in percent.
 
-    Ranks go by the scores before they are rounded, then by keywords and cosine, then by id."""
+    Ranks go by the scores before they are rounded, then by keywords and cosine, then by id; with
+    ``ranked`` they are a column."""
     scored = docs.select("id", V.cosine(V.doubles(F.col("v")), vector).alias("sem"), T.keyword_score(query, F.col("text"), F.col("symbols")).alias("key"))
     both = T.combined_score(F.col("sem"), F.col("key"), semantic_weight, keyword_weight)
     held = scored.withColumn("both", both).filter((F.greatest("sem", F.lit(0.0)) >= least_semantic) & (F.col("key") >= least_keyword) & (F.col("both") >= least))
@@ -49,8 +51,10 @@ def hybrid_search(
         held = held.filter("sem > 0")
     if require_keyword:
         held = held.filter("key > 0")
-    best = held.orderBy(*[F.desc(F.round(F.col(c), EXACT)) for c in ("both", "key", "sem")], "id").limit(k)
-    return best.select("id", T.percent(F.col("both")).alias("score"), T.percent(F.greatest("sem", F.lit(0.0))).alias("semantic_score"), T.percent(F.col("key")).alias("keyword_score"))
+    order = [*[F.desc(F.round(F.col(c), EXACT)) for c in ("both", "key", "sem")], "id"]
+    best = held.orderBy(*order).limit(k)
+    shown = ["id", T.percent(F.col("both")).alias("score"), T.percent(F.greatest("sem", F.lit(0.0))).alias("semantic_score"), T.percent(F.col("key")).alias("keyword_score")]
+    return best.select(*shown, *([F.row_number().over(Window.orderBy(*order)).alias("rank")] if ranked else []))  # k rows
 
 
 def search_documents(files: DataFrame, symbols: DataFrame) -> DataFrame:

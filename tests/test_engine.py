@@ -148,6 +148,9 @@ def test_engine(spark, tree):
     assert "[method] L5-L6 def bark(self);" in engine.file_skeleton_text("src/dog.py")
     assert engine.file_skeleton_text("docs/auth.md").startswith("[Unsupported language, showing first 20 lines]")
     assert engine.semantic_code_search("util helper", 2).first().id == "src/util.ts"
+    shown = engine.semantic_code_search_text("util helper", 1)
+    assert shown.startswith('Top 1 hybrid matches for: "util helper"\n\n1. src/util.ts (') and "Matched symbols: helper" in shown and "Definition lines: helper@L" in shown
+    assert engine.semantic_code_search_text("zzz", 1, least=1.0) == "No matching files found for the given query."
     assert engine.semantic_identifier_search("bark", 1).first().name == "bark"
     assert engine.semantic_navigate().count() == 4
     assert [r.relative_path for r in engine.orphans().collect()] == ["src/dog.py", "src/main.ts"]
