@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
 from codeloom.operators import providers
+from codeloom.sources.scratch import written
 
 
 def query_vector(values: list[float]) -> Column:
@@ -128,27 +129,45 @@ def identifier_calls(lines: DataFrame, symbols: DataFrame, query: str, vector: C
     phases: (id, rank, file, line, context, score, semantic_score, keyword_score, total).
 
     A function or method is used where a parenthesis follows its name, anything else where its name
-    stands as a word; lines that define it are left out.  Lines meet symbols by a word of the name and
+    stands as a word; lines that define it are left out.  Lines meet names by a word of the name and
     are then held against its pattern, so one pass serves all symbols; a name without any letter,
     digit or _ has no word and no site.  The first max(30, 4 * limit) of a symbol by keywords are
     embedded, ``limit`` of them stay, and ``total`` counts all.
+
+    Symbols of one name have the same sites but for their own lines, so sites are found and ranked once
+    for each name; a symbol then takes them from its name's list, which has one more than it can need.
     """
     limit = max(1, limit)
+    most = max(30, 4 * limit)
+    called = F.col("kind").isin("function", "method").alias("called")
     quoted = F.concat(F.lit("\\Q"), "name", F.lit("\\E"))
-    pattern = F.concat(F.lit(EDGE), quoted, F.when(F.col("kind").isin("function", "method"), r"\s*\(").otherwise(EDGE))
-    wanted = symbols.select("id", "name", pattern.alias("pattern"), quoted.alias("quoted"), F.col("file").alias("own_file"), F.col("line").alias("own_line"), F.regexp_extract("name", "[A-Za-z0-9_]+", 0).alias("word"))
+    pattern = F.concat(F.lit(EDGE), quoted, F.when(F.col("called"), r"\s*\(").otherwise(EDGE))
+    word = F.regexp_extract("name", "[A-Za-z0-9_]+", 0)
+    wanted = symbols.select("name", called).distinct().select("name", "called", pattern.alias("pattern"), quoted.alias("quoted"), word.alias("word")).filter("word <> ''")
     worded = lines.select("file", "line", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("word"))
-    own = (F.col("file") == F.col("own_file")) & (F.col("line") == F.col("own_line"))
-    found = worded.join(wanted.filter("word <> ''"), "word").filter(F.rlike("text", F.col("pattern")) & ~own & ~T.defines(F.col("text"), F.col("quoted")))
+    found = worded.join(wanted, "word").filter(F.rlike("text", F.col("pattern")) & ~T.defines(F.col("text"), F.col("quoted")))
     context = F.substring(T.trimmed(F.col("text")), 1, 220)
-    sites = found.select("id", "file", F.col("line").cast("long").alias("line"), context.alias("context"))
+    sites = written(found.select("name", "called", "file", F.col("line").cast("long").alias("line"), context.alias("context")), "call-sites")
     key = T.coverage(T.identifier_terms(F.lit(query)), T.identifier_terms(F.concat_ws(" ", "file", "context")))
-    order = Window.partitionBy("id").orderBy(F.desc("key"), "file", "line")
-    chosen = sites.withColumn("key", key).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(30, 4 * limit)).drop("rank")
+    order = Window.partitionBy("name", "called").orderBy(F.desc("key"), "file", "line")
+    chosen = sites.withColumn("key", key).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most + 1)
     places = chosen.select("file", "line", "context").distinct().select(F.struct("file", "line").alias("place"), F.concat_ws(" ", "file", "context").alias("text"))
     vectors = providers.embed_rows(places.select(F.to_json("place").alias("key"), "text"), provider=provider).withColumnRenamed("key", "place")
-    ranked = rank_call_sites(chosen.withColumn("place", F.to_json(F.struct("file", "line"))).join(vectors, "place"), vector, limit, ("id", "context"))
-    return ranked.join(sites.groupBy("id").agg(F.count(F.lit(1)).alias("total")), "id")
+    held = chosen.withColumn("place", F.to_json(F.struct("file", "line"))).join(vectors, "place").withColumn("of", F.struct("name", "called"))
+    ranked = rank_call_sites(held, vector, most + 1, ("of", "context", "at"))
+    site = F.struct("rank", "at", "file", "line", "context", "score", "semantic_score", "keyword_score")
+    lists = ranked.groupBy("of").agg(F.sort_array(F.collect_list(site)).alias("sites"))  # most + 1 at most
+    totals = sites.groupBy(F.struct("name", "called").alias("of")).agg(F.count(F.lit(1)).alias("all"))
+    users = symbols.select("id", F.struct("name", called).alias("of"), F.col("file").alias("own_file"), F.col("line").cast("long").alias("own_line"))
+    # how often a symbol's own line is a site of its name
+    own = users.join(sites.select(F.struct("name", "called").alias("of"), F.col("file").alias("own_file"), F.col("line").alias("own_line")), ["of", "own_file", "own_line"]).groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    is_own = lambda s: (s["file"] == F.col("own_file")) & (s["line"] == F.col("own_line"))
+    met = users.join(lists, "of").join(totals, "of").join(own, "id", "left").withColumn("total", F.col("all") - F.coalesce("own", F.lit(0)))
+    others = met.withColumn("others", F.filter("sites", lambda s: ~F.coalesce(is_own(s), F.lit(False))))
+    spare = F.size(F.filter("sites", lambda s: F.coalesce(is_own(s), F.lit(False)) & (s["at"] <= most)))
+    best = others.select("id", "total", F.posexplode(F.slice(F.filter("others", lambda s: s["at"] <= most + spare), 1, limit)).alias("n", "s"))
+    shown = [F.col(f"s.{c}").alias(c) for c in ("file", "line", "score", "semantic_score", "keyword_score")]
+    return best.select("id", F.col("s.context").alias("context"), (F.col("n") + 1).alias("rank"), *shown, "total")
 
 
 def cached_vectors(docs: DataFrame, cache: DataFrame) -> DataFrame:

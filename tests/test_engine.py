@@ -1,9 +1,11 @@
+import time
+
 import numpy as np
 import pytest
 from codeloom.engine import Engine
 from codeloom.operators import clustering, code, diagrams, graph, hubs, messages, search
 from codeloom.operators.providers import Agent, TooLong, embed
-from codeloom.operators.symbols import symbols_of
+from codeloom.operators.symbols import Blocks, symbols_of
 from codeloom.sources import config
 from codeloom.sources.repo import IgnoreRules, walk
 from codeloom.streaming import tracker
@@ -283,6 +285,26 @@ def test_call_sites_by_kind_and_place(spark):
     assert sorted((r.rank, r.line) for r in one) == [(1, 0), (2, 1), (3, 2)] and {r.total for r in one} == {199}
 
 
+def test_call_sites_of_one_name_are_found_once_for_all_its_symbols(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(search, "written", lambda df, name: kept.append(df) or df)
+    places = [(f"f{i % 3}", i) for i in range(90)]
+    lines = spark.createDataFrame([(f, i, "run(1)" if i % 2 else "function run() {") for f, i in places], "file string, line long, text string")
+    symbols = spark.createDataFrame([(f"{f}:{i}", "run", "function", f, i) for f, i in places], "id string, name string, kind string, file string, line long")
+    found = search.identifier_calls(lines, symbols, "x", search.query_vector([1.0]), 2, lambda texts: [[0.0]] * len(texts)).collect()
+    assert kept[0].count() == 45  # and not 45 for each symbol
+    sites = sorted(p for p in places if p[1] % 2)
+    want = {(f"{f}:{i}", n + 1, *p, 45 - i % 2) for f, i in places for n, p in enumerate([s for s in sites if s != (f, i)][:2])}
+    assert {(r.id, r.rank, r.file, r.line, r.total) for r in found} == want and len(found) == 180
+
+
+def test_blocks_of_many_open_braces_take_one_pass():
+    blocks = Blocks(["function f() {"] * 100_000 + ["}"] * 3)
+    start = time.monotonic()
+    assert [blocks.braces(i) for i in range(100_000)][-4:] == [99_997, 100_003, 100_002, 100_001]
+    assert time.monotonic() - start < 20  # pass by pass it is 5e9 lines
+
+
 def test_hub_text(spark, tree):
     engine = Engine(spark, str(tree))
     assert "docs/auth.md | Authentication | 2 links" in engine.feature_hub_text()
