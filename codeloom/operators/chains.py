@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators.code import best_definition, folder_of
+from codeloom.sources.scratch import written
 
 #: What the rendering of a chain says.
 NOT_FOUND = 'Symbol "{name}" not found. Use get_context_tree to discover function names.'
@@ -63,32 +66,38 @@ def call_chains(held: DataFrame, roots: DataFrame, max_depth: int = 6) -> DataFr
     ``path`` holds the places of calls on the way; its order is that of a walk from call to call.  A
     name without a definition is external, one that is on its own path a cycle; neither is expanded, nor
     is what stands at ``max_depth``, but a root's own calls are there at any rate.  The tree grows with
-    the calls in a body to the depth.  A recursive query joins level by level; where it would have more
-    rows than spark.sql.cteRecursionRowLimit, Spark refuses it and cuts nothing.
+    the calls in a body to the depth.  Edges, with what is known of their end, and each level are
+    written once and read again, so no level is computed twice and none has a limit of rows.
     """
-    query = """WITH RECURSIVE chain(root, path, keys, name, key, is_external, is_cycle, depth) MAX RECURSION LEVEL {levels} AS (
-        SELECT h.key, cast(array() AS array<int>), array(h.key), h.name, h.key, false, false, 0 FROM {held} h JOIN {roots} r ON h.key = r.key
-        UNION ALL
-        SELECT c.root, concat(c.path, array(e.ordinal)), concat(c.keys, array(e.dst)), e.callee, e.dst, e.external,
-               coalesce(array_contains(c.keys, e.dst), false), c.depth + 1
-        FROM chain c JOIN {edges} e ON c.key = e.src WHERE NOT c.is_cycle AND (c.depth < {most} OR c.depth = 0))
-        SELECT root, path, depth, name, key, is_external, is_cycle FROM chain"""
+    held = written(held, "bodies")
     edges = call_edges(held)
-    spark = held.sparkSession
-    chain = spark.sql(query.replace("{levels}", str(max_depth + 3)).replace("{most}", str(int(max_depth))), held=held.select("key", "name"), roots=roots.select("key").distinct(), edges=edges)
-    calling = edges.select(F.col("src").alias("key"), F.lit(True).alias("calls")).distinct()
-    facts = held.select("key", "file", "line", "end_line", "signature", F.col("is_db_hit").alias("db"), F.col("is_marked").alias("mark"))
+    calling = edges.select(F.col("src").alias("key")).distinct().withColumn("calls", F.lit(True))
+    facts = held.select("key", "file", "line", "end_line", "signature", F.col("is_db_hit").alias("db"), F.col("is_marked").alias("mark")).join(calling, "key", "left")
+    known = facts.columns[1:]
+    hops = edges.select("src", "ordinal", "callee", "dst")
+    inner = hops.filter("dst is not null").join(facts.withColumnRenamed("key", "dst"), "dst")
+    outer = hops.filter("dst is null").withColumns({c: F.lit(None).cast(facts.schema[c].dataType) for c in known})
+    hops = written(inner.unionByName(outer), "call-edges")
+    start = held.select("key", "name").join(roots.select("key").distinct(), "key").join(facts, "key")
+    level = start.select(
+        F.col("key").alias("root"), F.array().cast("array<int>").alias("path"), F.array("key").alias("keys"), F.lit(0).alias("depth"), "name", "key",
+        F.lit(False).alias("is_external"), F.lit(False).alias("is_cycle"), *known,
+    )
+    levels = [written(level, "chain")]
+    for depth in range(1, max(1, int(max_depth)) + 1):
+        going = levels[-1].filter("not is_cycle and not is_external").select("root", F.col("path").alias("way"), F.col("keys").alias("on"), F.col("key").alias("src"))
+        level = going.join(hops, "src").select(
+            "root", F.concat("way", F.array("ordinal")).alias("path"), F.concat("on", F.array("dst")).alias("keys"), F.lit(depth).alias("depth"), F.col("callee").alias("name"), F.col("dst").alias("key"),
+            F.col("dst").isNull().alias("is_external"), F.coalesce(F.array_contains("on", F.col("dst")), F.lit(False)).alias("is_cycle"), *known,
+        )
+        levels.append(written(level, "chain"))
     cut = (F.col("depth") >= max_depth) & (F.col("depth") > 0)
-    return (
-        chain.join(facts, "key", "left")
-        .join(calling, "key", "left")
-        .select(
-            "root", "path", "depth", "name", "key", "file", "line", "end_line", "signature",
-            F.when(F.col("is_external"), T.is_db_name(F.col("name"))).otherwise(F.col("db") & ~F.col("is_cycle")).alias("is_db_hit"),
-            F.when(F.col("is_external") | F.col("is_cycle"), False).otherwise(F.col("mark")).alias("is_marked"),
-            "is_external", "is_cycle",
-            (F.col("is_external") | F.col("is_cycle") | cut | F.col("calls").isNull()).alias("is_leaf"),
-        )
+    return reduce(DataFrame.unionByName, levels).select(
+        "root", "path", "depth", "name", "key", "file", "line", "end_line", "signature",
+        F.when(F.col("is_external"), T.is_db_name(F.col("name"))).otherwise(F.col("db") & ~F.col("is_cycle")).alias("is_db_hit"),
+        F.when(F.col("is_external") | F.col("is_cycle"), False).otherwise(F.col("mark")).alias("is_marked"),
+        "is_external", "is_cycle",
+        (F.col("is_external") | F.col("is_cycle") | cut | F.col("calls").isNull()).alias("is_leaf"),
     )
 
 

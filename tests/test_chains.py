@@ -81,3 +81,18 @@ def test_no_symbols(spark):
     lone = spark.createDataFrame([("gone.ts", "f", "function", 1, 3, "f")], symbols.schema)
     held = chains.bodies(lone, files)
     assert [(r.name, r.is_leaf, r.is_db_hit) for r in chains.call_chains(held, held).collect()] == [("f", True, False)]
+
+
+def test_chains_beyond_the_row_limit_of_recursive_queries(spark):
+    """Six calls in a body to the depth of three are 223 rows for each root."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")
+    try:
+        held = spark.createDataFrame(
+            [("a.ts", f"f{i}", "function", i, i, "", f"a.ts:{i}", [f"f{j}" for j in range(7)], False, False) for i in range(7)],
+            "file string, name string, kind string, line int, end_line int, signature string, key string, callees array<string>, is_db_hit boolean, is_marked boolean",
+        )
+        found = chains.chain_stats(chains.call_chains(held, held, 3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    # 1 + 6 + 36 + 30 * 6: six of each second level are cycles
+    assert [(r.total, r.cycles) for r in found] == [(223, 66)] * 7
