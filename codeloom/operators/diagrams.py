@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,30 +50,37 @@ def _named(rows: DataFrame, taken: DataFrame, prefix: str) -> DataFrame:
     return rows.join(held, "id", "left").withColumn("named", F.when(clash, F.concat(F.lit(prefix), "id")).otherwise(F.col("id"))).drop("taken")
 
 
-def unique_nodes(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(n, id, new_id) of nodes (n, id), n being their order: ids that are reserved or a group's get a
-    prefix, and one that is in use ``_dup`` until it is free.
+def numbered_nodes(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(n, id, base, dups) of nodes (n, id), n being their order: ids that are reserved or a group's get a
+    prefix, and one that is in use ``_dup`` until it is free; base with ``_dup`` so many times.
 
     Only ids that differ by such endings can meet, so each base is a group of its own; within one the
-    next free ending is remembered, and the walk is linear.
+    next free ending is remembered, and the walk is linear.  Endings are numbers here, since written
+    out they grow with the square of the nodes of an id.
     """
 
     def spread(pdf: pd.DataFrame) -> pd.DataFrame:
         after: dict[int, int] = {}
         out = []
-        for n, id_, base, k in pdf.sort_values("n")[["n", "id", "base", "k"]].itertuples(index=False):
+        pdf = pdf.sort_values("n")
+        for k in pdf["k"].tolist():
             free, way = k, []
             while free in after:
                 way.append(free)
                 free = after[free]
             after |= dict.fromkeys([*way, free], free + 1)
-            out.append((n, id_, base + "_dup" * free))
-        return pd.DataFrame(out, columns=["n", "id", "new_id"])
+            out.append(free)
+        return pdf[["n", "id", "base"]].assign(dups=np.array(out, np.int32))
 
     bare = F.regexp_extract("named", r"(?s)^(.*?)((?:_dup)*)\z", 1)
     held = _named(nodes.select("n", "id"), groups, "nd_").withColumn("base", bare).withColumn("k", ((F.length("named") - F.length("base")) / 4).cast("int"))
     types = {f.name: f.dataType.simpleString() for f in nodes.schema}
-    return held.groupBy("base").applyInPandas(spread, f"n {types['n']}, id string, new_id string")
+    return held.groupBy("base").applyInPandas(spread, f"n {types['n']}, id string, base string, dups int")
+
+
+def unique_nodes(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(n, id, new_id) of numbered_nodes, written out."""
+    return numbered_nodes(nodes, groups).select("n", "id", F.concat("base", F.repeat(F.lit("_dup"), F.col("dups"))).alias("new_id"))
 
 
 def unique_groups(groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -81,13 +89,16 @@ def unique_groups(groups: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def rewired(edges: DataFrame, renamed: DataFrame) -> DataFrame:
-    """Edges (src, dst, ...) by the new ids of ``unique_nodes``; of nodes that shared an id the last has
-    the edges, and an end that is no node stays."""
-    last = renamed.groupBy("id").agg(F.max_by("new_id", "n").alias("to"))
+    """Edges (src, dst, ...) by the new ids of ``unique_nodes`` or ``numbered_nodes``; of nodes that shared an id
+    the last has the edges, and an end that is no node stays.  Of the latter ids are written out at the end,
+    in the row of their edge."""
+    named = renamed if "dups" in renamed.columns else renamed.select("n", "id", F.col("new_id").alias("base"), F.lit(0).alias("dups"))
+    last = named.groupBy("id").agg(F.max_by(F.struct("base", "dups"), "n").alias("to"))
     out = edges
     for end in ("src", "dst"):
-        out = out.join(last.withColumnsRenamed({"id": end}), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-    return out.select(*edges.columns)
+        out = out.join(last.withColumnsRenamed({"id": end, "to": f"__{end}"}), end, "left")
+    new = lambda end: F.coalesce(F.concat(F.col(f"__{end}.base"), F.repeat(F.lit("_dup"), F.col(f"__{end}.dups"))), end)
+    return out.select(*[new(c).alias(c) if c in ("src", "dst") else c for c in edges.columns])
 
 
 def in_groups(nodes: DataFrame, groups: DataFrame) -> DataFrame:

@@ -929,7 +929,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     none = t.region.filter("false").select(F.col("r_name").alias("id"))
-    renamed = diagrams.unique_nodes(t.part.select(F.col("p_partkey").alias("n"), F.col("p_type").alias("id")), none)
+    renamed = diagrams.numbered_nodes(t.part.select(F.col("p_partkey").alias("n"), F.col("p_type").alias("id")), none)
     return diagrams.rewired(t.part.select(F.col("p_partkey").alias("e"), F.col("p_type").alias("src"), F.col("p_brand").alias("dst")), renamed)
 
 

@@ -144,3 +144,14 @@ def test_workspace(spark):
     assert {r.id for r in workspace.touched(kept, "none", now).filter("edited_at is not null").collect()} == set()
     left, drawn = workspace.without_repos(repos, kept, repos.filter("id = 'r1'"))
     assert {r.id for r in left.collect()} == {"r2"} and {r.id for r in drawn.collect()} == {"d2", "d3"}
+
+
+def test_edges_of_many_equal_ids_carry_numbers_until_the_end(spark):
+    """The endings of 20,000 equal ids, written out one by one, are 800 MB."""
+    nodes = spark.range(20_000).select(F.col("id").alias("n"), F.lit("a").alias("id"))
+    none = spark.createDataFrame([], "id string")
+    renamed = diagrams.numbered_nodes(nodes, none)
+    assert "new_id" not in renamed.columns and renamed.agg(F.sum("dups")).first()[0] == 19_999 * 10_000
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    got = {(r.src[:5], len(r.src), r.dst[:5], len(r.dst)) for r in diagrams.rewired(edges, renamed).collect()}
+    assert got == {("a_dup", 79_997, "b", 1), ("b", 1, "a_dup", 79_997)}
