@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.sources.scratch import written
+
 #: What stands before a tree that had to be cut, by level.
 CUT = {1: "[Level 1: Headers only, symbols pruned to fit {tokens} tokens]", 0: "[Level 0: File names only, project too large for {tokens} tokens]"}
 
@@ -73,6 +75,20 @@ def context_tree(entries: DataFrame, headers: DataFrame, lines: DataFrame, max_t
     return first.unionByName(out)
 
 
+def places(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    """rows without the first column of ``order``, with ``place`` from 1 by ``order`` within ``by``.
+
+    Rows are dealt by range and sorted in their tasks; numbers of rows of the parts before are added, so
+    no task holds all of a group.
+    """
+    marks = {"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}
+    held = written(rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumns(marks).drop(order[0]), "places")
+    parts = held.groupBy(by, "__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each task
+    start = parts.select(by, "__part", (before + 1 - F.col("first")).alias("start"))
+    return held.join(F.broadcast(start), [by, "__part"]).withColumn("place", F.col("__at") + F.col("start")).drop("__part", "__at", "start")
+
+
 def rendered(tree: DataFrame, max_tokens: int) -> str:
     """The text of a context_tree, with a word about what was cut."""
     rows = tree.orderBy("chain", "path").select("level", "text").collect()

@@ -984,9 +984,8 @@ def _(t: Tables) -> DataFrame:
     sized = tree.context_tree(entries, headers, lines.limit(0), 10**9)
     enough = -(-sized.agg(F.sum(tree.units(F.col("text")) + 1)).first()[0] // 4)
     trees = [tree.context_tree(entries, headers, lines, budget) for budget in (enough - 1, enough, enough + 999_999)]
-    place = F.row_number().over(Window.partitionBy("level").orderBy("chain", "path")).cast("long")
     every = trees[0].unionByName(trees[1]).unionByName(trees[2])
-    return every.select("level", "path", "parent", "indent", "text", place.alias("place"))
+    return tree.places(every, "level", "chain", "path").select("level", "path", "parent", "indent", "text", "place")
 
 
 def _k_means_sql(k: int, rounds: int) -> str:

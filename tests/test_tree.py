@@ -101,3 +101,11 @@ def test_keyword_patterns_equal_the_split_text(spark):
         fast, slow = T.file_coverage(query, F.col("t")), T.coverage(T.file_terms(F.lit(query)), T.file_terms(F.col("t")))
         assert docs.filter(~fast.eqNullSafe(F.coalesce(slow, fast))).select("t", fast, slow).collect() == []
         assert [r[0] for r in spark.range(1).select(T.file_terms(F.lit(query))).collect()] == [T.query_terms(query)]
+
+
+def test_places_are_counted_over_parts(spark):
+    rows = spark.range(1000).selectExpr("id % 2 AS level", "array(id * 7 % 1000) AS chain", "cast(id as string) AS path").repartition(7)
+    got = tree.places(rows, "level", "chain", "path")
+    assert "Window" not in got.select("path")._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    want = {(n, p): i for n in (0, 1) for i, (_, p) in enumerate(sorted((k * 7 % 1000, str(k)) for k in range(n, 1000, 2)), 1)}
+    assert {(r.level, r.path): r.place for r in got.collect()} == want
