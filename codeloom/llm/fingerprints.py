@@ -51,7 +51,8 @@ def with_next(docs: DataFrame, per_block: int = 500, most_blocks: int = 1 << 14)
         place = F.lit(0).cast("long")
     # a null id's block is below 0; the hash in its upper 32 bits grows with rk
     null_place = F.expr(f"((shiftright(rk, 32) + 2147483648) * {parts}) div 4294967296 - {parts}")
-    block = F.when(F.col("doc_id").isNull(), null_place).otherwise(place)
+    # never null as Spark sees it: a join would else filter its side by that below the shuffle, and texts would be shuffled twice
+    block = F.coalesce(F.when(F.col("doc_id").isNull(), null_place).otherwise(place), F.lit(0).cast("long"))
     order = Window.partitionBy("__block").orderBy(F.col("doc_id").asc_nulls_first(), "rk")
     held = docs.withColumn("__block", block).withColumns(
         {"__at": F.row_number().over(order), "__next_rk": F.lead("rk").over(order), "__next_text": F.lead("text").over(order)}

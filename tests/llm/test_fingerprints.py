@@ -91,3 +91,15 @@ def test_nulls_repeats_single_and_empty(table):
 def test_no_python_in_the_plan(table):
     plan = fingerprint_documents(table([(1, "a"), (2, "a")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "InArrow"))
+
+
+def test_texts_are_shuffled_once(table, spark):
+    rows = table([(i, f"text {i}") for i in range(100)]).select(F.xxhash64("doc_id").alias("rk"), "doc_id", "text")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = with_next(rows, per_block=10)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # a limit below the shuffle leaves a row for each block and task
+    whole = [line for line, below in zip(lines, lines[1:], strict=False) if " Exchange hashpartitioning(__block" in line and "ReusedExchange" not in line and "WindowGroupLimit" not in below]
+    assert len(whole) == 1
