@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,11 +26,18 @@ LETTER, DIGIT, SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
 
 
+#: A text that goes to the tokenizer whole has one of these: separators that only Python takes for white space, or what is beyond U+00FF.
+BEYOND = re.compile("[\x1c-\x1f\u0100-\U0010ffff]")
+#: Signs that stand for themselves in the tokenizer's alphabet of bytes.
+PLAIN = re.compile("[!-~]+")
+
+
 class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes.
 
     A piece of a text (run of letters, digit, run of other signs) has the same ids wherever it stands,
-    so ids of pieces are remembered.  That holds where lower-casing and normalisation act on single
+    so ids of pieces are remembered, and those of words between white space as well while half of
+    what may be remembered is free.  That holds where lower-casing and normalisation act on single
     characters; a text with a character beyond U+00FF, or with what may be a special token, goes to
     the tokenizer whole.
     """
@@ -38,27 +46,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         self.memo: dict[str, bytes] = {}
         self.remembered = remembered
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remembers pieces; those of plain signs need nothing of the tokenizer but its model."""
+        others = []
+        for piece in pieces:
+            if PLAIN.fullmatch(piece):
+                self.memo[piece] = self._packed([token.id for token in self.model.tokenize(piece)])
+            else:
+                others.append(piece)
+        for piece, found in zip(others, self.whole.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.memo[piece] = self._packed(found.ids)
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text or not (text.isascii() or max(text) <= "\xff"):
+        if "<|" in text or BEYOND.search(text):
             return self._packed(self.whole.encode(text, add_special_tokens=False).ids)
-        pieces = PIECES.findall(text.lower())
+        words = text.lower().split()
         memo = self.memo
         try:
-            return b"".join(map(memo.__getitem__, pieces))
+            return b"".join(map(memo.__getitem__, words))
         except KeyError:
             if len(memo) > self.remembered:
                 memo.clear()
-            new = list({p for p in pieces if p not in memo})
-            for piece, found in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[piece] = self._packed(found.ids)
-            return b"".join(map(memo.__getitem__, pieces))
+            pieces = {w: PIECES.findall(w) for w in set(words) if w not in memo}
+            self._learn({p for held in pieces.values() for p in held if p not in memo})
+            new = {w: b"".join(map(memo.__getitem__, held)) for w, held in pieces.items()}
+            if len(memo) < self.remembered // 2:
+                memo |= new
+            return b"".join([new[w] if w in new else memo[w] for w in words])
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -21,6 +21,17 @@ def test_ids_are_the_tokenizers():
         assert encoder.ids(text) == np.array(encoder.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_known_words_are_not_cut_again(monkeypatch):
+    encoder, texts = Encoder(PATH), ["Two words, don't 12\x85x", "don't\xa0x words, Two", "a\x1cb words,"]
+    want = [np.array(encoder.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    assert [encoder.ids(text) for text in texts] == want
+    monkeypatch.setattr(packing, "PIECES", None)
+    assert [encoder.ids(text) for text in texts] == want
+    monkeypatch.undo()
+    small = Encoder(PATH, remembered=4)
+    assert [small.ids(text) for text in texts * 2] == want * 2
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_every_length_is_packed_once_and_few_bins_are_used(seed):
     rng = random.Random(seed)
