@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.sources.scratch import folders, remove
+from codeloom.sources.scratch import folders, remove, written
 
 #: Runs of these are words; a symbol stands as a whole word only where its runs are such runs.
 WORD = "[A-Za-z0-9_]+"
+#: Names that are sent to every task that reads postings; more of them meet the postings by a shuffle.
+SENT = 100_000
 POSTINGS = "word string, file string, line long, generation long, bucket int"
 FILES = "file string, there boolean, generation long"
 
@@ -86,20 +88,31 @@ class UsageIndex:
 
         All names are joined at once, and only their buckets are read.  A name of several words, or of
         words and signs, is looked up by its longest word and then held against the text of ``lines``
-        (file, line, text) as they are now; one without any word is looked for in all of them.
+        (file, line, text) as they are now; one without any word is looked for in all of them.  Names are
+        written once; postings and lines stay where they are read or meet in a shuffle, and are never
+        sent whole to a task.
         """
-        keyed = names.select("name").distinct().withColumn("word", longest_word(F.col("name"))).withColumn("bucket", self._bucket())
-        wanted = [r.bucket for r in keyed.filter("word is not null").select("bucket").distinct().collect()]  # at most all buckets
+        plain = F.col("name").rlike(f"^{WORD}$")
+        keyed = written(names.select("name").distinct().withColumn("word", longest_word(F.col("name"))).withColumn("bucket", self._bucket()), "names")
+        kinds = {(r.signs, r.plain): r for r in keyed.groupBy(F.col("word").isNull().alias("signs"), plain.alias("plain")).agg(F.count(F.lit(1)).alias("n"), F.collect_set("bucket").alias("buckets")).collect()}
+        wanted = sorted({b for (signs, _), r in kinds.items() if not signs for b in r.buckets})  # at most all buckets
+        few = sum(r.n for r in kinds.values()) <= SENT
+        sent = lambda held: F.broadcast(held) if few else held.hint("merge")
         postings = self.postings(wanted if len(wanted) < self.buckets else None)
-        found = postings.join(keyed.filter("word is not null"), ["bucket", "word"]).select("name", "file", "line")
-        plain = found.filter(F.col("name").rlike(f"^{WORD}$"))
+        found = postings.join(sent(keyed.filter("word is not null")), ["bucket", "word"]).select("name", "file", "line")
+        out = found.filter(plain)
         if lines is None:
-            return plain
+            return out
         pattern = F.concat(F.lit(T.WORD_BEFORE + "\\Q"), "name", F.lit("\\E" + T.WORD_AFTER))
         text = lines.select("file", F.col("line").cast("long").alias("line"), "text")
-        mixed = found.filter(~F.col("name").rlike(f"^{WORD}$")).join(text, ["file", "line"]).filter(F.rlike("text", pattern))
-        signs = text.join(keyed.filter("word is null").select("name"), F.contains("text", F.col("name"))).filter(F.rlike("text", pattern))
-        return plain.unionByName(mixed.select("name", "file", "line")).unionByName(signs.select("name", "file", "line"))
+        if (False, False) in kinds:
+            mixed = found.filter(~plain).join(text.hint("merge"), ["file", "line"]).filter(F.rlike("text", pattern))
+            out = out.unionByName(mixed.select("name", "file", "line"))
+        if any(signs for signs, _ in kinds):
+            bare = keyed.filter("word is null").select("name")
+            held = text.join(F.broadcast(bare) if few else bare, F.contains("text", F.col("name"))).filter(F.rlike("text", pattern))
+            out = out.unionByName(held.select("name", "file", "line"))
+        return out
 
     def summary(self, names: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         """(word, usages, files, low_usage) of each name that is used, as code.blast_summary has it."""

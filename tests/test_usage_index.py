@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from codeloom.operators import code
+from codeloom.operators import code, usage_index
 from codeloom.operators.usage_index import UsageIndex
 from codeloom.sources.scratch import folders
 from pyspark.sql import functions as F
@@ -94,3 +94,24 @@ def test_lines_with_equals_exploded_lines(spark):
         pattern = "|".join(rf"(?<![A-Za-z0-9_]){re.escape(w)}(?![A-Za-z0-9_])" for w in words)
         want = sorted(tuple(r) for r in code.explode_lines(files, "path", "content").filter(F.col("text").rlike(pattern)).collect())
         assert sorted(tuple(r) for r in code.lines_with(files, "path", "content", words).collect()) == want
+
+
+def test_postings_and_lines_are_not_sent_whole_to_a_task(spark, index):
+    rows = make(random.Random(6))
+    lines = lines_of(spark, rows)
+    index.update(lines)
+    used = index.usages(names_of(spark, NAMES), lines)
+    assert sorted(tuple(r) for r in used.collect()) == plain(rows, NAMES)
+    plan = used._jdf.queryExecution().executedPlan().toString()
+    sent = [re.search(r"Scan parquet\s*\[(\w+)#", x) for x in plan.split("BroadcastExchange")[1:]]
+    assert {x[1] for x in sent if x} == {"name"}
+
+
+def test_more_names_than_are_sent_meet_in_a_shuffle(spark, index, monkeypatch):
+    rows = make(random.Random(7))
+    index.update(lines_of(spark, rows))
+    monkeypatch.setattr(usage_index, "SENT", 2)
+    assert found(index, spark, NAMES, rows) == plain(rows, NAMES)
+    monkeypatch.undo()
+    for names in (["++"], ["a.b"], ["alpha"], ["$scope", "++"]):
+        assert found(index, spark, names, rows) == plain(rows, names)
