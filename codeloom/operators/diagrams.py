@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.sources.scratch import written
+
+#: Characters of new ids that a task of ``rewired`` writes out, about.
+WRITTEN_OUT = 1 << 30
 #: Ids that the layout keeps for itself.
 RESERVED = ("__boundary__", "root")
 
@@ -91,14 +95,20 @@ def unique_groups(groups: DataFrame, nodes: DataFrame) -> DataFrame:
 def rewired(edges: DataFrame, renamed: DataFrame) -> DataFrame:
     """Edges (src, dst, ...) by the new ids of ``unique_nodes`` or ``numbered_nodes``; of nodes that shared an id
     the last has the edges, and an end that is no node stays.  Of the latter ids are written out at the end,
-    in the row of their edge."""
+    in the row of their edge: edges are dealt to tasks by how much that is, and equal ends follow each
+    other, which files hold once."""
     named = renamed if "dups" in renamed.columns else renamed.select("n", "id", F.col("new_id").alias("base"), F.lit(0).alias("dups"))
     last = named.groupBy("id").agg(F.max_by(F.struct("base", "dups"), "n").alias("to"))
     out = edges
     for end in ("src", "dst"):
         out = out.join(last.withColumnsRenamed({"id": end, "to": f"__{end}"}), end, "left")
+    held = written(out, "rewired")
+    size = sum((F.coalesce(F.length(f"__{end}.base") + 4 * F.col(f"__{end}.dups").cast("long"), F.length(end), F.lit(0)) for end in ("src", "dst")), F.lit(0))
+    total = held.agg(F.sum(size)).first()[0] or 0
+    if total > WRITTEN_OUT:
+        held = held.repartitionByRange(-(-total // WRITTEN_OUT), "src", "dst", F.rand(0)).sortWithinPartitions("src", "dst")
     new = lambda end: F.coalesce(F.concat(F.col(f"__{end}.base"), F.repeat(F.lit("_dup"), F.col(f"__{end}.dups"))), end)
-    return out.select(*[new(c).alias(c) if c in ("src", "dst") else c for c in edges.columns])
+    return held.select(*[new(c).alias(c) if c in ("src", "dst") else c for c in edges.columns])
 
 
 def in_groups(nodes: DataFrame, groups: DataFrame) -> DataFrame:

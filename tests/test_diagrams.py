@@ -155,3 +155,18 @@ def test_edges_of_many_equal_ids_carry_numbers_until_the_end(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
     got = {(r.src[:5], len(r.src), r.dst[:5], len(r.dst)) for r in diagrams.rewired(edges, renamed).collect()}
     assert got == {("a_dup", 79_997, "b", 1), ("b", 1, "a_dup", 79_997)}
+
+
+def test_long_ids_are_written_out_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(diagrams, "WRITTEN_OUT", 1 << 20, raising=False)
+    nodes = spark.range(4000).select(F.col("id").alias("n"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("id"))
+    renamed = diagrams.numbered_nodes(nodes, spark.createDataFrame([], "id string"))
+    edges = spark.range(2000).select(F.col("id").alias("e"), F.when(F.col("id") % 5 < 3, "a").otherwise("b").alias("src"), F.when(F.col("id") % 7 > 0, "c").alias("dst"))
+    out = diagrams.rewired(edges, renamed).withColumn("p", F.spark_partition_id())
+    got = out.select("e", F.substring("src", 1, 5).alias("src"), F.length("src").alias("n"), "dst", "p").collect()
+    assert sorted((r.e, r.src, r.n, r.dst) for r in got) == [(e, "a_dup" if e % 5 < 3 else "b_dup", 7997, "c" if e % 7 else None) for e in range(2000)]
+    tasks = {}
+    for r in got:
+        tasks.setdefault(r.p, []).append(r.src)
+    assert max(len(held) * 7997 for held in tasks.values()) < 2 << 20
+    assert sum(len(set(held)) for held in tasks.values()) <= len(tasks) + 1
